@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark import fixed
-from waymark.functions.text import strip
+from waymark.functions.text import once, strip
 from waymark.functions.values import joined_or_null, mail_date_to_local, plain_text, platform_kind, title_without_source
 from waymark.schema import API_PLACE, API_PLATFORM, envelope
 
@@ -81,16 +81,21 @@ def read_faq(texts: DataFrame, value: str = "value") -> DataFrame:
 
 # ---- envelopes ----------------------------------------------------------------------
 def unwrap(value: Column) -> Column:
-    """JSON text inside a code fence and up to two levels of JSON-in-text, in that order."""
-    fenced = F.regexp_extract(value, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = strip(F.when(value.rlike(r"(?s)```.*?```"), fenced).otherwise(value))
-    # A whole document that is itself a JSON text is opened through a one-field wrapper.
-    opened = lambda c: F.when(c.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), c, F.lit("}")), "$.x")).otherwise(c)
-    body = opened(body)
-    for key in ("result", "value", "data"):
-        inner = F.get_json_object(body, f"$.{key}")
-        body = F.when(inner.startswith("{") | inner.startswith('"'), opened(inner)).otherwise(body)
-    return body
+    """JSON text without its code fence and up to three levels of JSON inside JSON text."""
+    fence = r"(?s)```(?:json)?\s*(.*?)```"
+
+    def opened(c: Column) -> Column:
+        # A document that is itself a JSON text is opened through a one-field wrapper.
+        wrapped = F.get_json_object(F.concat(F.lit('{"x":'), c, F.lit("}")), "$.x")
+        return F.when(c.startswith('"'), wrapped).otherwise(c)
+
+    def level(body: Column, key: Column) -> Column:
+        inner = F.call_function("get_json_object", body, F.concat(F.lit("$."), key))
+        return once(inner, lambda i: F.when(i.startswith("{") | i.startswith('"'), opened(i)).otherwise(body))
+
+    body = F.when(value.rlike(fence), F.regexp_extract(value, fence, 1)).otherwise(value)
+    keys = F.array(*[F.lit(k) for k in ("result", "value", "data")])
+    return F.aggregate(keys, once(strip(body), opened), level)
 
 
 CAPTURE = "title string, url string, text string, cats array<string>, brandLinks array<struct<text: string, href: string>>"
@@ -99,8 +104,9 @@ CAPTURE = "title string, url string, text string, cats array<string>, brandLinks
 def captures(values: DataFrame, value: str = "value") -> DataFrame:
     """Captured pages from wrapped JSON; rows without a text are dropped."""
     kept = [c for c in values.columns if c != value]
-    parsed = values.select(*kept, F.from_json(unwrap(F.col(value)), CAPTURE).alias("c"))
-    return parsed.filter(F.col("c.text").isNotNull()).select(*kept, "c.*")
+    # Rows are dropped inside the array, so the text is parsed once and not again for a filter.
+    read = F.filter(F.array(F.from_json(unwrap(F.col(value)), CAPTURE)), lambda c: c["text"].isNotNull())
+    return values.select(*kept, F.explode(read).alias("c")).select(*kept, "c.*")
 
 
 # ---- two schemas, one form -------------------------------------------------------------
