@@ -38,6 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> dict[str, Query]:
-    from waymark.plans import ingest, places, platforms  # noqa: F401
+    from waymark.plans import corpus, ingest, places, platforms  # noqa: F401
 
     return QUERIES
