@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+#: White space of any script.
+SPACES = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 
 def strip(c: Column) -> Column:
     """Cut white space of any script from both ends (``trim`` only knows the blank)."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def or_empty(c: Column) -> Column:
@@ -27,6 +31,18 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def spread(df: DataFrame, keep: Sequence[Column | str], array: Column, item: str, pos: str | None = None) -> DataFrame:
+    """One row per element of a computed array of non-null elements.
+
+    The outer form with a check on its own output keeps the optimizer from
+    copying the array's expression into a filter below, where it would be
+    computed again for every copy.
+    """
+    spot = pos or "_pos"
+    rows = df.select(*keep, F.posexplode_outer(array).alias(spot, item)).filter(F.col(spot).isNotNull())
+    return rows if pos else rows.drop(spot)
+
+
 def lines(c: Column) -> Column:
     return F.split(c, _LINE_BREAK)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.functions.text import chain_of, or_empty, region_of_code, strip
+from waymark.functions.text import chain_of, or_empty, region_of_code, spread, strip
 
 
 def keyword_hits(name: Column, keywords: Sequence[str] = fixed.PROBE_KEYWORDS) -> Column:
@@ -26,7 +26,7 @@ def probed(stores: DataFrame, name: str = "name", keywords: Sequence[str] = fixe
 def hit_matrix(stores: DataFrame, name: str = "name", region: str = "region", keywords: Sequence[str] = fixed.PROBE_KEYWORDS) -> DataFrame:
     """Hits per keyword and region."""
     return (
-        stores.select(region, F.explode(keyword_hits(F.col(name), keywords)).alias("keyword"))
+        spread(stores, [region], keyword_hits(F.col(name), keywords), "keyword")
         .groupBy("keyword", region).agg(F.count(F.lit(1)).alias("count"))
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions import occurrences as occ
-from waymark.functions.text import goods_codes
+from waymark.functions.text import goods_codes, spread
 from waymark.session import rows_if_small
 
 MAX_INLINE_TERMS = 2000
@@ -27,7 +27,7 @@ def pages_with_terms(pages: DataFrame, terms: DataFrame, key: str = "page_id", t
     if small is not None:
         words = F.array(*[F.lit(t) for t in sorted(r["term"] for r in small)]).cast("array<string>")
         found = F.filter(words, lambda t: F.contains(F.col(text), t))
-        return pages.select(key, text, F.explode(found).alias("term"))
+        return spread(pages, [key, text], found, "term")
     return pages_with_terms_by_seed(pages, terms, key, text)
 
 
@@ -41,9 +41,8 @@ def pages_with_terms_by_seed(pages: DataFrame, terms: DataFrame, key: str = "pag
         return F.transform(F.arrays_zip(*[s.alias(f"c{i}") for i, s in enumerate(shifted)]), lambda z: F.concat(*[z[f"c{i}"] for i in range(n)]))
 
     lettered = pages.select(key, F.filter(F.split(text, ""), lambda c: c != "").alias("_letters"))
-    page_seeds = lettered.select(
-        key, F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, SEED_CHARS + 1)]))).alias("seed")
-    )
+    seen = F.array_distinct(F.concat(*[grams(n) for n in range(1, SEED_CHARS + 1)]))
+    page_seeds = spread(lettered, [key], seen, "seed")
     pairs = page_seeds.join(seeds, "seed").select(key, "term")
     return pages.select(key, text).join(pairs, key).filter(F.contains(F.col(text), F.col("term"))).select(key, text, "term")
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -34,10 +36,12 @@ def query(covers: str, sql: str | None = None) -> Callable[[Run], Run]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; its naive times are read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    naive = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if isinstance(f.dataType, TimestampNTZType)}
+    return df.withColumns(naive) if naive else df
 
 
 def load_all() -> dict[str, Query]:
-    from waymark.plans import corpus, ingest, places, platforms  # noqa: F401
+    from waymark.plans import corpus, events, ingest, places, platforms, survey  # noqa: F401
 
     return QUERIES

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark import fixed
-from waymark.functions.text import once, strip
+from waymark.functions.text import once, spread, strip
 from waymark.functions.values import joined_or_null, mail_date_to_local, plain_text, platform_kind, title_without_source
 from waymark.schema import API_PLACE, API_PLATFORM, envelope
 
@@ -19,10 +19,18 @@ def read_texts(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 # ---- API pages -------------------------------------------------------------------
-def parse_pages(pages: DataFrame, row: T.StructType, value: str = "value") -> DataFrame:
-    """Pages with their envelope parsed as ``page`` and ``ok``: readable, with the success code."""
-    parsed = pages.withColumn("page", F.from_json(F.col(value), envelope(row))).drop(value)
-    return parsed.withColumn("ok", F.coalesce(F.col("page.resCode") == fixed.OK_CODE, F.lit(False)))
+def parse_pages(pages: DataFrame, row: T.StructType, good: bool, value: str = "value") -> DataFrame:
+    """The good pages, or the others, with their envelope as ``page``.
+
+    A page is good when it can be read and carries the success code.  Pages are
+    chosen inside an array, so that each text is parsed once.
+    """
+    keep = [c for c in pages.columns if c != value]
+    empty = F.lit(None).cast(envelope(row))
+    page = F.coalesce(F.from_json(F.col(value), envelope(row)), F.struct(*[empty[f].alias(f) for f in envelope(row).fieldNames()]))
+    ok = lambda p: F.coalesce(p["resCode"] == fixed.OK_CODE, F.lit(False))
+    chosen = F.filter(F.array(page), lambda p: ok(p) if good else ~ok(p))
+    return spread(pages, keep, chosen, "page")
 
 
 def place_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,25 +38,22 @@ def place_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``pages`` holds (value, query_sido, query_addr, page_no) per landed page.
     """
-    parsed = parse_pages(pages, API_PLACE)
-    rows = parsed.filter("ok").select(
-        "query_sido", "query_addr", "page_no", F.posexplode("page.data.list").alias("pos", "r")
-    ).select("query_sido", "query_addr", "page_no", "pos", "r.*")
-    rejects = parsed.filter("not ok").select(
-        "query_sido", "query_addr", "page_no", F.col("page.resCode").alias("code"), F.col("page.resMsg").alias("message")
+    where = ["query_sido", "query_addr", "page_no"]
+    rows = spread(parse_pages(pages, API_PLACE, True), where, F.col("page.data.list"), "r", "pos").select(*where, "pos", "r.*")
+    rejects = parse_pages(pages, API_PLACE, False).select(
+        *where, F.col("page.resCode").alias("code"), F.col("page.resMsg").alias("message")
     )
     return rows, rejects
 
 
 def declared_counts(pages: DataFrame) -> DataFrame:
     """(district, total_cnt) per good page."""
-    good = parse_pages(pages, API_PLACE).filter("ok")
-    return good.select(F.concat_ws(" ", "query_sido", "query_addr").alias("district"), F.col("page.data.totalCnt").alias("total_cnt"))
+    return parse_pages(pages, API_PLACE, True).select(F.concat_ws(" ", "query_sido", "query_addr").alias("district"), F.col("page.data.totalCnt").alias("total_cnt"))
 
 
 def platform_pages(pages: DataFrame) -> DataFrame:
     """Platform feed rows in page order: (seq, post_no, ord, kind, name, summary, url)."""
-    rows = parse_pages(pages, API_PLATFORM).filter("ok").select("page_no", F.posexplode("page.data.list").alias("pos", "r"))
+    rows = spread(parse_pages(pages, API_PLATFORM, True), ["page_no"], F.col("page.data.list"), "r", "pos")
     return rows.select(
         (F.col("page_no").cast("bigint") * F.lit(1 << 32) + F.col("pos")).alias("seq"),
         F.col("r.postNo").alias("post_no"), F.col("r.ordNo").alias("ord"),
@@ -61,11 +66,10 @@ def platform_pages(pages: DataFrame) -> DataFrame:
 
 def platform_page_faults(pages: DataFrame, min_total: int = fixed.PLATFORM_MIN_TOTAL) -> DataFrame:
     """Reasons to skip a platform run and keep the old table; no rows means it may go on."""
-    parsed = parse_pages(pages, API_PLATFORM)
-    bad = parsed.filter("not ok").select(
+    bad = parse_pages(pages, API_PLATFORM, False).select(
         "page_no", F.concat(F.lit("resCode="), F.coalesce("page.resCode", F.lit("?"))).alias("reason")
     )
-    first = parsed.filter((F.col("page_no") == 1) & F.col("ok"))
+    first = parse_pages(pages.filter("page_no = 1"), API_PLATFORM, True)
     few = F.coalesce("page.data.totalCnt", F.lit(0).cast("bigint"))
     short = first.filter(few < min_total).select(
         "page_no", F.concat(F.lit("totalCnt="), few.cast("string"), F.lit(f" < {min_total}")).alias("reason")
@@ -76,7 +80,7 @@ def platform_page_faults(pages: DataFrame, min_total: int = fixed.PLATFORM_MIN_T
 def read_faq(texts: DataFrame, value: str = "value") -> DataFrame:
     """(cat, q, a) rows with their position from FAQ files ``{items: [...]}``."""
     schema = "items array<struct<cat: string, q: string, a: string>>"
-    return texts.select(F.posexplode(F.from_json(value, schema)["items"]).alias("pos", "i")).select("pos", "i.*")
+    return spread(texts, [], F.from_json(value, schema)["items"], "i", "pos").select("pos", "i.*")
 
 
 # ---- envelopes ----------------------------------------------------------------------
@@ -106,7 +110,7 @@ def captures(values: DataFrame, value: str = "value") -> DataFrame:
     kept = [c for c in values.columns if c != value]
     # Rows are dropped inside the array, so the text is parsed once and not again for a filter.
     read = F.filter(F.array(F.from_json(unwrap(F.col(value)), CAPTURE)), lambda c: c["text"].isNotNull())
-    return values.select(*kept, F.explode(read).alias("c")).select(*kept, "c.*")
+    return spread(values, kept, read, "c").select(*kept, "c.*")
 
 
 # ---- two schemas, one form -------------------------------------------------------------
@@ -150,7 +154,7 @@ def feed_items(feeds: DataFrame, xml: str = "xml", max_items: int = fixed.FEED_M
         )
 
     usable = F.filter(F.transform(blocks, item), lambda i: i["title"].isNotNull() & i["link"].isNotNull())
-    rows = feeds.select(*kept, F.posexplode(F.slice(usable, 1, max_items)).alias("pos", "i"))
+    rows = spread(feeds, kept, F.slice(usable, 1, max_items), "i", "pos")
     return rows.select(
         *kept, "pos", title_without_source(F.col("i.title"), F.col("i.source")).alias("title"),
         F.col("i.link").alias("link"), F.col("i.source").alias("source"), mail_date_to_local(F.col("i.pub")).alias("pub_date"),

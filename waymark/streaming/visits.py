@@ -18,17 +18,23 @@ def daily_counts(events: DataFrame, ts: str = "ts", late: str = "1 day") -> Data
     return counted.select(F.to_date("window.end").alias("day"), "count")
 
 
-def keep_daily_counts(events: DataFrame, path: str, checkpoint: str, ts: str = "ts", late: str = "1 day") -> StreamingQuery:
+def keep_daily_counts(
+    events: DataFrame, path: str, checkpoint: str, ts: str = "ts", late: str = "1 day", once: bool = False
+) -> StreamingQuery:
     """Maintain a (day, count) table: each batch writes the days it changed under its own number.
 
     A day's newest batch holds its count, so a batch that runs again after a
-    lost executor replaces its own rows and counts nothing twice.
+    lost executor replaces its own rows and counts nothing twice.  ``once`` reads
+    what is there and stops.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return daily_counts(events, ts, late).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save).start()
+    counts = daily_counts(events, ts, late).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    if once:
+        counts = counts.trigger(availableNow=True)
+    return counts.foreachBatch(save).start()
 
 
 def read_daily_counts(spark, path: str) -> DataFrame:
