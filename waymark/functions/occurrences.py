@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.functions.text import strip
+from waymark.functions.text import once, strip
 
 
 def pieces(text: Column, term: Column) -> Column:
@@ -69,14 +69,17 @@ def list_after(
     at ``tolerance`` non-items in a row.
     """
     rest = F.substring(text, F.locate(marker, text), F.length(text))
-    rows = F.filter(F.transform(F.split(rest, "\n"), strip), lambda s: s != "")
-    rows = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
-    is_item = F.transform(rows, lambda s: (F.length(s) <= max_len) & ~s.rlike(signal))
-    # The end is the first run of `tolerance` misses; everything before it that is an item counts.
-    run_starts = F.filter(
-        F.sequence(F.lit(0), F.size(rows)),
-        lambda i: (i + tolerance <= F.size(rows)) & ~F.exists(F.slice(is_item, i + 1, F.lit(tolerance)), lambda x: x),
-    )
-    end = F.coalesce(F.try_element_at(run_starts, F.lit(1)), F.size(rows))
-    kept = F.filter(rows, lambda s, i: (i < end) & F.get(is_item, i))
-    return F.when(F.locate(marker, text) > 0, kept).otherwise(F.array().cast("array<string>"))
+    found = F.filter(F.transform(F.split(rest, "\n"), strip), lambda s: s != "")
+    tagged = F.transform(found, lambda s: F.struct(s.alias("line"), ((F.length(s) <= max_len) & ~s.rlike(signal)).alias("item")))
+
+    def kept(rows: Column) -> Column:
+        # The list ends at the first run of `tolerance` misses; row 0 holds the marker itself.
+        misses = F.filter(
+            F.sequence(F.lit(1), F.size(rows)),
+            lambda i: (i + tolerance <= F.size(rows)) & ~F.exists(F.slice(rows, i + 1, F.lit(tolerance)), lambda r: r["item"]),
+        )
+        end = F.coalesce(F.try_element_at(misses, F.lit(1)), F.size(rows))
+        items = once(end, lambda e: F.filter(rows, lambda r, i: (i > 0) & (i < e) & r["item"]))
+        return F.transform(items, lambda r: r["line"])
+
+    return F.when(F.locate(marker, text) > 0, once(tagged, kept)).otherwise(F.array().cast("array<string>"))

@@ -170,6 +170,8 @@ def goods_codes(
         spelled = pattern.replace(r"\b", boundary)
         return F.when(F.exists(labels, lambda x: x.rlike(spelled)), F.lit(code))
 
-    codes = F.filter(F.array(*[hit(c, p) for c, p in rules]), lambda x: x.isNotNull())
-    has_child = F.exists(codes, lambda x: x.startswith(child_prefix))
-    return F.array_sort(F.when(has_child, F.array_remove(codes, parent)).otherwise(codes))
+    def without_parent(codes: Column) -> Column:
+        has_child = F.exists(codes, lambda x: x.startswith(child_prefix))
+        return F.array_sort(F.when(has_child, F.array_remove(codes, parent)).otherwise(codes))
+
+    return once(F.filter(F.array(*[hit(c, p) for c, p in rules]), lambda x: x.isNotNull()), without_parent)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions import occurrences as occ
-from waymark.functions.text import goods_codes, spread
+from waymark.functions.text import goods_codes, once, spread
 from waymark.session import rows_if_small
 
 MAX_INLINE_TERMS = 2000
@@ -77,25 +77,24 @@ def page_terms(pages: DataFrame, terms: DataFrame, key: str = "page_id", text: s
     return term_details(pages_with_terms(pages, terms, key, text), key, text, **rules)
 
 
-def seen_terms(text: Column, terms: Sequence[str], max_hits: int | None = fixed.PROBE_MAX_HITS) -> tuple[Column, Column]:
-    """(confirmed, suspect) terms of a text, for a dictionary given as a list."""
+def seen_terms(text: Column, terms: Sequence[str], max_hits: int | None = fixed.PROBE_MAX_HITS) -> Column:
+    """(term, clean) of every term in a text, for a dictionary given as a list."""
     words = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    present = F.filter(words, lambda t: F.contains(text, t))
 
-    def clean(t: Column) -> Column:
-        parts = occ.pieces(text, t)
-        return occ.first_clean_hit(parts, t, occ.hit_count(parts, max_hits)).isNotNull()
+    def judged(t: Column) -> Column:
+        clean = once(occ.pieces(text, t), lambda parts: occ.first_clean_hit(parts, t, occ.hit_count(parts, max_hits)).isNotNull())
+        return F.struct(t.alias("term"), clean.alias("clean"))
 
-    return F.filter(present, clean), F.filter(present, lambda t: ~clean(t))
+    return F.transform(F.filter(words, lambda t: F.contains(text, t)), judged)
 
 
 def analyze(pages: DataFrame, terms: Sequence[str] = fixed.KNOWN_BRANDS) -> DataFrame:
     """Collected pages with confirmed and suspect terms, the brand directory and the text length."""
     if len(terms) > MAX_INLINE_TERMS:
         raise ValueError("pass a large dictionary as a table to page_terms")
-    confirmed, suspect = seen_terms(F.col("text"), terms)
-    return pages.select(
-        "*", confirmed.alias("confirmed"), suspect.alias("suspect"),
+    named = lambda clean: F.transform(F.filter("_seen", lambda s: s["clean"] == clean), lambda s: s["term"])
+    return pages.withColumn("_seen", seen_terms(F.col("text"), terms)).select(
+        *pages.columns, named(True).alias("confirmed"), named(False).alias("suspect"),
         occ.list_after(F.col("text")).alias("directory"), F.length("text").alias("text_len"),
     )
 
