@@ -42,8 +42,8 @@ def page_dictionary_by_seed(spark, d) -> DataFrame:
     return survey.pages_with_terms_by_seed(table(spark, d, "pages"), _terms(spark, d), text="html").select("page_id", "term")
 
 
-@query("X22", f"""WITH {_FOUND}, f AS (SELECT page_id, term, strpos(html, term) - 1 AS at, html FROM found JOIN pages USING (page_id))
-SELECT page_id, term, regexp_replace(regexp_replace(substr(html, greatest(0, at - 20) + 1, at + length(term) + 20 - greatest(0, at - 20)), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS first_ctx FROM f""")
+@query("X22", f"""WITH {_FOUND}, f AS (SELECT page_id, term, strpos(html, term) - 1 AS p0, html FROM found JOIN pages USING (page_id))
+SELECT page_id, term, regexp_replace(regexp_replace(substr(html, greatest(0, p0 - 20) + 1, p0 + length(term) + 20 - greatest(0, p0 - 20)), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS first_ctx FROM f""")
 def page_contexts(spark, d) -> DataFrame:
     found = survey.page_terms(table(spark, d, "pages"), _terms(spark, d), text="html")
     return found.select("page_id", "term", F.element_at("ctxs", 1).alias("first_ctx"))
@@ -72,7 +72,7 @@ def deep_link(spark, d) -> DataFrame:
 
 # ---- lists and analysis -----------------------------------------------------------------------
 # Documents as page texts: a marker line in front, words cut to short lines.
-@query("X23", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda w: trim(w, E' \t\n\r')), lambda w: w <> '') AS ws FROM documents),
+@query("X23", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda w: trim(regexp_replace(w, '\s', ' ', 'g'), ' ')), lambda w: w <> '') AS ws FROM documents),
 m AS (SELECT doc_id, ws, list_transform(ws, lambda w: length(w) <= 16 AND NOT regexp_matches(w, '\d{2,}|[₩$]|무료배송|배송비|★|리뷰|후기|할인|더보기|장바구니|로그인|검색|%')) AS ok FROM l),
 e AS (SELECT *, coalesce(list_filter(range(1, len(ws)), lambda i: NOT ok[i] AND NOT ok[i + 1])[1], len(ws) + 1) AS stop FROM m)
 SELECT doc_id, coalesce(array_to_string(list_filter(ws, lambda w, i: i < stop AND ok[i]), ' '), '') AS items FROM e""")
