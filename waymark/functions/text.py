@@ -94,16 +94,23 @@ def dong_of(addr: Column) -> Column:
     """Neighbourhood named in parentheses; the last pair that names one counts."""
     groups = F.reverse(F.regexp_extract_all(or_empty(addr), F.lit(r"\(([^)]*)\)"), F.lit(1)))
     named = F.transform(groups, lambda g: F.regexp_extract(g, r"([가-힣]+\d*(?:동|가|리))(?![가-힣])", 1))
-    return F.try_element_at(F.filter(named, lambda v: v != ""), F.lit(1))
+    return F.get(F.filter(named, lambda v: v != ""), F.lit(0))
 
 
 def gu_of(addr: Column, region: Column, city_region: str = fixed.FOUR_LEVEL_REGION) -> Column:
     """District token of an address, after its region token and, in one region, its city token."""
-    words = F.filter(F.split(strip(or_empty(addr)), r"(?U)\s+"), lambda w: w != "")
-    word = lambda n: or_empty(F.try_element_at(words, n))
-    first = F.when(region_prefix(word(F.lit(1))).isNotNull(), 2).otherwise(1)
-    first = first + F.when((region == city_region) & word(first).endswith("시"), 1).otherwise(0)
-    return F.when(word(first).rlike("[구군]$"), word(first))
+    words = F.split(strip(or_empty(addr)), r"(?U)\s+")
+
+    def district(ws: Column) -> Column:
+        word = lambda n: F.coalesce(F.get(ws, n), F.lit(""))
+        after_region = F.when(region_prefix(word(F.lit(0))).isNotNull(), 1).otherwise(0)
+
+        def behind_city(i: Column) -> Column:
+            return word(i + F.when((region == city_region) & word(i).endswith("시"), 1).otherwise(0))
+
+        return once(once(after_region, behind_city), lambda w: F.when(w.endswith("구") | w.endswith("군"), w))
+
+    return once(words, district)
 
 
 def only_listed(c: Column, allowed: Iterable[str]) -> Column:

@@ -12,7 +12,7 @@ from waymark.functions import occurrences as occ
 from waymark.functions.text import goods_codes, once, spread
 from waymark.session import rows_if_small
 
-MAX_INLINE_TERMS = 2000
+MAX_INLINE_TERMS = 500
 SEED_CHARS = 4
 
 
@@ -35,14 +35,12 @@ def pages_with_terms_by_seed(pages: DataFrame, terms: DataFrame, key: str = "pag
     """The same pairs for a dictionary of any size."""
     seeds = terms.select("term").filter("term <> ''").distinct().withColumn("seed", F.substring("term", 1, SEED_CHARS))
 
-    def grams(n: int) -> Column:
-        letters = F.col("_letters")
-        shifted = [F.slice(letters, F.lit(i + 1), F.greatest(F.size(letters) - (n - 1), F.lit(0))) for i in range(n)]
-        return F.transform(F.arrays_zip(*[s.alias(f"c{i}") for i, s in enumerate(shifted)]), lambda z: F.concat(*[z[f"c{i}"] for i in range(n)]))
-
-    lettered = pages.select(key, F.filter(F.split(text, ""), lambda c: c != "").alias("_letters"))
-    seen = F.array_distinct(F.concat(*[grams(n) for n in range(1, SEED_CHARS + 1)]))
-    page_seeds = spread(lettered, [key], seen, "seed")
+    # Seeds have at most SEED_CHARS lengths; only those that occur are cut from the pages.
+    sizes = sorted(r["n"] for r in seeds.select(F.length("seed").alias("n")).distinct().collect())
+    if not sizes:
+        return pages.select(key, text, F.lit(None).cast("string").alias("term")).limit(0)
+    grams = [F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in sizes]
+    page_seeds = spread(pages, [key], F.concat(*grams), "seed")
     pairs = page_seeds.join(seeds, "seed").select(key, "term")
     return pages.select(key, text).join(pairs, key).filter(F.contains(F.col(text), F.col("term"))).select(key, text, "term")
 
