@@ -16,6 +16,7 @@ from waymark import fixed
 from waymark.functions.text import (
     base_before_branch, has_branch_mark, name_key, or_empty, standard_name, strip, without_parentheses,
 )
+from waymark.session import cut_lineage
 
 
 def vocabulary(
@@ -143,6 +144,16 @@ def with_brand(places: DataFrame, brands: DataFrame) -> DataFrame:
     return places.drop("brand").join(brands, "id", "left")
 
 
+def detect(places: DataFrame, **rules) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bases per place, candidates, brand per place) of one detection run.
+
+    The bases feed both the candidates and the assignment, so they are written once.
+    """
+    assigned = cut_lineage(assign_bases(places, **rules))
+    found = candidates(assigned)
+    return assigned, found, brand_of(assigned, found)
+
+
 def brand_totals(places: DataFrame, found: DataFrame) -> DataFrame:
     """One row: places with and without a brand, and brands confirmed and rejected."""
     verdicts = found.agg(

@@ -65,9 +65,9 @@ def length_stats(df: DataFrame, length: Column) -> DataFrame:
     Rows shrink to one count per length first; the running sum is over those.
     """
     sizes = df.groupBy(length.cast("bigint").alias("len")).agg(F.count(F.lit(1)).alias("n"))
-    run = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("len")))
-    n = sizes.agg(F.sum("n").alias("n")).scalar()
-    middle = F.min(F.when(F.col("upto") > F.floor(n / 2), F.col("len")))
+    every = Window.orderBy("len").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("len"))).withColumn("total", F.sum("n").over(every))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("len")))
     return run.agg(
         F.sum("n").alias("chunks"), F.min("len").alias("min_len"), middle.alias("median_len"), F.max("len").alias("max_len")
     )

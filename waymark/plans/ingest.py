@@ -234,53 +234,55 @@ cand AS (SELECT base AS brand, count(*) AS count, count(*) FILTER (is_branch) /
 """
 
 
-def _assigned(spark, d) -> DataFrame:
+def _named_parts(spark, d) -> DataFrame:
     k, name = F.col("p_partkey"), F.col("p_name")
-    rows = table(spark, d, "part").select(
+    return table(spark, d, "part").select(
         k.alias("seq"), k.cast("string").alias("id"),
         F.when(k % 5 == 0, F.replace(name, F.lit(" "), F.lit(""))).when(k % 11 == 0, F.split_part(name, F.lit(" "), F.lit(2))).otherwise(name).alias("name"),
         F.when(k % 3 == 0, F.col("p_brand")).otherwise("").alias("addr"),
     )
-    return brands.assign_bases(rows, mark=MARK, variants=VARIANTS)
+
+
+def _detected(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return brands.detect(_named_parts(spark, d), mark=MARK, variants=VARIANTS)
 
 
 @query("A12 A13 J2 W9 X2 X3 X4 X5 X6 X17 T9", f"""WITH {_PARTS} SELECT brand, count, round(ratio, 6) AS ratio, variants, sample_addr,
 CASE WHEN ratio >= 0.4 THEN '브랜드' ELSE '제외' END AS verdict, count BETWEEN 7 AND 10 OR (ratio >= 0.3 AND ratio < 0.5) AS borderline FROM cand""")
 def brand_detect(spark, d) -> DataFrame:
-    a = _assigned(spark, d)
-    found = brands.ranked(brands.candidates(a))
+    a, found, _ = _detected(spark, d)
+    found = brands.ranked(found)
     ratio = a.groupBy(F.col("base").alias("brand")).agg(F.round(F.count_if("is_branch") / F.count(F.lit(1)), 6).alias("ratio"))
     return found.join(ratio, "brand").select("brand", "count", "ratio", "variants", "sample_addr", "verdict", "borderline")
 
 
 @query("J2 W9 X6", f"WITH {_PARTS} SELECT id, base, raw, is_branch FROM assigned")
 def brand_bases(spark, d) -> DataFrame:
-    return _assigned(spark, d).select("id", "base", "raw", "is_branch")
+    return brands.assign_bases(_named_parts(spark, d), mark=MARK, variants=VARIANTS).select("id", "base", "raw", "is_branch")
 
 
 @query("J1", f"""WITH {_PARTS} SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CASE WHEN ratio >= 0.4 THEN brand END AS brand
 FROM part LEFT JOIN assigned ON assigned.id = CAST(p_partkey AS VARCHAR) LEFT JOIN cand ON assigned.base = cand.brand""")
 def brand_assignment(spark, d) -> DataFrame:
-    a = _assigned(spark, d)
+    _, _, brand = _detected(spark, d)
     rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
-    return brands.with_brand(rows, brands.brand_of(a, brands.candidates(a))).select("id", "name", "brand")
+    return brands.with_brand(rows, brand).select("id", "name", "brand")
 
 
 @query("A29", f"""WITH {_PARTS}, b AS (SELECT count(*) FILTER (ratio >= 0.4) AS assigned, (SELECT count(*) FROM part) - count(*) FILTER (ratio >= 0.4) AS unassigned
 FROM assigned JOIN cand ON base = brand)
 SELECT assigned, unassigned, (SELECT count(*) FROM cand WHERE ratio >= 0.4) AS confirmed, (SELECT count(*) FROM cand WHERE ratio < 0.4) AS rejected FROM b""")
 def brand_totals(spark, d) -> DataFrame:
-    a = _assigned(spark, d)
-    found = brands.candidates(a)
+    _, found, brand = _detected(spark, d)
     rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"))
-    return brands.brand_totals(brands.with_brand(rows.withColumn("brand", F.lit("")), brands.brand_of(a, found)), found)
+    return brands.brand_totals(brands.with_brand(rows.withColumn("brand", F.lit("")), brand), found)
 
 
 @query("S13", f"""WITH {_PARTS} SELECT brand, CAST(count AS VARCHAR) AS count, CASE WHEN ratio >= 0.4 THEN '브랜드' ELSE '제외' END AS verdict FROM cand""")
 def candidate_csv(spark, d) -> DataFrame:
     """The review file written as CSV and read back by position."""
     path = work_folder(spark, "candidates")
-    tables.write_csv(tables.candidate_columns(brands.candidates(_assigned(spark, d))), path)
+    tables.write_csv(tables.candidate_columns(_detected(spark, d)[1]), path)
     names = "brand string, count string, ratio string, variants string, addr string, verdict string, reason string, borderline string"
     return spark.read.schema(names).option("header", True).csv(path).select("brand", "count", "verdict")
 
