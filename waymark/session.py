@@ -26,12 +26,20 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a temporary one where none is named."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A local master (tests, benches) gets a folder of its own where none is
+    named; a cluster without one is an error, since no other executor could
+    read what a task writes to its own disk.
+    """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-waymark-", dir="/tmp")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-waymark-", dir="/tmp")
+        spark.conf.set(CHECKPOINT_CONF, root)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
