@@ -5,10 +5,10 @@ the wanted total by weight; a source's target stops at ``most`` times its size
 and what is over goes to the others by weight.  A document of a source is taken
 ``floor(rate)`` times, and once more with probability ``rate - floor(rate)``.
 
-Those draws are not independent.  Flight: in blocks of a source, three documents
-at a time move their probabilities along the null space of (documents, tokens)
+Those draws are not independent.  Flight: in blocks of a source, a pool of
+documents moves its probabilities along the null space of (documents, tokens)
 until one reaches 0 or 1, so both totals of the block stay exactly as they were;
-at most two documents of a block stay open.  The open ones of all blocks form
+at most two documents of a block, its smallest, stay open.  The open ones of all blocks form
 new blocks, round after round, until one block per source is left; there the
 landing gives up first the document total, then the token total.  A source's
 taken tokens miss its target by less than its last open documents' sizes.
@@ -23,6 +23,7 @@ that repeat an id are drawn each for itself.  A source without tokens has target
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import xxhash
 from numpy.random import Generator, PCG64
@@ -34,6 +35,8 @@ from waymark.operators.ordering import number_all
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 2_000
+#: Open documents among which one move is made.
+POOL = 64
 _EPS = 1e-9
 
 
@@ -59,51 +62,62 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
     return table.select("source", "source_size", "n_docs", F.least(F.col("w") * F.lit(level), limit).alias("target"))
 
 
-def fly(p: list[float], size: list[int], rng: Generator, land: bool) -> list[float]:
+def fly(p: list[float], size: list[int], rng: Generator, land: bool) -> np.ndarray:
     """Moves open probabilities to 0 or 1 with the sums of ``p`` and of ``p * size`` unchanged.
 
-    At most two stay open; ``land`` settles those as well.
+    ``size`` falls.  Of a pool of open documents the largest one that can move
+    does so, along its projection on the null space, while the others make up
+    for it: large documents are settled while many small ones are still open.  At
+    most two stay open, the smallest; ``land`` settles those as well.
     """
-    p = list(p)
-    draws = iter(rng.random(len(p) + 4).tolist())
-    waiting = iter([i for i in range(len(p)) if _EPS < p[i] < 1 - _EPS])
-    active: list[int] = []
-    while True:
-        while len(active) < 3 and (i := next(waiting, None)) is not None:
-            active.append(i)
-        if len(active) < 3 and (not land or not active):
-            break
-        if len(active) == 3:
-            a, b, c = (size[i] for i in active)
-            u = [float(b - c), float(c - a), float(a - b)]
-            if a == b == c:
-                u = [1.0, -1.0, 0.0]
-        elif len(active) == 2:
-            a, b = (size[i] for i in active)
-            u = [float(b), float(-a)] if a or b else [1.0, -1.0]
-        else:
-            u = [1.0]
-        up = down = float("inf")
-        for i, x in zip(active, u):
-            if x > 0:
-                up, down = min(up, (1 - p[i]) / x), min(down, p[i] / x)
-            elif x < 0:
-                up, down = min(up, p[i] / -x), min(down, (1 - p[i]) / -x)
-        step = up if next(draws) * (up + down) < down else -down
-        for i, x in zip(active, u):
-            p[i] += step * x
-        settled = [i for i in active if not _EPS < p[i] < 1 - _EPS]
-        for i in settled:
-            p[i] = 1.0 if p[i] > 0.5 else 0.0
-        active = [i for i in active if i not in settled]
+    p, size = np.array(p, float), np.array(size, float)
+    p[p < _EPS], p[p > 1 - _EPS] = 0.0, 1.0
+    waiting, at = np.flatnonzero((p > 0) & (p < 1)), POOL
+    pool = waiting[:at]
+    while len(pool) > 2 or (land and len(pool)):
+        u = _direction(size[pool])
+        x = p[pool]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ups = np.where(u > 0, (1 - x) / u, np.where(u < 0, -x / u, np.inf))
+            downs = np.where(u > 0, x / u, np.where(u < 0, (x - 1) / u, np.inf))
+        up, down = ups.min(), downs.min()
+        rises = rng.random() * (up + down) < down
+        x = x + (up if rises else -down) * u
+        x[(ups if rises else downs).argmin()] = round(x[(ups if rises else downs).argmin()])
+        x[x < _EPS], x[x > 1 - _EPS] = 0.0, 1.0
+        p[pool] = x
+        pool = pool[(x > 0) & (x < 1)]
+        more = POOL - len(pool)
+        pool, at = np.concatenate([pool, waiting[at : at + more]]), at + more
     return p
 
 
+def _direction(size: np.ndarray) -> np.ndarray:
+    """A move that keeps the number and the sizes' sum, led by the first document that can; with two or one left, less is kept."""
+    n = len(size)
+    if n == 1:
+        return np.ones(1)
+    if n == 2:
+        return np.array([size[1], -size[0]]) if size.any() else np.array([1.0, -1.0])
+    mean = size.mean()
+    off = size - mean
+    spread = off @ off
+    if spread <= 1e-9 * max(1.0, mean * mean):
+        off, spread = np.zeros(n), 1.0
+    # 1 - leverage: how much of a document's own move the two sums leave.
+    free = 1 - 1 / n - off * off / spread
+    lead = int(np.argmax(free > 1e-3)) if (free > 1e-3).any() else int(free.argmax())
+    u = -1 / n - off[lead] * off / spread
+    u[lead] += 1
+    u[np.abs(u) < 1e-12] = 0.0
+    return u
+
+
 def _flight(round_no: int, land: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "h", "p"], ascending=[False, True, True], kind="stable")
         rng = Generator(PCG64(xxhash.xxh3_64_intdigest(f"{seed}|{round_no}|{key[0]!r}|{key[1]}".encode("utf-8", "surrogatepass"))))
-        return rows.assign(p=fly(rows["p"].tolist(), rows["size"].tolist(), rng, land))
+        return rows.assign(p=fly(rows["p"], rows["size"], rng, land))
 
     return run
 
