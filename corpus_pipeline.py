@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm import minhash
+from waymark.llm import bpe, langid, minhash, mixing, secrets
 from waymark.llm.common import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKENIZER = "word_bpe_49k.json"
+#: Below this a language is a guess; with a handful of languages no clean text comes near it.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language go; a missing label becomes the predicted one."""
+    judged = langid.predict(docs.select(*COLUMNS), langid.fit(docs))
+    kept = judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies stays: the one with the smallest id."""
-    verdict = minhash.near_duplicates(docs, shingle_words=5).filter("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi").select(*COLUMNS)
+    gone = minhash.near_duplicates(docs, shingle_words=5).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets other than widely copied examples are replaced by a mark."""
+    clean = secrets.redact(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("bigint"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
+    return mixing.take(docs.select(*COLUMNS))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mixture."""
+    return bpe.encode(docs, tokenizer_path(TOKENIZER), ("n_tokens", "token_ids"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mix_sources), ("bpe", encode)]
 
 #: Classifiers, signatures and draws by hash have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -157,10 +157,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixture itself: every row as often as it was drawn, with its own columns."""
-    drawn = mix(docs, id_col, text_col, **options).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"), "copies")
+    drawn = mix(docs, id_col, text_col, **options).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__of"), "copies")
     # Rows that repeat an id with the same text share their draws.
-    drawn = drawn.groupBy("_id", "_h").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.select("*", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_key"))
-    joined = keyed.join(drawn, keyed[id_col].eqNullSafe(drawn["_id"]) & (keyed["_key"] == drawn["_h"]))
-    each = F.ceil(F.col("_sum") / F.col("_rows")).cast("int")
-    return joined.select(*(keyed[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), each)).alias("_copy")).drop("_copy")
+    drawn = drawn.groupBy("__id", "__of").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
+    keyed = docs.select("*", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__hash"))
+    joined = keyed.join(drawn, keyed[id_col].eqNullSafe(drawn["__id"]) & (keyed["__hash"] == drawn["__of"]))
+    each = F.ceil(F.col("__sum") / F.col("__rows")).cast("int")
+    return joined.select(*(keyed[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), each)).alias("__copy")).drop("__copy")

@@ -106,7 +106,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
     ``texts``: id, text_hash, base (array of start, kind, end, value_hash).
     ``spans``: id, text_hash, start, kind, end, value_hash, n_owners, n_repos, class;
-    kinds 0 to 2 are base, 3 is a live token.
+    kinds 0 to 2 are base, 3 is a token that no base span overlaps.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), text.alias("text"))
@@ -124,7 +124,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     is_base = F.col("kind") < 3
     before = F.max(F.when(is_base, F.col("end"))).over(text_of.orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(is_base, F.col("start"))).over(text_of.orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
-    free = (F.col("class") == "live") & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    free = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
     spans = known.withColumn("before", before).withColumn("after", after).filter(is_base | free).drop("before", "after")
     return found.select("id", "text_hash", "base"), spans
 
@@ -134,7 +134,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     texts, spans = find(docs, id_col, text_col, owner_col)
     texts = texts.withColumn("plain", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     per_text = spans.groupBy("id", "text_hash").agg(
-        F.collect_list(F.when(F.col("kind") == 3, F.struct("start", "kind", "end"))).alias("added"),
+        F.collect_list(F.when((F.col("kind") == 3) & (F.col("class") == "live"), F.struct("start", "kind", "end"))).alias("added"),
         F.count_if(F.col("class") == "live").alias("n_live"), F.count_if(F.col("class") == "example").alias("n_example"),
     )
     of_kind = lambda k: F.size(F.filter("plain", lambda s: s["kind"] == k)).cast("bigint")
@@ -147,11 +147,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span that is not a widely copied example replaced by ``mark``; all rows and columns stay."""
+    """``docs`` with every base or live span that is not a widely copied example replaced by ``mark``; all rows and columns stay."""
     _, spans = find(docs, id_col, text_col, owner_col)
-    cuts = spans.filter("class <> 'example'").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    keyed = docs.select("*", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_h"))
-    cuts = cuts.select(F.col("id").alias("_id"), F.col("text_hash").alias("_th"), "cuts")
+    cuts = spans.filter("class = 'live' or class = 'shared' and kind < 3").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    cuts = cuts.select(F.col("id").alias("__id"), F.col("text_hash").alias("__of"), F.col("cuts").alias("__cuts"))
+    keyed = docs.select("*", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__hash"))
     begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -161,6 +161,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
     text = F.col(text_col)
     rest = lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.char_length(text))))
-    cleaned = F.array_join(F.aggregate("cuts", begin, step, rest), mark)
-    joined = keyed.join(cuts, keyed[id_col].eqNullSafe(cuts["_id"]) & (keyed["_h"] == cuts["_th"]), "left")
-    return joined.select(*(F.when(F.col("cuts").isNull(), text).otherwise(cleaned).alias(c) if c == text_col else keyed[c] for c in docs.columns))
+    cleaned = F.array_join(F.aggregate("__cuts", begin, step, rest), mark)
+    joined = keyed.join(cuts, keyed[id_col].eqNullSafe(cuts["__id"]) & (keyed["__hash"] == cuts["__of"]), "left")
+    return joined.select(*(F.when(F.col("__cuts").isNull(), text).otherwise(cleaned).alias(c) if c == text_col else keyed[c] for c in docs.columns))
