@@ -9,13 +9,19 @@ full sets.  Steps:
    the keys of 42 bands of 6 registers from a SuperMinHash signature;
 2. equal sets become one class with the smallest id as its representative, so
    copies cost one row each and never meet;
-3. a star per bucket: every representative is compared with the bucket's
-   smallest one and with a few further anchors, which is linear in the bucket;
-4. components of the confirmed links; where a bucket still holds several
-   components, the pairs between different components follow, so no link
-   between them is lost;
+3. a star per bucket: every representative is compared with the bucket's hub, the
+   one that shares most bucket places with others; this is linear in the bucket;
+4. components of the confirmed links.  Where a bucket still holds several
+   components, pairs between different ones follow, so no link between them is
+   lost.  What two documents share is at most the smaller of their overlaps with
+   the hub, plus the shingles outside the hub that they may share; a 512-bit map
+   of the latter bounds it, and only pairs that can still reach the threshold
+   leave the join and are confirmed;
 5. components of all links.
 
+A Bloom filter of bounded size holds the ids whose full sets are needed, so texts
+are never shuffled; what it lets through beside them only costs time.
+
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^42 = 3e-6.
 Links are confirmed on the sets as 64-bit hashes of the shingles.
 
@@ -30,13 +36,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import GOLDEN, WordHashes, components, mix, small_batches, words_of, written
 
 REGISTERS, BANDS, ROWS = 256, 42, 6
-ANCHORS = 8
+#: Words of the map of a document's shingles outside the hub.
+MAP_WORDS = 8
+#: The Bloom filter grows with the ids it holds up to this many bits (16 MB).
+BLOOM_BITS = 1 << 27
 _UNIT = 8192
 _P1, _P2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _BAND_WEIGHTS = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
@@ -129,23 +138,67 @@ def _full_sets(k: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; only their documents' texts are shuffled."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_full_sets(k), "id bigint, set array<bigint>")
-    sets = written(sets, "sets")
-    both = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        .select("a", "b", (F.size("sa") + F.size("sb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    )
-    return both.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("sum") - F.col("common"))).select("a", "b").distinct()
+class _Bloom:
+    """Ids that are in question, or a few more; two bits per id."""
+
+    def __init__(self, ids: DataFrame, n: int):
+        self.bits = min(BLOOM_BITS, 1 << max(16, int(n * 16).bit_length()))
+        spots = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(self.bits)) for salt in (1, 2)))).alias("spot"))
+        words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("set")).toArrow()
+        self.words = np.zeros(self.bits >> 6, np.int64)
+        self.words[np.asarray(words.column("word"))] = np.asarray(words.column("set"))
+
+    def of(self, texts: DataFrame) -> DataFrame:
+        """The rows whose id may be held; the filter is computed per row in the tasks."""
+        shared, bits = texts.sparkSession.sparkContext.broadcast(self.words), self.bits
+        hashed = texts.filter("id is not null").select("id", "text", *(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(bits)).alias(f"s{salt}") for salt in (1, 2)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for b in batches:
+                held = np.ones(b.num_rows, bool)
+                for name in ("s1", "s2"):
+                    spot = np.asarray(b.column(b.schema.get_field_index(name)))
+                    held &= (shared.value[spot >> 6] >> (spot & 63) & 1) == 1
+                yield b.select(["id", "text"]).filter(pa.array(held))
+
+        return hashed.mapInArrow(run, "id bigint, text string")
+
+
+def _sets_of(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(id, set) at least of the wanted ids, written."""
+    ids = written(ids.distinct(), "ids")
+    wanted = _Bloom(ids, ids.count()).of(texts)
+    return written(wanted.mapInArrow(_full_sets(k), "id bigint, set array<bigint>"), "sets")
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Per pair (a, b) with both sets: sizes, overlap, and the map of a's shingles outside b."""
+    for b in batches:
+        out: list[list] = [[] for _ in range(5)]
+        sa, sb = b.column(2), b.column(3)
+        for i in range(b.num_rows):
+            x, y = (np.asarray(c[i].values) for c in (sa, sb))
+            inside = np.isin(x, y, assume_unique=True)
+            rest = x[~inside].view(np.uint64) % np.uint64(64 * MAP_WORDS)
+            bits = np.zeros(64 * MAP_WORDS, np.uint8)
+            bits[rest.astype(np.intp)] = 1
+            for column, value in zip(out, (len(x), len(y), len(x) - len(rest), np.packbits(bits).view(np.int64), len(rest) - int(bits.sum()))):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, kinds))], ["a", "b", "na", "nb", "common", "map", "twice"])
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, na, nb, common, map, twice): what each pair's full sets share."""
+    pairs = written(pairs, "pairs")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts, k)
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    return written(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, common bigint, map array<bigint>, twice bigint"), "compared")
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose sizes alone rule the similarity out; orders and dedupes the rest."""
-    near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    return pairs.filter(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _similar(common: Column, na: Column, nb: Column, percent: int) -> Column:
+    """100 * common >= percent * union."""
+    return F.lit(100 + percent) * common >= F.lit(percent) * (na + nb)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -156,28 +209,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     full = sketches.filter("n > 0 and id is not null")
     classes = full.groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
-    members = written(full.join(classes, ["one", "two", "n"]).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
-    reps = members.filter("bands is not null")
-    rows = reps.select("id", "n", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size"))
-    buckets = buckets.filter("size > 1").select("key", "size", F.col("c.id").alias("center"), F.col("c.n").alias("center_n"))
-    shared = written(rows.join(buckets, "key"), "buckets")
-
-    star = written(_sized(shared.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("center").alias("b"), F.col("center_n").alias("nb")), percent), "pairs")
-    links = written(_confirmed(star, texts, shingle_words, percent), "links")
-    tested = star
-    for anchors in (ANCHORS, None):
-        pairs = _open_pairs(shared.filter("size > 2"), components(links, "a", "b"), anchors, percent)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = written(links.union(_confirmed(pairs, texts, shingle_words, percent)), "links")
-        tested = tested.union(pairs)
-
-    found = components(links, "a", "b").withColumnRenamed("node", "rep")
+    members = written(full.join(classes, ["one", "two", "n"]).select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
+    rows = members.filter("bands is not null").select("id", F.explode("bands").alias("key")).distinct()
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = written(rows.join(sizes, "key"), "buckets")
+    places = shared.groupBy("id").agg(F.sum("size").alias("places"))
+    hubs = shared.join(places, "id").groupBy("key").agg(F.max(F.struct("places", (-F.col("id")).alias("id"))).alias("hub"))
+    seats = written(shared.join(hubs.select("key", (-F.col("hub.id")).alias("hub")), "key"), "seats")
+
+    star = _compared(seats.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), texts, shingle_words)
+    similar = _similar(F.col("common"), F.col("na"), F.col("nb"), percent)
+    links = star.filter(similar).select("a", "b")
+    pairs = _open_pairs(seats.filter("size > 2"), star, components(links, "a", "b"), percent)
+    more = _compared(pairs, texts, shingle_words).filter(similar).select("a", "b")
+    found = components(links.union(more), "a", "b").withColumnRenamed("node", "rep")
+
     by_id = members.select("id", "rep").join(found, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    repeated = _one_node_per_id(by_id)
-    out = sketches.select("id", "n").join(repeated, "id", "left")
+    out = sketches.select("id", "n").join(_one_node_per_id(by_id), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -185,37 +233,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _open_pairs(seats: DataFrame, star: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket that may still be similar, the hub's own apart.
+
+    The rows outside the hub's component meet the bucket's other rows.
+    """
+    component = F.coalesce("component", "id")
+    labelled = seats.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "hub", component.alias("component"))
+    mains = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("main"))
+    facts = star.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.col("na").alias("n"), "common", "map", "twice")
+    rows = labelled.join(mains.filter("low <> high").select("key", "main"), "key").filter("id <> hub").join(facts, ["id", "hub"])
+    named = lambda p: [F.col(c).alias(p + c) for c in ("id", "component", "n", "common", "map", "twice")]
+    strays = rows.filter("component <> main").select("key", *named("u_"))
+    others = rows.select("key", "main", *named("x_"))
+    u, x = (lambda c: F.col(f"u_{c}")), (lambda c: F.col(f"x_{c}"))
+    maps = [F.bit_count(F.get(u("map"), F.lit(i)).bitwiseAND(F.get(x("map"), F.lit(i)))) for i in range(MAP_WORDS)]
+    outside = F.least(sum(maps[1:], maps[0]) + F.least(u("twice"), x("twice")), u("n") - u("common"), x("n") - x("common"))
+    once = (u("component") != x("component")) & ((x("component") == F.col("main")) | (x("id") < u("id")))
+    may = _similar(F.least(u("common"), x("common")) + outside, u("n"), x("n"), percent)
+    return strays.join(others, "key").filter(once & may).select(F.least("u_id", "x_id").alias("a"), F.greatest("u_id", "x_id").alias("b")).distinct()
+
+
 def _one_node_per_id(by_id: DataFrame) -> DataFrame:
     """One component per id; ids that repeat with different sets tie their components together."""
     by_id = written(by_id, "members")
     spans = by_id.groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("other"))
-    ties = spans.filter("component <> other").select("component", "other")
-    if ties.isEmpty():
+    if spans.filter("component <> other").isEmpty():
         return spans.select("id", "component")
     tied = components(by_id.select("id", "component"), "id", "component")
     return spans.select("id").join(tied, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def _open_pairs(shared: DataFrame, found: DataFrame, anchors: int | None, percent: int) -> DataFrame:
-    """Pairs of different components inside the buckets that still hold more than one.
-
-    The rows outside the component of a bucket's smallest id meet the bucket's
-    other rows: all of them, or ``anchors`` of them, chosen by hash.
-    """
-    labelled = (
-        shared.join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        .withColumn("first", F.struct("id", "component"))
-    )
-    stats = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("first").alias("first"))
-    stats = stats.filter("low <> high").select("key", F.col("first.component").alias("main"))
-    rows = labelled.drop("first").join(stats, "key")
-    strays = rows.filter("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    others = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "main")
-    if anchors:
-        # Cells of a bucket, by hash: one row each at most, so the join below stays linear in the bucket.
-        cell = F.pmod(F.xxhash64("key", "b"), F.lit(anchors))
-        picked = others.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("b", "nb", "cb", "main")).alias("o"))
-        others = picked.select("key", "o.*")
-    wanted = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("b") < F.col("a")) | F.lit(bool(anchors)))
-    return _sized(strays.join(others, "key").filter(wanted), percent)
