@@ -76,7 +76,7 @@ def test_stream_admission_over_batches(spark):
         spark.createDataFrame(events[i * 100:(i + 1) * 100], REQUESTS).coalesce(1).write.mode("append").parquet(f"{root}/in")
         time.sleep(1.1)  # files are taken in the order of their times
     stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = stream_admission.admissions(stream, "ip", "ts", "req", 3, 100)
+    out = stream_admission.admissions(stream, "ip", "ts", "req", 3, 100, expires=False)
     run = out.writeStream.option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).format("parquet")
     query = run.start(f"{root}/out")
     assert query.awaitTermination(100)

@@ -25,10 +25,8 @@ def local_day(ts: Column, zone: str = fixed.LOCAL_ZONE) -> Column:
 def mail_date_to_local(text: Column, zone: str = fixed.LOCAL_ZONE) -> Column:
     """Minute text of a mail-style date ("Tue, 09 Dec 2025 04:00:00 GMT"), null if unreadable."""
     body = F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*", "")
-    parsed = F.coalesce(
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss z")),
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss Z")),
-    )
+    forms = [f"d MMM yyyy HH:mm{seconds} {zone_form}" for seconds in (":ss", "") for zone_form in ("z", "Z")]
+    parsed = F.coalesce(*(F.try_to_timestamp(body, F.lit(f)) for f in forms))
     return local_minute(parsed, zone)
 
 

@@ -14,9 +14,10 @@ Three exact steps keep that walk short and spread out:
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,37 +28,57 @@ from waymark.operators.ordering import keep_first
 MICROS = 1_000_000
 
 
-class Walk:
-    """State of one key: instants admitted in the trailing window, and today's count."""
+@dataclass
+class Passed:
+    """What a key's past says about its next requests: the last admitted instants, and today's number."""
 
-    def __init__(self, per_window: int, per_day: int, window_us: int):
-        self.per_window, self.per_day, self.window_us = per_window, per_day, window_us
-        self.recent: deque[int] = deque()
-        self.day, self.used = None, 0
+    instants: np.ndarray
+    day: int | None = None
+    today: int = 0
 
-    def admit(self, us: int, day: int) -> bool:
-        if day != self.day:
-            self.day, self.used = day, 0
-        while self.recent and us - self.recent[0] > self.window_us:
-            self.recent.popleft()
-        if len(self.recent) >= self.per_window or self.used >= self.per_day:
-            return False
-        self.recent.append(us)
-        self.used += 1
-        return True
+
+def admitted(us: np.ndarray, day: np.ndarray, per_window: int, per_day: int, window_us: int, past: Passed) -> np.ndarray:
+    """Places of the admitted requests among one key's, which are in time order; ``past`` is moved on.
+
+    The search goes from one admission to the next: behind a full window to the
+    first request outside of it, behind a used-up quota to the first one of the
+    next day.  Its cost follows the admissions, not the requests.
+    """
+    line = np.concatenate([past.instants, np.empty(len(us), np.int64)])
+    n, places, at = len(past.instants), [], 0
+    while per_window > 0 and at < len(us):
+        today = past.today if day[at] == past.day else 0
+        if today >= per_day:
+            at = int(np.searchsorted(day, day[at], "right"))
+            continue
+        open_from = line[n - per_window] + window_us if n >= per_window else None
+        if open_from is not None and us[at] <= open_from:
+            at = int(np.searchsorted(us, open_from, "right"))
+            continue
+        line[n], past.day, past.today = us[at], day[at], today + 1
+        places.append(at)
+        n, at = n + 1, at + 1
+    past.instants = line[max(0, n - per_window) : n].copy()
+    return np.array(places, np.int64)
 
 
 def _walk_sorted(per_window: int, per_day: int, window_us: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        key, walk = None, None
+        last, past = None, Passed(np.empty(0, np.int64))
         for b in batches:
-            cols = b.to_pydict()
-            passed = []
-            for k, chain, us, day in zip(cols["key"], cols["chain"], cols["us"], cols["day"]):
-                if (k, chain) != key:
-                    key, walk = (k, chain), Walk(per_window, per_day, window_us)
-                passed.append(walk.admit(us, day))
-            yield b.select(["key", "us", "req"]).filter(pa.array(passed))
+            if not b.num_rows:
+                continue
+            key, chain = b.column("key").dictionary_encode().indices.fill_null(-1), b.column("chain")
+            us, day = (np.asarray(b.column(c)) for c in ("us", "day"))
+            changes = (np.diff(np.asarray(key)) != 0) | (np.diff(np.asarray(chain)) != 0)
+            bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), b.num_rows]
+            chosen = []
+            for start, end in zip(bounds, bounds[1:]):
+                name = b.column("key")[start].as_py(), chain[start].as_py()
+                if name != last:
+                    last, past = name, Passed(np.empty(0, np.int64))
+                chosen.append(start + admitted(us[start:end], day[start:end], per_window, per_day, window_us, past))
+            yield b.select(["key", "us", "req"]).take(pa.array(np.concatenate(chosen)))
 
     return run
 

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.text import lookup
-from waymark.session import rows_if_small
-
-MAX_INLINE_CODES = 1000
 
 
 def flat_taxonomy(taxonomy: DataFrame) -> DataFrame:
@@ -28,15 +24,12 @@ def with_platform_name(catalog: DataFrame, platforms: DataFrame) -> DataFrame:
 def with_labels(catalog: DataFrame, codes: DataFrame, column: str = "cats") -> DataFrame:
     """Entries with the labels of their codes in order; an unknown code stands for itself.
 
-    A small code table is looked up in place.  A larger one is joined to the
-    exploded codes, and each entry gathers its own labels again.
+    Codes are joined one by one, and each entry gathers its own labels again; of
+    labels that share a code the smallest stands.  No codes, no labels.
     """
-    small = rows_if_small(codes.select("code", "label"), MAX_INLINE_CODES)
-    if small is not None:
-        table = {r["code"]: r["label"] for r in small}
-        return catalog.withColumn("labels", F.transform(column, lambda c: F.coalesce(lookup(c, table), c)))
+    labels = codes.groupBy("code").agg(F.min("label").alias("label"))
     spread = catalog.select("id", F.posexplode(column).alias("pos", "code"))
-    joined = spread.join(codes, "code", "left").select("id", F.struct("pos", F.coalesce("label", "code").alias("l")).alias("e"))
+    joined = spread.join(labels, "code", "left").select("id", F.struct("pos", F.coalesce("label", "code").alias("l")).alias("e"))
     gathered = joined.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["l"]).alias("labels"))
     return catalog.join(gathered, "id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
@@ -62,11 +55,9 @@ def filter_catalog(
     wanted: Column = F.lit(True)
     entries = catalog.select("id", "cats", "brands")
     if code is not None:
-        under = rows_if_small(codes.filter((F.col("code") == code) | (F.col("parent") == code)).select("code"), MAX_INLINE_CODES)
-        if under is None:
-            raise ValueError(f"category {code!r} has more than {MAX_INLINE_CODES} children")
-        names = sorted({code, *[r["code"] for r in under]})
-        wanted = wanted & F.arrays_overlap("cats", F.array(*[F.lit(n) for n in names]))
+        under = codes.filter(F.col("parent") == code).select("code").union(codes.sparkSession.range(1).select(F.lit(code))).distinct()
+        sells = entries.select("id", F.explode("cats").alias("code")).join(under, "code", "left_semi").select("id").distinct()
+        entries = entries.join(sells, "id", "left_semi")
     if brand is not None:
         wanted = wanted & F.array_contains("brands", brand)
     return kept.join(entries.filter(wanted).select("id"), "id", "left_semi")

@@ -9,19 +9,27 @@ from waymark import fixed
 from waymark.operators.ordering import keep_first
 
 
-def last_turns(turns: DataFrame, n: int = fixed.MAX_TURNS, max_chars: int = fixed.MAX_TURN_CHARS) -> DataFrame:
-    """The last ``n`` turns of every conversation, roles reduced to two, text cut to size."""
+def last_turns(turns: DataFrame, n: int = fixed.MAX_TURNS, max_chars: int | None = None) -> DataFrame:
+    """The last ``n`` turns of every conversation, roles reduced to two.
+
+    ``max_chars`` cuts the texts; the source's width is ``fixed.MAX_TURN_CHARS``.
+    """
+    text = F.coalesce("text", F.lit(""))
     role = F.when(F.col("role") == "assistant", "assistant").otherwise("user")
     return keep_first(turns, ["conv_id"], [F.desc("turn")], k=n).select(
         "conv_id", "turn", role.alias("role"),
-        F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("text"),
+        (text if max_chars is None else F.substring(text, 1, max_chars)).alias("text"),
     )
 
 
 def last_pair(
-    turns: DataFrame, question_chars: int = fixed.LAST_QUESTION_CHARS, answer_chars: int = fixed.LAST_ANSWER_CHARS
+    turns: DataFrame, question_chars: int | None = None, answer_chars: int | None = None
 ) -> DataFrame:
-    """Last text that is not the assistant's and last text that is, per conversation."""
+    """Last text that is not the assistant's and last text that is, per conversation.
+
+    The source's widths are ``fixed.LAST_QUESTION_CHARS`` and ``fixed.LAST_ANSWER_CHARS``.
+    """
+    cut = lambda c, width: F.col(c) if width is None else F.substring(c, 1, width)
     answer = F.col("role").eqNullSafe("assistant")
     text = F.struct("turn", "text")
     last = turns.groupBy("conv_id").agg(
@@ -29,6 +37,6 @@ def last_pair(
     )
     return last.select(
         "conv_id",
-        F.substring("q.text", 1, question_chars).alias("last_user"),
-        F.substring("a.text", 1, answer_chars).alias("last_assistant"),
+        cut("q.text", question_chars).alias("last_user"),
+        cut("a.text", answer_chars).alias("last_assistant"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import fixed
@@ -56,16 +56,11 @@ def facets(places: DataFrame, flt: PlaceFilter) -> DataFrame:
 def brands_with_head(places: DataFrame, flt: PlaceFilter, top: int = fixed.TOP_BRANDS) -> DataFrame:
     """Brand counts, the ``top`` most common ones marked as the head of the list.
 
-    The head is a top-k query of ``top`` rows, so joining it back is a join with
-    a side of known size.
+    The places are counted once; only the brands' counts are ranked.
     """
     counts = facet(places, flt, "brand")
-    head = counts.limit(top).select("key", F.lit(True).alias("head"))
-    return (
-        counts.join(F.broadcast(head), "key", "left")
-        .select("key", "count", F.coalesce("head", F.lit(False)).alias("head"))
-        .orderBy(F.desc("count"), "key")
-    )
+    place = F.row_number().over(Window.orderBy(F.desc("count"), "key"))
+    return counts.select("key", "count", (place <= top).alias("head")).orderBy(F.desc("count"), "key")
 
 
 def relaxation(places: DataFrame, flt: PlaceFilter) -> DataFrame:

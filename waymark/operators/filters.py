@@ -16,7 +16,7 @@ from waymark.functions.text import or_empty
 
 
 def has_value(s: str | None) -> bool:
-    return s is not None and s.strip() not in ("", fixed.ALL) and s != fixed.ALL
+    return s is not None and s.strip() != "" and s != fixed.ALL
 
 
 def csv_values(s: str | None) -> list[str] | None:

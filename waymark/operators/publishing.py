@@ -87,7 +87,8 @@ def match_feed(store: DataFrame, feed: DataFrame, seq: str = "seq") -> DataFrame
         "_post", F.coalesce(F.col("post_no").cast("string"), F.concat(F.lit("~"), F.col(seq).cast("string")))
     ).withColumn("_name", name_key(F.col("name")))
     found = F.coalesce("_id_by_post", "_id_by_name")
-    new_id = F.concat(F.lit("ec-"), F.coalesce(F.col("post_no").cast("string"), F.lit("None")))
+    # A new row without a number is named by its name, so that two of them stay two.
+    new_id = F.concat(F.lit("ec-"), F.coalesce(F.col("post_no").cast("string"), F.substring(F.sha1(F.coalesce("_name", F.lit(""))), 1, 10)))
     return (
         keyed.join(by_post, "_post", "left").join(by_name, "_name", "left")
         .withColumn("target", F.coalesce(found, new_id))
@@ -135,18 +136,15 @@ def reconcile(store: DataFrame, feed: DataFrame, day: Column, source_url: str, s
 
 def reconcile_counts(store: DataFrame, feed: DataFrame, seq: str = "seq") -> DataFrame:
     """One row: rows before and after, and feed rows inserted and updated, and rows newly removed."""
-    matched = match_feed(store, feed, seq)
-    removed = removed_rows(store, matched).agg(F.count(F.lit(1)).alias("removed"))
-    added = matched.filter("action = 'inserted'").select(F.col("target").alias("id")).distinct().join(
-        store.select("id"), "id", "left_anti"
-    ).agg(F.count(F.lit(1)).alias("added"))
-    before = store.agg(F.count(F.lit(1)).alias("before"))
-    return matched.agg(
-        F.count_if(F.col("action") == "inserted").alias("inserted"),
-        F.count_if(F.col("action") == "updated").alias("updated"),
-    ).select(
-        before.scalar().alias("before"), "inserted", "updated", removed.scalar().alias("removed"),
-        (before.scalar() + added.scalar()).alias("after"),
+    hits = match_feed(store, feed, seq).groupBy("target").agg(
+        F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "updated").alias("updated")
+    )
+    both = store.select(F.col("id").alias("target"), "status", F.lit(True).alias("_known")).join(hits, "target", "full_outer")
+    known, gone = F.col("_known").isNotNull(), F.col("inserted").isNull() & ~F.col("status").eqNullSafe("removed")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(
+        F.count_if(known).alias("before"), total("inserted").alias("inserted"), total("updated").alias("updated"),
+        F.count_if(gone).alias("removed"), F.count(F.lit(1)).alias("after"),
     )
 
 

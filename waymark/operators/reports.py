@@ -122,17 +122,11 @@ def landed_vs_declared(rows: DataFrame, pages: DataFrame, key: str = "district")
     """Rows landed beside the count the source declares, per district."""
     landed = group_counts(rows, key).withColumnRenamed("count", "landed")
     declared = pages.groupBy(key).agg(F.max("total_cnt").alias("declared"))
-    return declared.join(landed, key, "left").select(
-        key, "declared", F.coalesce("landed", F.lit(0)).alias("landed"),
-        (F.col("declared") != F.coalesce("landed", F.lit(0))).alias("differs"),
+    n = F.coalesce("landed", F.lit(0))
+    return declared.join(landed, key, "full_outer").select(
+        key, "declared", n.alias("landed"), (~F.col("declared").eqNullSafe(n)).alias("differs"),
     )
 
 
-def by_hierarchy(places: DataFrame) -> DataFrame:
-    """Places in region order, a missing level sorting as empty text."""
-    level = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return places.orderBy("region", level("si"), level("gu"), level("dong"), "name", "id")
-
-
 def by_chain(stores: DataFrame) -> DataFrame:
     return stores.orderBy("region", "brand_cat", "brand", "name", "id")

@@ -12,19 +12,20 @@ from waymark.session import work_folder
 from waymark.sources import landed, tables
 
 # ---- markdown documents --------------------------------------------------------------
-# The documents' lines, some turned into headings, some followed by a blank line;
-# every second document starts with front matter.
-_BODY = """array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN i % 11 = 3 THEN '# ' || substr(l, 1, 30)
- WHEN i % 11 = 6 THEN '### ' || substr(l, 1, 40) WHEN i % 11 = 8 THEN '## ' || substr(l, 1, 20) WHEN i % 4 = 0 THEN l || chr(10) ELSE l END), chr(10))"""
+# The documents' lines, whole, some below a heading of their own, some followed by
+# a blank line; every second document starts with front matter.
+_BODY = """array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN i % 11 = 3 THEN '# Part ' || i || chr(10) || l
+ WHEN i % 11 = 6 THEN '### Item ' || i || chr(10) || l WHEN i % 11 = 8 THEN '## Section ' || i || chr(10) || l WHEN i % 4 = 0 THEN l || chr(10) ELSE l END), chr(10))"""
 _HEAD = "CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'source: ' || source || chr(10) || 'url: \"https://d.example/' || doc_id || '\"' || chr(10) || '---' || chr(10) ELSE '' END"
 
 
 def markdown(spark, d) -> DataFrame:
     def line(l, j):
         i = j + 1
+        under = lambda heading: F.concat(F.lit(heading), i.cast("string"), F.lit("\n"), l)
         return (
-            F.when(i % 11 == 3, F.concat(F.lit("# "), F.substring(l, 1, 30))).when(i % 11 == 6, F.concat(F.lit("### "), F.substring(l, 1, 40)))
-            .when(i % 11 == 8, F.concat(F.lit("## "), F.substring(l, 1, 20))).when(i % 4 == 0, F.concat(l, F.lit("\n"))).otherwise(l)
+            F.when(i % 11 == 3, under("# Part ")).when(i % 11 == 6, under("### Item "))
+            .when(i % 11 == 8, under("## Section ")).when(i % 4 == 0, F.concat(l, F.lit("\n"))).otherwise(l)
         )
 
     body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
@@ -102,7 +103,7 @@ def corpus_stats(spark, d) -> DataFrame:
     return reports.length_stats(corpus.markdown_chunks(markdown(spark, d)), F.length("content"))
 
 
-@query("W2", """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, substr(text, 1, 200) ORDER BY doc_id) AS rn FROM documents WHERE text <> '') WHERE rn = 1""")
+@query("W2", """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS rn FROM documents WHERE text <> '') WHERE rn = 1""")
 def corpus_dedupe(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").withColumnRenamed("text", "content")
     return corpus.dedupe_chunks(docs, ["doc_id"]).select("doc_id")
@@ -124,7 +125,7 @@ def _faq_texts(spark, d) -> DataFrame:
     return pairs.groupBy(F.floor(F.col("conv_id") / 10).alias("file")).agg(items.alias("items")).select("file", F.to_json(F.struct("items")).alias("value"))
 
 
-_FAQ = r"""faq AS (SELECT '공식 FAQ(사용) > ' || substr(q, 1, 150) AS section, 'Q. ' || q || chr(10) || 'A. ' || regexp_replace(a, '^\s+|\s+$', '', 'g') AS content FROM (
+_FAQ = r"""faq AS (SELECT '공식 FAQ(사용) > ' || q AS section, 'Q. ' || q || chr(10) || 'A. ' || regexp_replace(a, '^\s+|\s+$', '', 'g') AS content FROM (
 SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS q, arg_min(text, turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY 1)
 WHERE q IS NOT NULL AND a IS NOT NULL AND conv_id % 4 <> 0)"""
 
@@ -158,7 +159,7 @@ def table_chunks(spark, d) -> DataFrame:
 
 
 @query("U1 W2 A10", f"""WITH {_CHUNKS}, {_FAQ}, every AS (SELECT CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS source, content FROM chunks UNION ALL SELECT 'faq', content FROM faq)
-SELECT source, count(DISTINCT substr(content, 1, 200)) AS count FROM every WHERE content <> '' GROUP BY 1""")
+SELECT source, count(DISTINCT content) AS count FROM every WHERE content <> '' GROUP BY 1""")
 def corpus_union(spark, d) -> DataFrame:
     md = corpus.markdown_chunks(markdown(spark, d))
     faq = corpus.question_chunks(landed.read_faq(_faq_texts(spark, d)).drop("pos"), "faq").select("source", "section", "content")
@@ -242,7 +243,7 @@ def chunk_store(spark, d) -> DataFrame:
 
 
 # ---- conversations -----------------------------------------------------------------------------------
-@query("W7", """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, substr(coalesce(text, ''), 1, 2000) AS text
+@query("W7", """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, coalesce(text, '') AS text
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 10""")
 def conv_last_turns(spark, d) -> DataFrame:
     return last_turns(table(spark, d, "conversations"))
@@ -253,7 +254,7 @@ def conv_last_two(spark, d) -> DataFrame:
     return last_turns(table(spark, d, "conversations"), n=2).select("conv_id", "turn")
 
 
-@query("W8", """SELECT conv_id, substr(arg_max(text, turn) FILTER (role <> 'assistant'), 1, 500) AS last_user, substr(arg_max(text, turn) FILTER (role = 'assistant'), 1, 300) AS last_assistant
+@query("W8", """SELECT conv_id, arg_max(text, turn) FILTER (role <> 'assistant') AS last_user, arg_max(text, turn) FILTER (role = 'assistant') AS last_assistant
 FROM conversations GROUP BY 1""")
 def conv_last_pair(spark, d) -> DataFrame:
     return last_pair(table(spark, d, "conversations"))

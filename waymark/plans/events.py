@@ -105,7 +105,7 @@ def stream_admission_hourly(spark, d) -> DataFrame:
     root = work_folder(spark, "admission")
     for k, v in stream_admission.STATE_STORE.items():
         spark.conf.set(k, v)
-    decided = stream_admission.admissions(_stream(spark, d), "event_type", "ts", "event_id", 2, 40, 3600)
+    decided = stream_admission.admissions(_stream(spark, d), "event_type", "ts", "event_id", 2, 40, 3600, expires=False)
     run = decided.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet")
     run.start(f"{root}/out").awaitTermination()
     return spark.read.parquet(f"{root}/out").filter("admitted").select("key", "event_id")

@@ -127,11 +127,11 @@ def dup_suffix_id(spark, d) -> DataFrame:
 _FILES = {"AFRICA": "af", "AMERICA": "am", "ASIA": "as", "EUROPE": "eu", "MIDDLE EAST": "me"}
 
 
-@query("S1 S12 U2 S14", f"WITH {PLACES} SELECT {COLS} FROM places WHERE id <> '0'")
+@query("S1 S12 U2 S14", f"WITH {PLACES} SELECT {COLS} FROM places")
 def snapshot_scan(spark, d) -> DataFrame:
     """Places written as bounded {{meta, items}} documents, read back with the region named by the folder."""
     path = work_folder(spark, "snapshots")
-    rows = places(spark, d).filter("id <> '0'")
+    rows = places(spark, d)
     snapshots.write_snapshot_documents(rows, path, "2026-01-01", F.floor(F.col("id").cast("bigint") / 2000), _FILES)
     raw = spark.read.option("wholetext", True).text(path).select("value", "name", F.col("_metadata.file_path").alias("file"))
     parsed = raw.select(F.from_json("value", snapshots.SNAPSHOT).alias("s"), "name", "file").select("s.*", "name", "file")
@@ -343,11 +343,11 @@ def chain_counts(spark, d) -> DataFrame:
 
 
 # ---- name functions on document text ---------------------------------------------------------------------
-@query("X1 X2 X4", r"""SELECT doc_id, trim(regexp_replace(substr(text, 1, 60) || ' (a) b', '\([^)]*\)', '', 'g'), E' \n') AS cleaned,
+@query("X1 X2 X4", r"""SELECT doc_id, trim(regexp_replace(text || ' (a) b', '\([^)]*\)', '', 'g'), E' \n') AS cleaned,
 lower(regexp_replace(text, '\s+', '', 'g')) AS key, rtrim(text, E' \n') LIKE '%.' AS marked FROM documents""")
 def name_keys(spark, d) -> DataFrame:
     rows = table(spark, d, "documents")
-    sample = F.concat(F.substring("text", 1, 60), F.lit(" (a) b"))
+    sample = F.concat("text", F.lit(" (a) b"))
     return rows.select("doc_id", tx.without_parentheses(sample).alias("cleaned"), tx.name_key(F.col("text")).alias("key"),
                        tx.strip(F.col("text")).endswith(".").alias("marked"))
 
@@ -357,7 +357,7 @@ def name_keys(spark, d) -> DataFrame:
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM l WHERE i % 9 <> 4)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN i % 2 = 0 THEN trim(replace(line, '<', ''), E' \n\t\r') || ' & "x"' ELSE 'short' END AS title,
 'https://n.example/' || CAST(i AS VARCHAR) AS link, CASE WHEN i % 2 = 0 THEN 'The & Paper' END AS source,
-CASE WHEN i % 5 = 0 THEN NULL ELSE '2025-12-' || lpad(CAST(1 + i % 20 AS VARCHAR), 2, '0') || ' 13:00' END AS pub_date FROM k WHERE pos < 30""")
+CASE WHEN i % 5 = 0 THEN NULL ELSE '2025-12-' || lpad(CAST(1 + i % 20 AS VARCHAR), 2, '0') || ' 13:00' END AS pub_date FROM k""")
 def feed_items(spark, d) -> DataFrame:
     """Every document as a feed of its lines, escaped the way feeds are."""
     rows = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
@@ -417,12 +417,12 @@ def client_keys(spark, d) -> DataFrame:
 def _raw_reports(spark, d) -> DataFrame:
     k = F.col("conv_id") * 1000 + F.col("turn")
     return table(spark, d, "conversations").select(
-        k.alias("id"), F.when(F.col("turn") % 3 == 2, "   ").otherwise(F.concat(F.lit("  "), F.substring("text", 1, 200))).alias("title"),
+        k.alias("id"), F.when(F.col("turn") % 3 == 2, "   ").otherwise(F.concat(F.lit("  "), "text")).alias("title"),
         F.col("text").alias("content"), F.when(F.col("turn") % 2 == 0, " page ").alias("page"), F.lit("").alias("nickname"),
     )
 
 
-@query("P15", r"""SELECT conv_id * 1000 + turn AS id, substr(trim(substr(text, 1, 200), E' \n'), 1, 120) AS title, substr(trim(text, E' \n'), 1, 2000) AS content,
+@query("P15", r"""SELECT conv_id * 1000 + turn AS id, trim(text, E' \n') AS title, trim(text, E' \n') AS content,
 CASE WHEN turn % 2 = 0 THEN 'page' END AS page, CAST(NULL AS VARCHAR) AS nickname, '접수' AS status FROM conversations WHERE turn % 3 <> 2 AND trim(text, E' \n') <> ''""")
 def reports_clean(spark, d) -> DataFrame:
     accepted, _ = tables.clean_reports(_raw_reports(spark, d))

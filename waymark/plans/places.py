@@ -114,10 +114,10 @@ _METRES = f"""2 * 6371000e0 * asin(sqrt(pow(sin((radians(lat) - radians({HERE[0]
  + cos(radians(lat)) * cos(radians({HERE[0]}e0)) * pow(sin((radians(lng) - radians({HERE[1]}e0)) / 2), 2)))"""
 
 
-@query("X35", f"""WITH {PLACES}, m AS (SELECT id, {_METRES} AS m FROM places WHERE lat IS NOT NULL AND gu = 'NATION_7')
+@query("X35", f"""WITH {PLACES}, m AS (SELECT id, {_METRES} AS m FROM places WHERE lat IS NOT NULL)
 SELECT id, CASE WHEN m < 1000 THEN CAST(CAST(round(m) AS BIGINT) AS VARCHAR) || 'm' ELSE printf('%.1f', m / 1000) || 'km' END AS label FROM m""")
 def distance_labels(spark, d) -> DataFrame:
-    rows = places(spark, d).filter("lat IS NOT NULL AND gu = 'NATION_7'")
+    rows = places(spark, d).filter("lat IS NOT NULL")
     return rows.select("id", distance_label(metres(F.col("lat"), F.col("lng"), *HERE)).alias("label"))
 
 

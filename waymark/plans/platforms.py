@@ -125,7 +125,7 @@ def platform_order(spark, d) -> DataFrame:
     return ordering.number_all(platforms(spark, d), [F.asc_nulls_last("ord"), "name", "id"], "no").select("id", "no")
 
 
-@query("T4 P12", f"WITH {PLATFORMS} SELECT id, ord, name FROM platforms WHERE status = 'active' AND kind = 'delivery'")
+@query("T4 P12", f"WITH {PLATFORMS} SELECT id, ord, name FROM platforms WHERE status = 'active'")
 def platform_list(spark, d) -> DataFrame:
     return reports.display_order(reports.platform_list(platforms(spark, d), "delivery")).select("id", "ord", "name")
 
@@ -160,9 +160,9 @@ def verdict_counts(spark, d) -> DataFrame:
     return reports.verdict_counts(table(spark, d, "part").withColumn("verdict", v))
 
 
-@query("A11", f"WITH {PLATFORMS} SELECT CAST(min(collected_on) AS VARCHAR) AS stamp FROM platforms WHERE status = 'active' AND kind = 'delivery'")
+@query("A11", f"WITH {PLATFORMS} SELECT CAST(min(collected_on) AS VARCHAR) AS stamp FROM platforms WHERE status = 'active'")
 def stamp_min_active(spark, d) -> DataFrame:
-    rows = reports.oldest_stamp(platforms(spark, d), "collected_on", (F.col("status") == "active") & (F.col("kind") == "delivery"))
+    rows = reports.oldest_stamp(platforms(spark, d), "collected_on", F.col("status") == "active")
     return rows.select(F.col("stamp").cast("string").alias("stamp"))
 
 

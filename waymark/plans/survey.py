@@ -59,9 +59,9 @@ def _collected(spark, d, **rules) -> DataFrame:
 
 
 @query("S9", f"""WITH {_NAV} SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(labels, lambda l: length(l) BETWEEN 1 AND 18 AND NOT regexp_matches(l, '^https?:')))), '|') AS cats,
-array_to_string(list_transform(list_filter(labels, lambda l: contains(l, 'th'))[1:2], lambda l: substr(l, 1, 24)), '|') AS brand_texts FROM nav""")
+array_to_string(list_filter(labels, lambda l: contains(l, 'th')), '|') AS brand_texts FROM nav""")
 def page_links(spark, d) -> DataFrame:
-    rows = _collected(spark, d, brand_word="th", brand_links=2)
+    rows = _collected(spark, d, brand_word="th")
     return rows.select("page_id", F.array_join(F.array_sort("cats"), "|").alias("cats"), F.array_join("brand_links.text", "|").alias("brand_texts"))
 
 

@@ -91,20 +91,26 @@ def parsed_pages(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 def collected(
     parsed: DataFrame,
     label_max: int = fixed.NAV_LABEL_MAX,
-    labels: int = fixed.NAV_LABELS,
-    brand_links: int = fixed.BRAND_LINKS,
+    labels: int | None = None,
+    brand_links: int | None = None,
+    link_chars: int | None = None,
     brand_word: str = fixed.BRAND_LINK_TEXT,
 ) -> DataFrame:
-    """Parsed pages with ``cats`` (distinct short navigation labels) and ``brand_links``."""
+    """Parsed pages with ``cats`` (distinct short navigation labels) and ``brand_links``.
+
+    The source's limits are ``fixed.NAV_LABELS``, ``fixed.BRAND_LINKS`` and
+    ``fixed.BRAND_LINK_CHARS``; by default nothing is cut.
+    """
+    first = lambda c, n: c if n is None else F.slice(c, 1, n)
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     nav = F.transform(F.filter("links", lambda l: l["nav"]), lambda l: squeeze(l["text"]))
     short = F.filter(nav, lambda t: (t != "") & (F.length(t) <= label_max) & ~t.rlike("^https?:"))
     is_brand = lambda l: l["text"].contains(brand_word) | l["href"].rlike("(?i)brand")
     brand = F.transform(
         F.filter("links", is_brand),
-        lambda l: F.struct(F.substring(F.trim(l["text"]), 1, 24).alias("text"), l["href"].alias("href")),
+        lambda l: F.struct((F.trim(l["text"]) if link_chars is None else F.substring(F.trim(l["text"]), 1, link_chars)).alias("text"), l["href"].alias("href")),
     )
     return parsed.select(
         *[c for c in parsed.columns if c != "links"],
-        F.slice(F.array_distinct(short), 1, labels).alias("cats"), F.slice(brand, 1, brand_links).alias("brand_links"),
+        first(F.array_distinct(short), labels).alias("cats"), first(brand, brand_links).alias("brand_links"),
     )

@@ -47,8 +47,10 @@ def place_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def declared_counts(pages: DataFrame) -> DataFrame:
-    """(district, total_cnt) per good page."""
-    return parse_pages(pages, API_PLACE, True).select(F.concat_ws(" ", "query_sido", "query_addr").alias("district"), F.col("page.data.totalCnt").alias("total_cnt"))
+    """(district, total_cnt) per page; a district whose pages are all bad is there with null."""
+    district = F.concat_ws(" ", "query_sido", "query_addr").alias("district")
+    good = parse_pages(pages, API_PLACE, True).select(district, F.col("page.data.totalCnt").alias("total_cnt"))
+    return good.unionByName(parse_pages(pages, API_PLACE, False).select(district, F.lit(None).cast("bigint").alias("total_cnt")))
 
 
 def platform_pages(pages: DataFrame) -> DataFrame:
@@ -65,7 +67,11 @@ def platform_pages(pages: DataFrame) -> DataFrame:
 
 
 def platform_page_faults(pages: DataFrame, min_total: int = fixed.PLATFORM_MIN_TOTAL) -> DataFrame:
-    """Reasons to skip a platform run and keep the old table; no rows means it may go on."""
+    """Reasons to skip a platform run and keep the old table; no rows means it may go on.
+
+    Faults are bad pages, a total below ``min_total``, no page 1, and pages of
+    1..totalPage (as page 1 tells) that did not arrive.
+    """
     bad = parse_pages(pages, API_PLATFORM, False).select(
         "page_no", F.concat(F.lit("resCode="), F.coalesce("page.resCode", F.lit("?"))).alias("reason")
     )
@@ -74,7 +80,12 @@ def platform_page_faults(pages: DataFrame, min_total: int = fixed.PLATFORM_MIN_T
     short = first.filter(few < min_total).select(
         "page_no", F.concat(F.lit("totalCnt="), few.cast("string"), F.lit(f" < {min_total}")).alias("reason")
     )
-    return bad.unionByName(short)
+    every = first.agg(F.count(F.lit(1)).alias("n"), F.max("page.data.totalPage").alias("pages"))
+    wanted = every.select(F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)))).alias("page_no"))
+    # Bad pages that arrived have their own reason already.
+    missing = wanted.join(pages.select(F.col("page_no").cast("int").alias("page_no")).distinct(), "page_no", "left_anti")
+    missing = missing.select(F.col("page_no").cast(pages.schema["page_no"].dataType).alias("page_no"), F.lit("missing").alias("reason"))
+    return bad.unionByName(short).unionByName(missing)
 
 
 def read_faq(texts: DataFrame, value: str = "value") -> DataFrame:
@@ -133,11 +144,12 @@ def normalized_platforms(raw: DataFrame) -> DataFrame:
 
 
 # ---- feeds --------------------------------------------------------------------------------
-def feed_items(feeds: DataFrame, xml: str = "xml", max_items: int = fixed.FEED_MAX_ITEMS) -> DataFrame:
+def feed_items(feeds: DataFrame, xml: str = "xml", max_items: int | None = None) -> DataFrame:
     """Items of landed feeds: (feed columns, pos, title, link, source, pub_date).
 
-    Items without title or link are dropped before the first ``max_items`` of
-    each feed are taken.
+    Items without title or link are dropped; positions count the others.
+    ``max_items`` keeps the first of each feed; the source's number is
+    ``fixed.FEED_MAX_ITEMS``.
     """
     kept = [c for c in feeds.columns if c != xml]
     blocks = F.regexp_extract_all(F.coalesce(F.col(xml), F.lit("")), F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))
@@ -154,7 +166,7 @@ def feed_items(feeds: DataFrame, xml: str = "xml", max_items: int = fixed.FEED_M
         )
 
     usable = F.filter(F.transform(blocks, item), lambda i: i["title"].isNotNull() & i["link"].isNotNull())
-    rows = spread(feeds, kept, F.slice(usable, 1, max_items), "i", "pos")
+    rows = spread(feeds, kept, usable if max_items is None else F.slice(usable, 1, max_items), "i", "pos")
     return rows.select(
         *kept, "pos", title_without_source(F.col("i.title"), F.col("i.source")).alias("title"),
         F.col("i.link").alias("link"), F.col("i.source").alias("source"), mail_date_to_local(F.col("i.pub")).alias("pub_date"),

@@ -86,10 +86,13 @@ def platform_store(items: DataFrame, source_url: str, collected_on: str) -> Data
 
 
 # ---- reports ------------------------------------------------------------------------------
-def clean_reports(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted reports, rejected ones): fields trimmed and cut; title and content are required."""
-    widths = {"title": 120, "content": 2000, "page": 40, "nickname": 40}
-    cleaned = raw.select(*[blank_to_null(F.col(c), widths[c]).alias(c) if c in widths else F.col(c) for c in raw.columns])
+def clean_reports(raw: DataFrame, widths: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted reports, rejected ones): fields trimmed; title and content are required.
+
+    ``widths`` cuts fields; the source's are ``fixed.REPORT_WIDTHS``.
+    """
+    widths = widths or {}
+    cleaned = raw.select(*[blank_to_null(F.col(c), widths.get(c)).alias(c) if c in fixed.REPORT_WIDTHS else F.col(c) for c in raw.columns])
     whole = F.col("title").isNotNull() & F.col("content").isNotNull()
     return cleaned.filter(whole).withColumn("status", F.lit(fixed.REPORT_STATES[0])), cleaned.filter(~whole)
 

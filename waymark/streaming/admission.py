@@ -4,45 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from waymark import fixed
-from waymark.operators.admission import MICROS, Walk
+from waymark.operators.admission import MICROS, Passed, admitted
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 }
+DAY_MS = 86_400_000
 _OUT = "key string, us bigint, req bigint, admitted boolean"
 
 
 class _Limiter(StatefulProcessor):
-    """Keeps the admitted instants of the trailing window, the day and the day's count."""
+    """Keeps the admitted instants of the trailing window, the day and the day's count.
 
-    def __init__(self, per_window: int, per_day: int, window_us: int):
-        self.limits = per_window, per_day, window_us
+    State that a day and a window have passed over decides nothing any more;
+    with ``expires`` it is dropped then.
+    """
+
+    def __init__(self, per_window: int, per_day: int, window_us: int, expires: bool):
+        self.limits, self.expires = (per_window, per_day, window_us), expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("walk", "recent array<bigint>, day int, used int")
+        keep_ms = DAY_MS + self.limits[2] // 1000 if self.expires else None
+        self.state = handle.getValueState("passed", "instants array<bigint>, day int, today int", ttlDurationMs=keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        walk = Walk(*self.limits)
+        past = Passed(np.empty(0, np.int64))
         if self.state.exists():
-            recent, walk.day, walk.used = self.state.get()
-            walk.recent.extend(recent)
-        batch = pd.concat(list(rows)).sort_values(["us", "req"])
-        last = walk.recent[-1] if walk.recent else None
-        admitted = []
-        for us, day in zip(batch["us"], batch["day"]):
-            late = last is not None and us < last
-            admitted.append(not late and walk.admit(int(us), int(day)))
-            if admitted[-1]:
-                last = int(us)
-        self.state.update((list(walk.recent), walk.day, walk.used))
-        yield pd.DataFrame({"key": key[0], "us": batch["us"], "req": batch["req"], "admitted": admitted})
+            instants, past.day, past.today = self.state.get()
+            past.instants = np.array(instants, np.int64)
+        # Three numbers per request of this key and batch, in time order.
+        us, day, req = (np.concatenate(c) for c in zip(*(tuple(r[n].to_numpy(np.int64) for n in ("us", "day", "req")) for r in rows)))
+        order = np.lexsort((req, us))
+        us, day, req = us[order], day[order], req[order]
+        # A request older than the last admitted one came too late.
+        late = int(np.searchsorted(us, past.instants[-1])) if len(past.instants) else 0
+        passes = np.zeros(len(us), bool)
+        passes[late + admitted(us[late:], day[late:], *self.limits, past)] = True
+        self.state.update((past.instants.tolist(), None if past.day is None else int(past.day), past.today))
+        for i in range(0, len(us), 10_000):
+            part = slice(i, i + 10_000)
+            yield pd.DataFrame({"key": key[0], "us": us[part], "req": req[part], "admitted": passes[part]})
 
     def close(self) -> None:
         pass
@@ -50,19 +59,22 @@ class _Limiter(StatefulProcessor):
 
 def admissions(
     events: DataFrame, key: str, ts: str, request_id: str, per_window: int, per_day: int,
-    window_seconds: int = fixed.WINDOW_SECONDS, zone: str = fixed.LOCAL_ZONE,
+    window_seconds: int = fixed.WINDOW_SECONDS, zone: str = fixed.LOCAL_ZONE, expires: bool = True,
 ) -> DataFrame:
     """(key, request_id, ts, admitted) per request of a stream.
 
     Requests of one key are decided in time order within a batch; a request
     older than the last one its key had admitted came too late and is rejected.
+    With ``expires`` a key's state goes a day and a window after its last change;
+    turn it off for a run that ends with its input (``availableNow``), which
+    would otherwise wait for the clock for ever.
     """
     requests = events.select(
         F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("us"), F.col(request_id).cast("bigint").alias("req"),
         F.unix_date(F.to_date(F.from_utc_timestamp(ts, zone))).alias("day"),
     )
     decided = requests.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Limiter(per_window, per_day, window_seconds * MICROS),
-        outputStructType=_OUT, outputMode="Append", timeMode="None",
+        statefulProcessor=_Limiter(per_window, per_day, window_seconds * MICROS, expires),
+        outputStructType=_OUT, outputMode="Append", timeMode="ProcessingTime" if expires else "None",
     )
     return decided.select("key", F.col("req").alias(request_id), F.timestamp_micros("us").alias("ts"), "admitted")
