@@ -113,19 +113,13 @@ TEXTS = [
 ]
 
 
-def test_term_details(spark):
-    rows = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(TEXTS)], "page_id int, text string, term string")
-    got = {r["page_id"]: (r["count"], r["suspect"], r["ctx"], r["ctxs"]) for r in survey.term_details(rows).collect()}
-    for i, (t, w) in enumerate(TEXTS):
-        assert got[i] == naive(t, w), (t, w)
-
-
-def test_both_dictionary_paths_agree(spark):
-    pages = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS)], "page_id int, text string")
-    terms = spark.createDataFrame([(w,) for w in {w for _, w in TEXTS} | {"사이다 비니거", "none", "가음시장대상가"}], "term string")
-    inline = survey.pages_with_terms(pages, terms).select("page_id", "term").collect()
-    seeded = survey.pages_with_terms_by_seed(pages, terms).select("page_id", "term").collect()
-    assert sorted(inline) == sorted(seeded) and len(inline) > len(TEXTS)
+@pytest.mark.parametrize("at_once", [100, 3])
+def test_page_terms(spark, at_once):
+    pages = spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(TEXTS)), (90, None), (91, "")], "page_id int, text string")
+    words = sorted({w for _, w in TEXTS} | {"사이다 비니거", "none", "가음시장대상가"})
+    terms = spark.createDataFrame([(w,) for w in [*words, "", None, words[0]]], "term string")
+    got = {(r["page_id"], r["term"]): (r["count"], r["suspect"], r["ctx"], r["ctxs"]) for r in survey.page_terms(pages, terms, max_hits=201, at_once=at_once).collect()}
+    assert got == {(i, w): naive(t, w) for i, (t, _) in enumerate(TEXTS) for w in words if w in t} and len(got) > len(TEXTS)
 
 
 def test_list_after_marker(spark):

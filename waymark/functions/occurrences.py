@@ -1,9 +1,4 @@
-"""Occurrences of one term in one text, as column expressions.
-
-Splitting a text at a term leaves the pieces between its non-overlapping
-occurrences, so counts, positions and neighbours all come from one split and
-no text ever leaves the JVM.
-"""
+"""The list that follows a marker in a page's text."""
 
 from __future__ import annotations
 
@@ -14,48 +9,6 @@ from waymark import fixed
 from waymark.functions.text import once, strip
 
 
-def pieces(text: Column, term: Column) -> Column:
-    quoted = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.split(text, quoted, -1)
-
-
-def hit_count(parts: Column, max_hits: int | None = None) -> Column:
-    n = (F.size(parts) - 1).cast("bigint")
-    return n if max_hits is None else F.least(n, F.lit(max_hits).cast("bigint"))
-
-
-def first_clean_hit(parts: Column, term: Column, hits: Column) -> Column:
-    """Zero-based number of the first occurrence that no word character touches, else null.
-
-    An empty piece between two occurrences means that they touch, so the
-    neighbour is then the term's own edge letter.
-    """
-    word = f"[{fixed.WORD_CHARS}]"
-
-    def clean(i: Column) -> Column:
-        left, right = F.get(parts, i), F.get(parts, i + 1)
-        before = F.when(left != "", F.right(left, F.lit(1))).otherwise(F.when(i == 0, "").otherwise(F.right(term, F.lit(1))))
-        after = F.when(right != "", F.left(right, F.lit(1))).otherwise(
-            F.when(i + 2 == F.size(parts), "").otherwise(F.left(term, F.lit(1)))
-        )
-        return ~(before.rlike(word) | after.rlike(word))
-
-    numbers = F.sequence(F.lit(0), (hits - 1).cast("int"))
-    return F.try_element_at(F.filter(numbers, clean), F.lit(1))
-
-
-def start_of(parts: Column, term: Column, i: Column) -> Column:
-    """Zero-based character position of occurrence ``i``."""
-    before = F.slice(parts, F.lit(1), i + 1)
-    return F.aggregate(before, F.lit(0), lambda acc, p: acc + F.length(p)) + i * F.length(term)
-
-
-def context(text: Column, term: Column, start: Column, pad: int = fixed.CONTEXT_PAD) -> Column:
-    begin = F.greatest(F.lit(0), start - pad)
-    cut = F.substring(text, begin + 1, start + F.length(term) + pad - begin)
-    return strip(F.regexp_replace(cut, r"(?U)\s+", " "))
-
-
 def list_after(
     text: Column,
     marker: str = fixed.DIRECTORY_MARKER,

@@ -2,97 +2,128 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark import fixed
 from waymark.functions import occurrences as occ
-from waymark.functions.text import goods_codes, once, spread
-from waymark.session import rows_if_small
-
-MAX_INLINE_TERMS = 500
-SEED_CHARS = 4
-
-
-def pages_with_terms(pages: DataFrame, terms: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """(key, text, term): every term that occurs in a page's text.
-
-    A dictionary of checked size is tested in place, page by page, with no
-    shuffle.  A larger one meets the pages in an equi-join on the terms' first
-    characters, and each candidate is then tested on the text.
-    """
-    small = rows_if_small(terms.select("term").filter("term <> ''").distinct(), MAX_INLINE_TERMS)
-    if small is not None:
-        words = F.array(*[F.lit(t) for t in sorted(r["term"] for r in small)]).cast("array<string>")
-        found = F.filter(words, lambda t: F.contains(F.col(text), t))
-        return spread(pages, [key, text], found, "term")
-    return pages_with_terms_by_seed(pages, terms, key, text)
-
-
-def pages_with_terms_by_seed(pages: DataFrame, terms: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """The same pairs for a dictionary of any size."""
-    seeds = terms.select("term").filter("term <> ''").distinct().withColumn("seed", F.substring("term", 1, SEED_CHARS))
-
-    # Seeds have at most SEED_CHARS lengths; only those that occur are cut from the pages.
-    sizes = sorted(r["n"] for r in seeds.select(F.length("seed").alias("n")).distinct().collect())
-    if not sizes:
-        return pages.select(key, text, F.lit(None).cast("string").alias("term")).limit(0)
-    grams = [F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in sizes]
-    page_seeds = spread(pages, [key], F.concat(*grams), "seed")
-    pairs = page_seeds.join(seeds, "seed").select(key, "term")
-    return pages.select(key, text).join(pairs, key).filter(F.contains(F.col(text), F.col("term"))).select(key, text, "term")
-
-
-def term_details(
-    found: DataFrame, key: str = "page_id", text: str = "text",
-    pad: int = fixed.CONTEXT_PAD, max_hits: int | None = fixed.PROBE_MAX_HITS,
+from waymark.functions.text import SPACES, goods_codes
+
+#: Terms of one pass over the pages; a larger dictionary is passed in as many blocks as it needs.
+TERMS_AT_ONCE = 100_000
+_WORD = re.compile(f"[{fixed.WORD_CHARS}]")
+#: White space of any script (the Unicode property).
+_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+class _Dictionary:
+    """Finds the terms of a dictionary in a text, all in one pass."""
+
+    def __init__(self, terms: Sequence[str]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for t in terms:
+            self.automaton.add_word(t, t)
+        if terms:
+            self.automaton.make_automaton()
+        self.empty = not terms
+
+    def find(self, text: str | None, pad: int, max_hits: int | None) -> dict[str, tuple[int, bool, str, list[str]]]:
+        """Term to (count, suspect, best context, first three contexts), from its occurrences that do not overlap."""
+        found: dict[str, list] = {}
+        if self.empty or not text:
+            return {}
+        for last, term in self.automaton.iter(text):
+            start = last + 1 - len(term)
+            seen = found.get(term)
+            if seen is None:
+                seen = found[term] = [0, 0, [], None]
+            if start < seen[1] or max_hits is not None and seen[0] >= max_hits:
+                continue
+            seen[0], seen[1] = seen[0] + 1, last + 1
+            if len(seen[2]) < 3:
+                seen[2].append(start)
+            if seen[3] is None and not (start and _WORD.match(text[start - 1])) and not _WORD.match(text[last + 1 : last + 2]):
+                seen[3] = start
+
+        def around(start: int, term: str) -> str:
+            return _GAP.sub(" ", text[max(0, start - pad) : start + len(term) + pad]).strip(SPACES)
+
+        return {
+            t: (n, clean is None, around(firsts[0] if clean is None else clean, t), [around(f, t) for f in firsts])
+            for t, (n, _, firsts, clean) in found.items()
+        }
+
+
+def page_terms(
+    pages: DataFrame, terms: DataFrame, key: str = "page_id", text: str = "text",
+    pad: int = fixed.CONTEXT_PAD, max_hits: int | None = None, at_once: int = TERMS_AT_ONCE,
 ) -> DataFrame:
-    """Count, suspect flag, best context and first three contexts per (page, term).
-
-    A term is suspect when a word character touches every occurrence.  The
-    count stops at ``max_hits`` as the survey's rule does; None counts all.
+    """(key, term, count, suspect, ctx, ctxs) of every dictionary term that occurs in a page.
+
+    A term is suspect when a word character touches every occurrence.  ``ctx``
+    is the context of the first occurrence that none touches, or else of the
+    first; ``ctxs`` are the first three.  Each page is read once per block of
+    ``at_once`` terms, whatever the number of terms; only the findings leave the
+    task, never the text.  ``max_hits`` stops a term's count; the survey's own
+    rule stops at ``fixed.PROBE_MAX_HITS``.
     """
-    term = F.col("term")
-    parts = found.withColumn("_p", occ.pieces(F.col(text), term))
-    counted = parts.withColumn("count", occ.hit_count(F.col("_p"), max_hits))
-    judged = counted.withColumn("_clean", occ.first_clean_hit(F.col("_p"), term, F.col("count")))
-
-    def around(i: Column) -> Column:
-        return occ.context(F.col(text), term, occ.start_of(F.col("_p"), term, i), pad)
-
-    firsts = F.sequence(F.lit(0), F.least(F.col("count"), F.lit(3)).cast("int") - 1)
-    return judged.select(
-        key, "term", "count",
-        F.col("_clean").isNull().alias("suspect"),
-        around(F.coalesce("_clean", F.lit(0))).alias("ctx"),
-        F.transform(firsts, around).alias("ctxs"),
-    )
-
-
-def page_terms(pages: DataFrame, terms: DataFrame, key: str = "page_id", text: str = "text", **rules) -> DataFrame:
-    return term_details(pages_with_terms(pages, terms, key, text), key, text, **rules)
-
-
-def seen_terms(text: Column, terms: Sequence[str], max_hits: int | None = fixed.PROBE_MAX_HITS) -> Column:
-    """(term, clean) of every term in a text, for a dictionary given as a list."""
-    words = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-
-    def judged(t: Column) -> Column:
-        clean = once(occ.pieces(text, t), lambda parts: occ.first_clean_hit(parts, t, occ.hit_count(parts, max_hits)).isNotNull())
-        return F.struct(t.alias("term"), clean.alias("clean"))
-
-    return F.transform(F.filter(words, lambda t: F.contains(text, t)), judged)
-
-
-def analyze(pages: DataFrame, terms: Sequence[str] = fixed.KNOWN_BRANDS) -> DataFrame:
-    """Collected pages with confirmed and suspect terms, the brand directory and the text length."""
-    if len(terms) > MAX_INLINE_TERMS:
-        raise ValueError("pass a large dictionary as a table to page_terms")
-    named = lambda clean: F.transform(F.filter("_seen", lambda s: s["clean"] == clean), lambda s: s["term"])
-    return pages.withColumn("_seen", seen_terms(F.col("text"), terms)).select(
-        *pages.columns, named(True).alias("confirmed"), named(False).alias("suspect"),
+    wanted = terms.select("term").filter("term <> ''").distinct()
+    blocks = max(1, -(-wanted.count() // at_once))
+    spark = pages.sparkSession
+    schema = f"`{key}` {pages.schema[key].dataType.simpleString()}, term string, count bigint, suspect boolean, ctx string, ctxs array<string>"
+
+    def passed(number: int) -> DataFrame:
+        # A block holds about at_once terms, dealt by hash.
+        own = wanted.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == number).toArrow().column("term").to_pylist()
+        shared = spark.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            dictionary = _Dictionary(shared.value)
+            for b in batches:
+                rows = [
+                    (k, t, *of) for k, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                    for t, of in dictionary.find(page, pad, max_hits).items()
+                ]
+                columns = list(zip(*rows)) or [()] * 6
+                kinds = (b.schema.field(0).type, pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [key, "term", "count", "suspect", "ctx", "ctxs"])
+
+        return pages.select(key, text).mapInArrow(run, schema)
+
+    return reduce(DataFrame.union, map(passed, range(blocks)))
+
+
+_SEEN = T.ArrayType(T.StructType([
+    T.StructField("term", T.StringType()), T.StructField("count", T.LongType()), T.StructField("suspect", T.BooleanType()),
+    T.StructField("ctx", T.StringType()), T.StructField("ctxs", T.ArrayType(T.StringType())),
+]))
+
+
+def analyze(pages: DataFrame, terms: Sequence[str] = fixed.KNOWN_BRANDS, max_hits: int | None = None) -> DataFrame:
+    """Collected pages with confirmed terms, suspect ones with their context, all contexts with counts,
+    the brand directory and the text length; terms stand in the dictionary's order."""
+    order = list(dict.fromkeys(t for t in terms if t))
+
+    def seen(texts: pd.Series) -> pd.Series:
+        dictionary = _Dictionary(order)
+        found = (dictionary.find(t, fixed.CONTEXT_PAD, max_hits) for t in texts)
+        return pd.Series([[dict(zip(("term", "count", "suspect", "ctx", "ctxs"), (t, *of[t]))) for t in order if t in of] for of in found], dtype=object)
+
+    named = lambda suspect: F.transform(F.filter("_seen", lambda s: s["suspect"] == suspect), lambda s: s["term"])
+    doubtful = F.transform(F.filter("_seen", lambda s: s["suspect"]), lambda s: F.struct(s["term"].alias("term"), s["ctx"].alias("ctx")))
+    contexts = F.transform("_seen", lambda s: F.struct(s["term"].alias("term"), s["count"].alias("count"), s["ctxs"].alias("ctxs")))
+    return pages.withColumn("_seen", F.pandas_udf(seen, _SEEN)(F.col("text"))).select(
+        *pages.columns, named(False).alias("confirmed"), named(True).alias("suspect"),
+        doubtful.alias("suspect_contexts"), contexts.alias("contexts"),
         occ.list_after(F.col("text")).alias("directory"), F.length("text").alias("text_len"),
     )
 

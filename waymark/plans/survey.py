@@ -15,13 +15,13 @@ from waymark.session import work_folder
 from waymark.sources import html as web
 from waymark.sources import tables
 
-# The dictionary: words of the benchmark that are frequent in it.
-_WORDS = """words AS (SELECT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM benchmark) WHERE length(term) >= 5 GROUP BY 1 HAVING count(*) >= 2)"""
+# The dictionary: all words of the benchmark.
+_WORDS = """words AS (SELECT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM benchmark) WHERE term <> '' GROUP BY 1)"""
 
 
 def _terms(spark, d) -> DataFrame:
     words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term"))
-    return words.filter(F.length("term") >= 5).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("term")
+    return words.filter("term <> ''").distinct()
 
 
 _W = fixed.WORD_CHARS
@@ -32,14 +32,14 @@ _FOUND = f"""{_WORDS}, found AS (SELECT page_id, term, (length(html) - length(re
 @query("J10 X22", f"WITH {_FOUND} SELECT page_id, term, n AS count, suspect FROM found")
 def page_dictionary(spark, d) -> DataFrame:
     """Every occurrence is counted: the survey's stop after 201 hits is left off here."""
-    found = survey.page_terms(table(spark, d, "pages"), _terms(spark, d), text="html", max_hits=None)
+    found = survey.page_terms(table(spark, d, "pages"), _terms(spark, d), text="html")
     return found.select("page_id", "term", "count", "suspect")
 
 
 @query("J10", f"WITH {_FOUND} SELECT page_id, term FROM found")
 def page_dictionary_by_seed(spark, d) -> DataFrame:
-    """The path for a dictionary of any size."""
-    return survey.pages_with_terms_by_seed(table(spark, d, "pages"), _terms(spark, d), text="html").select("page_id", "term")
+    """The path for a dictionary of any size: several blocks of terms, forced by a small bound."""
+    return survey.page_terms(table(spark, d, "pages"), _terms(spark, d), text="html", at_once=200).select("page_id", "term")
 
 
 @query("X22", f"""WITH {_FOUND}, f AS (SELECT page_id, term, strpos(html, term) - 1 AS p0, html FROM found JOIN pages USING (page_id))
@@ -92,9 +92,15 @@ def _analyzed(spark, d) -> DataFrame:
     return survey.analyze(pages, _TERMS)
 
 
-@query("X24 X25", f"""WITH {_SEEN} SELECT page_id, array_to_string(confirmed, ',') AS confirmed, array_to_string(suspect, ',') AS suspect, length(html) AS text_len, length(html) < 1500 AS thin FROM seen""")
+_CONTEXTS = f"""array_to_string(list_transform(list_filter({_TERMS}, lambda t: contains(html, t)), lambda t: t || '=' || CAST((length(html) - length(replace(html, t, ''))) // length(t) AS VARCHAR) || ':' ||
+ regexp_replace(regexp_replace(substr(html, greatest(1, strpos(html, t) - 20), strpos(html, t) + length(t) + 20 - greatest(1, strpos(html, t) - 20)), '\\s+', ' ', 'g'), '^ | $', '', 'g')), '|') AS contexts"""
+
+
+@query("X24 X25", f"""WITH {_SEEN} SELECT page_id, array_to_string(confirmed, ',') AS confirmed, array_to_string(suspect, ',') AS suspect, {_CONTEXTS}, length(html) AS text_len, length(html) < 1500 AS thin FROM seen""")
 def page_analysis(spark, d) -> DataFrame:
-    return _analyzed(spark, d).select(
+    first = F.transform("contexts", lambda c: F.concat(c["term"], F.lit("="), c["count"].cast("string"), F.lit(":"), c["ctxs"][0]))
+    return _analyzed(spark, d).withColumn("contexts", F.array_join(first, "|")).select(
+        "contexts",
         "page_id", F.array_join("confirmed", ",").alias("confirmed"), F.array_join("suspect", ",").alias("suspect"),
         "text_len", (F.col("text_len") < fixed.THIN_PAGE).alias("thin"),
     )
