@@ -10,8 +10,8 @@ documents moves its probabilities along the null space of (documents, tokens)
 until one reaches 0 or 1, so both totals of the block stay exactly as they were;
 at most two documents of a block, its smallest, stay open.  The open ones of all blocks form
 new blocks, round after round, until one block per source is left; there the
-landing gives up first the document total, then the token total.  A source's
-taken tokens miss its target by less than its last open documents' sizes.
+landing gives up first the document total, then the token total, and at last
+flips one or two of that block's documents if that brings the tokens nearer.
 
 Blocks are hashes of the id and hold about ``block`` documents, so a source with
 most of the rows is many blocks.  Draws come from a generator seeded by source,
@@ -113,11 +113,40 @@ def _direction(size: np.ndarray) -> np.ndarray:
     return u
 
 
+def nearer(p: np.ndarray, drawn: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``drawn`` with the one or two open documents flipped that bring the tokens nearest to what was wanted.
+
+    A source with few documents has no small ones to make up for a large one, so
+    the landing alone can miss by much.
+    """
+    open_, size = np.flatnonzero((p > 0) & (p < 1)), size.astype(float)
+    missing = float(p @ size - drawn @ size)
+    flips = (1 - 2 * drawn[open_]) * size[open_]
+    if not len(open_):
+        return drawn
+    best, chosen = abs(missing), []
+    one = np.abs(missing - flips)
+    if one.min() < best:
+        best, chosen = one.min(), [int(one.argmin())]
+    order = np.argsort(flips)
+    ranked = flips[order]
+    for shift in (-1, 0):
+        partner = np.clip(np.searchsorted(ranked, missing - flips) + shift, 0, len(ranked) - 1)
+        two = np.where(order[partner] == np.arange(len(flips)), np.inf, np.abs(missing - flips - ranked[partner]))
+        if two.min() < best:
+            best, chosen = two.min(), [int(two.argmin()), int(order[partner[two.argmin()]])]
+    drawn = drawn.copy()
+    drawn[open_[chosen]] = 1 - drawn[open_[chosen]]
+    return drawn
+
+
 def _flight(round_no: int, land: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "h", "p"], ascending=[False, True, True], kind="stable")
         rng = Generator(PCG64(xxhash.xxh3_64_intdigest(f"{seed}|{round_no}|{key[0]!r}|{key[1]}".encode("utf-8", "surrogatepass"))))
-        return rows.assign(p=fly(rows["p"], rows["size"], rng, land))
+        p, size = rows["p"].to_numpy(float), rows["size"].to_numpy()
+        drawn = fly(p, size, rng, land)
+        return rows.assign(p=nearer(p, drawn, size) if land else drawn)
 
     return run
 
