@@ -1,6 +1,7 @@
 """Operators on small fixtures: limits, order, skew, upserts, streams, plans."""
 
 import datetime as dt
+import os
 import random
 import tempfile
 import time
@@ -8,10 +9,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import admission, grid, ordering, publishing, search, vectors, visits
+from waymark import fixed
+from waymark.operators import admission, corpus, grid, ordering, publishing, reports, search, vectors, visits
 from waymark.operators.filters import PlaceFilter
 from waymark.plans import bindings
-from waymark.sources import tables
+from waymark.sources import landed, tables
 from waymark.streaming import admission as stream_admission
 from waymark.streaming import visits as stream_visits
 
@@ -169,6 +171,60 @@ def test_stamps(spark):
     assert tables.get_stamp(spark, root, "k") == "2" and tables.get_stamp(spark, root, "other") is None
 
 
+def folders(root):
+    return {f for f in os.listdir(root) if f.startswith("v-")}
+
+
+def test_publish_keeps_two_versions(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for n in (10, 11, 12):
+        assert tables.publish(counted(spark, a=n).withColumn("n", F.lit(1)), root, f"2026-01-{n}", min_total=1) == [] and tables.current(spark, root).count() == n
+    assert len(folders(root)) == 2
+    before = folders(root)
+    assert tables.publish(counted(spark, a=2).withColumn("n", F.lit(1)), root, "2026-02-01", min_total=1) and folders(root) == before
+    assert tables.current(spark, root).count() == 12 and tables.get_stamp(spark, f"{root}/pointer", "collected_on") in (None, "2026-01-12")
+
+
+def test_chunks_without_vectors_are_refused(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    chunks = spark.createDataFrame([(str(i), "s", "x", "c", "u", None) for i in range(3)], "chunk_key string, source string, section string, content string, url string, collected_on string")
+    vecs = spark.createDataFrame([(str(i), [1.0]) for i in range(3)], "chunk_key string, embedding array<float>")
+    tables.replace_chunks(chunks, vecs, root)
+    for c, v in ((chunks, vecs.limit(2)), (chunks.limit(2), vecs)):
+        with pytest.raises(ValueError):
+            tables.replace_chunks(c, v, root)
+    assert tables.current(spark, root).count() == 3 and len(folders(root)) == 1
+
+
+def test_missing_pages_are_faults(spark):
+    page = '{"resCode": "%s", "data": {"totalCnt": 500, "totalPage": 3, "list": []}}'
+    faults = lambda *pages: {(r["page_no"], r["reason"]) for r in landed.platform_page_faults(spark.createDataFrame(pages, "value string, page_no int")).collect()}
+    good = page % fixed.OK_CODE
+    assert faults((good, 1), (good, 2), (good, 3)) == set()
+    assert faults((good, 1), (good, 3)) == {(2, "missing")}
+    assert (1, "missing") in faults((good, 2))
+    assert faults((good, 1), (page % "E1", 2), (good, 3)) == {(2, "resCode=E1")}
+
+
+def test_district_with_only_bad_pages_is_listed(spark):
+    pages = spark.createDataFrame([("no json", "A", "b", 1)], "value string, query_sido string, query_addr string, page_no int")
+    none = spark.createDataFrame([], "district string")
+    (r,) = reports.landed_vs_declared(none, landed.declared_counts(pages)).collect()
+    assert (r["district"], r["declared"], r["landed"], r["differs"]) == ("A b", None, 0, True)
+
+
+def test_long_documents_are_linear():
+    took = []
+    for n in (20_000, 80_000):
+        text = "\n".join(f"# h{i}\nbody {i}" for i in range(n))
+        start = time.process_time()
+        found = corpus.sections_of(text)
+        corpus.packed("\n\n".join(f"paragraph {i}" for i in range(n)))
+        took.append(time.process_time() - start)
+        assert len(found) == n
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_reconcile_twice_changes_nothing_more(spark):
     store, feed = bindings.platforms(spark, SMALL), bindings.feed(spark, SMALL)
     day = F.lit("2024-02-01").cast("date")

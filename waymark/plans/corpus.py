@@ -228,18 +228,23 @@ def cosine_to_own_label(spark, d) -> DataFrame:
     return own.select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
 
 
-@query("S18 W2", """SELECT source, count(*) AS count, min(doc_id) AS first_doc FROM documents JOIN embeddings ON doc_id = vec_id GROUP BY 1""")
+@query("S18 W2", """SELECT source, count(*) AS count, min(doc_id) AS first_doc, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT embedding) AS vectors
+FROM documents JOIN embeddings ON doc_id % (SELECT count(*) FROM embeddings) = vec_id GROUP BY 1""")
 def chunk_store(spark, d) -> DataFrame:
-    """Chunks and their vectors matched on the chunk key, written whole, read back."""
+    """Chunks and their vectors matched on the chunk key, written whole, read back; vectors are dealt to the documents in turn."""
     path = work_folder(spark, "chunks")
     key = tables.chunk_key(["doc_id"])
     chunks = table(spark, d, "documents").select(
         key.alias("chunk_key"), "source", F.lit("s").alias("section"), F.col("text").alias("content"), F.col("doc_id").cast("string").alias("url"), F.lit(None).cast("string").alias("collected_on"),
     )
-    vecs = _vectors(spark, d).withColumnRenamed("vec_id", "doc_id").select(key.alias("chunk_key"), "embedding")
+    n = _vectors(spark, d).count()
+    turn = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % n).alias("vec_id"))
+    vecs = turn.join(_vectors(spark, d), "vec_id").select(key.alias("chunk_key"), "embedding")
     tables.replace_chunks(chunks, vecs, path)
-    stored = spark.read.parquet(path)
-    return stored.groupBy("source").agg(F.count(F.lit(1)).alias("count"), F.min(F.col("url").cast("bigint")).alias("first_doc"))
+    return tables.current(spark, path).groupBy("source").agg(
+        F.count(F.lit(1)).alias("count"), F.min(F.col("url").cast("bigint")).alias("first_doc"),
+        F.sum(F.length("content")).alias("chars"), F.count_distinct("embedding").alias("vectors"),
+    )
 
 
 # ---- conversations -----------------------------------------------------------------------------------

@@ -208,7 +208,7 @@ def publish_swap(spark, d) -> DataFrame:
     first = tables.publish(rows, root, "2026-01-01", min_total=1)
     second = tables.publish(rows.filter("region <> 'ASIA' OR cast(id AS bigint) % 4 = 0"), root, "2026-01-02", min_total=1)
     return reports.group_counts(tables.current(spark, root), "region").select(
-        "region", "count", F.lit(len(first)).alias("reasons_first"), F.lit(len(second)).alias("reasons_second")
+        "region", "count", F.lit(len(first)).alias("reasons_first"), F.lit(len(second)).alias("reasons_second"),
     )
 
 

@@ -14,6 +14,7 @@ from waymark.functions.text import blank_to_null
 from waymark.operators.ordering import keep_first
 from waymark.operators.publishing import guard_reasons
 from waymark.schema import CHUNK_COLUMNS, PLATFORM_COLUMNS
+from waymark.session import remove_folder
 
 _STAMP = "k string, v string, at timestamp, token string"
 
@@ -21,10 +22,14 @@ _STAMP = "k string, v string, at timestamp, token string"
 # ---- key/value stamps -----------------------------------------------------------
 def put_stamp(spark: SparkSession, path: str, key: str, value: str) -> None:
     """Set ``key``; a later value stands for an earlier one."""
-    row = spark.range(1).select(
-        F.lit(key).alias("k"), F.lit(value).alias("v"), F.current_timestamp().alias("at"), F.lit(uuid.uuid4().hex).alias("token")
-    )
-    row.coalesce(1).write.mode("append").parquet(path)
+    put_stamps(spark, path, {key: value})
+
+
+def put_stamps(spark: SparkSession, path: str, values: dict[str, str]) -> None:
+    """Set several keys in one file: readers see all of them or none."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in values.items()))
+    rows = spark.range(1).select(F.inline(pairs)).select("k", "v", F.current_timestamp().alias("at"), F.lit(uuid.uuid4().hex).alias("token"))
+    rows.coalesce(1).write.mode("append").parquet(path)
 
 
 def latest_stamps(stamps: DataFrame) -> DataFrame:
@@ -35,7 +40,9 @@ def get_stamp(spark: SparkSession, path: str, key: str) -> str | None:
     """The value of ``key``, None when there is none or no stamp was ever put."""
     try:
         stamps = spark.read.schema(_STAMP).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     row = latest_stamps(stamps.filter(F.col("k") == key)).first()
     return row["v"] if row else None
@@ -55,21 +62,32 @@ def publish(
     """Stage ``df`` as a new version and point readers to it unless the guard objects.
 
     Returns the guard's reasons.  Readers follow the pointer, so they see the
-    old version until the new one is whole; a rejected version is never pointed to.
+    old version until the new one is whole; a rejected version is never pointed
+    to and its folder is removed.  The version before stays for readers that
+    have opened it; what came before that is removed.
     """
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").partitionBy(key).parquet(f"{root}/{version}")
     staged = spark.read.parquet(f"{root}/{version}")
-    old = current(spark, root)
-    old = staged.limit(0) if old is None else old
+    last = get_stamp(spark, f"{root}/pointer", "current")
+    old = staged.limit(0) if last is None else spark.read.parquet(f"{root}/{last}")
     reasons = [r["reason"] for r in guard_reasons(staged, old, key, min_total, tolerance).collect()]
-    if not reasons:
-        put_stamp(spark, f"{root}/pointer", "current", version)
-        put_stamp(spark, f"{root}/pointer", fixed.STAMP_KEY, collected_on)
+    if reasons:
+        remove_folder(spark, f"{root}/{version}")
+        return reasons
+    _point_to(spark, root, version, last, {fixed.STAMP_KEY: collected_on})
     return reasons
 
 
+def _point_to(spark: SparkSession, root: str, version: str, last: str | None, stamps: dict[str, str] | None = None) -> None:
+    """Make ``version`` the current one, ``last`` the one before, and drop the one before that."""
+    oldest = get_stamp(spark, f"{root}/pointer", "before")
+    put_stamps(spark, f"{root}/pointer", {"current": version, "before": last or "", **(stamps or {})})
+    if oldest:
+        remove_folder(spark, f"{root}/{oldest}")
+
+
 # ---- platforms --------------------------------------------------------------------------
 def platform_store(items: DataFrame, source_url: str, collected_on: str) -> DataFrame:
     """Store rows from a platform file's items (with array position ``pos``), defaults filled in."""
@@ -107,10 +125,21 @@ def chunk_key(order: Sequence[str]) -> Column:
     return F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in order]))
 
 
-def replace_chunks(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
-    """Replace the chunk store by chunks with their vectors, matched on a stable chunk key."""
-    joined = chunks.join(vectors, "chunk_key")
-    joined.select("chunk_key", *CHUNK_COLUMNS, "embedding").write.mode("overwrite").parquet(path)
+def replace_chunks(chunks: DataFrame, vectors: DataFrame, root: str) -> None:
+    """Replace the chunk store by chunks with their vectors, matched on a stable chunk key.
+
+    A chunk without a vector, or a vector without a chunk, is an error and leaves
+    the store as it is.  The new store is a version of its own (see ``current``).
+    """
+    spark = chunks.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    joined = chunks.withColumn("_chunk", F.lit(True)).join(vectors.withColumn("_vector", F.lit(True)), "chunk_key", "full_outer")
+    joined.select("chunk_key", *CHUNK_COLUMNS, "embedding", "_chunk", "_vector").write.parquet(f"{root}/{version}")
+    lone = spark.read.parquet(f"{root}/{version}").agg(F.count_if(F.col("_vector").isNull()), F.count_if(F.col("_chunk").isNull())).first()
+    if any(lone):
+        remove_folder(spark, f"{root}/{version}")
+        raise ValueError(f"{lone[0]} chunks without a vector, {lone[1]} vectors without a chunk")
+    _point_to(spark, root, version, get_stamp(spark, f"{root}/pointer", "current"))
 
 
 # ---- plain files -------------------------------------------------------------------------------
