@@ -20,7 +20,8 @@ HEADLINE = [
     "region_cat_matrix", "numbered_places", "place_table", "landed_rows", "dup_suffix_id", "keep_first", "brand_detect",
     "keyword_matrix", "publish_guard", "reconcile_upsert", "corpus_chunks", "corpus_dedupe", "vector_topk",
     "page_links", "page_dictionary", "page_delta", "feed_items", "admission_hourly", "daily_visits", "session_first",
-    "conv_last_turns",
+    "conv_last_turns", "corpus_union", "chunk_store", "publish_swap", "document_files", "vector_topk_many_queries",
+    "page_dictionary_by_seed", "stream_daily_visits", "stream_admission_hourly",
 ]
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark import fixed
+from waymark.operators import catalog as cat
 from waymark.operators import corpus, reports, vectors
 from waymark.operators.conversation import last_pair, last_turns
+from waymark.plans import bindings
+from waymark.plans.platforms import CATALOG_TEXTS, _catalog, _codes, _shops
 from waymark.plans.registry import query, table
 from waymark.session import work_folder
 from waymark.sources import landed, tables
@@ -158,13 +162,43 @@ def table_chunks(spark, d) -> DataFrame:
     return corpus.table_chunks(rows, ["r_name"], "n_nationkey", line, head, "목록")
 
 
-@query("U1 W2 A10", f"""WITH {_CHUNKS}, {_FAQ}, every AS (SELECT CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS source, content FROM chunks UNION ALL SELECT 'faq', content FROM faq)
-SELECT source, count(DISTINCT content) AS count FROM every WHERE content <> '' GROUP BY 1""")
-def corpus_union(spark, d) -> DataFrame:
-    md = corpus.markdown_chunks(markdown(spark, d))
+_DAY = "2026-08-11"
+_PART_LINE = """'- ' || p_name || ' (예: ' || p_brand || ') → ' || CASE WHEN p_size % 2 = 0 THEN '가능' ELSE '불가' END || '.' || CASE WHEN p_partkey % 3 = 0 THEN ' 확인 포인트: ' || p_type ELSE '' END"""
+_PLATFORM_LINE = """'- ' || name || ': ' || coalesce(summary, '') || CASE WHEN note <> '' THEN ' (참고: ' || note || ')' ELSE '' END || CASE WHEN region_limited THEN ' [지역 한정]' ELSE '' END"""
+_HEAD_SQL = "replace(replace(replace(replace('" + fixed.PLATFORM_HEAD.replace("'", "''").replace("{}", "{0}", 1).replace("{}", "{1}", 1).replace("{}", "{2}", 1).replace("{}", _DAY) + """', '{0}', CAST(count(*) AS VARCHAR)),
+ '{1}', CAST(count(*) FILTER (kind <> 'delivery') AS VARCHAR)), '{2}', CAST(count(*) FILTER (kind = 'delivery') AS VARCHAR)), chr(0), '')"""
+_LISTS = f"""{bindings.PLATFORMS}, lists AS (
+SELECT 'offline_categories' AS source, '{fixed.VERDICT_SECTION}' AS section, '{fixed.VERDICT_HEAD}' || chr(10) || string_agg({_PART_LINE}, chr(10) ORDER BY p_partkey) AS body FROM part
+UNION ALL SELECT 'online_platforms', '온라인 공식 플랫폼 > 쇼핑', {_HEAD_SQL} || chr(10) || '[쇼핑]' || chr(10) || string_agg({_PLATFORM_LINE}, chr(10) ORDER BY id) FILTER (kind <> 'delivery') FROM platforms WHERE status = 'active'
+UNION ALL SELECT 'online_platforms', '온라인 공식 플랫폼 > 배달', '[배달 앱]' || chr(10) || string_agg({_PLATFORM_LINE}, chr(10) ORDER BY id) FROM platforms WHERE status = 'active' AND kind = 'delivery')"""
+_ALL_CHUNKS = f"{_LISTS}, " + _CHUNKS.replace("FROM sections WHERE body <> ''", f"FROM (SELECT * FROM sections UNION ALL SELECT NULL, source, 0, section, {_strip('body')} FROM lists) WHERE body <> ''")
+
+
+def _six_loaders(spark, d) -> DataFrame:
+    md = markdown(spark, d)
     faq = corpus.question_chunks(landed.read_faq(_faq_texts(spark, d)).drop("pos"), "faq").select("source", "section", "content")
-    every = corpus.union_chunks(md, faq)
-    return reports.group_counts(corpus.dedupe_chunks(every, ["loader", "doc_id", "sec_no", "chunk_no", "section"]), "source")
+    policy = corpus.plain_chunks(md.filter("doc_id % 14 = 7"), "internal_policy_analysis")
+    part = table(spark, d, "part")
+    verdicts = part.select(
+        "p_partkey", F.col("p_name").alias("type"), F.col("p_brand").alias("examples"),
+        F.when(F.col("p_size") % 2 == 0, "가능").otherwise("불가").alias("label"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("check"),
+    )
+    entries = cat.with_labels(cat.with_platform_name(_catalog(spark, d), _shops(spark, d).filter("name IS NOT NULL")), _codes(spark, d))
+    entries = entries.withColumn("survey_url", F.lit(None).cast("string")).withColumn("surveyed_on", F.lit(None).cast("string"))
+    return corpus.union_chunks(
+        corpus.markdown_chunks(md), faq, policy, corpus.verdict_chunks(verdicts, "p_partkey", _DAY),
+        corpus.platform_chunks(bindings.platforms(spark, d), "id", _DAY), corpus.catalog_chunks(entries, _DAY),
+    )
+
+
+@query("U1 W2 A10 X32", f"""WITH {_ALL_CHUNKS}, {_FAQ}, every AS (
+SELECT CASE WHEN doc_id IS NULL THEN source WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS source, content FROM chunks UNION ALL SELECT 'faq', content FROM faq
+UNION ALL SELECT 'internal_policy_analysis', content FROM chunks WHERE doc_id % 14 = 7 UNION ALL SELECT 'online_catalog', content FROM ({CATALOG_TEXTS}))
+SELECT source, count(*) AS count, CAST(sum(length(content)) AS BIGINT) AS chars FROM (SELECT DISTINCT source, content FROM every WHERE content <> '') GROUP BY 1""")
+def corpus_union(spark, d) -> DataFrame:
+    """All six loaders' chunks, without repeats, counted by source."""
+    kept = corpus.dedupe_chunks(_six_loaders(spark, d), ["loader", "doc_id", "sec_no", "chunk_no", "section"])
+    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("count"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("S6", """SELECT doc_id // 100 AS g, CAST(sum(length(text)) + count(*) AS BIGINT) AS chars FROM documents GROUP BY 1""")

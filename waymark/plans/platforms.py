@@ -212,8 +212,11 @@ def catalog_filter(spark, d) -> DataFrame:
 _LABELS = "CASE WHEN lang = 'fr' THEN 'fr' ELSE 'text/' || upper(lang) END || ', ' || CASE WHEN quality = 1 THEN 'fine' ELSE 'plain' END"
 
 
-@query("J6 J7 X32", f"""SELECT CAST(doc_id AS VARCHAR) AS id, '온라인몰 ''' || CASE WHEN doc_id % 3 > 0 THEN 'N' || doc_id ELSE CAST(doc_id AS VARCHAR) END || ''' 취급 물품종류(실측): ' || {_LABELS}
-|| '. 확인된 브랜드: ' || source || '.' || CASE WHEN doc_id % 2 = 0 THEN ' (근거: seen)' ELSE '' END AS content FROM documents JOIN labels USING (doc_id)""")
+CATALOG_TEXTS = f"""SELECT CAST(doc_id AS VARCHAR) AS id, '온라인몰 ''' || CASE WHEN doc_id % 3 > 0 THEN 'N' || doc_id ELSE CAST(doc_id AS VARCHAR) END || ''' 취급 물품종류(실측): ' || {_LABELS}
+|| '. 확인된 브랜드: ' || source || '.' || CASE WHEN doc_id % 2 = 0 THEN ' (근거: seen)' ELSE '' END AS content FROM documents JOIN labels USING (doc_id)"""
+
+
+@query("J6 J7 X32", CATALOG_TEXTS)
 def catalog_texts(spark, d) -> DataFrame:
     named = cat.with_platform_name(_catalog(spark, d), _shops(spark, d).filter("name IS NOT NULL"))
     rows = cat.with_labels(named, _codes(spark, d))
