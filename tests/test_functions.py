@@ -46,8 +46,8 @@ def test_client_key(spark, xff, want):
 
 
 @pytest.mark.parametrize("title, source, want", [
-    ("할인 확대 - 한국경제", "한국경제", "할인 확대"), ("짧은 - 안내", None, "짧은 - 안내"),
-    ("지역상품권 사용처 대폭 확대 - 어딘가일보", None, "지역상품권 사용처 대폭 확대"), ("제목만 있는 기사", None, "제목만 있는 기사"),
+    ("장터 새 단장 - 들꽃신문", "들꽃신문", "장터 새 단장"), ("표지 - 공지", None, "표지 - 공지"),
+    ("강변 장터에 주차장 백 면을 더 짓는다 - 물결신보", None, "강변 장터에 주차장 백 면을 더 짓는다"), ("꼬리 없는 글", None, "꼬리 없는 글"),
 ])
 def test_title_without_source(spark, title, source, want):
     assert one(spark, val.title_without_source(F.col("t"), F.col("s")), t=title, s=source) == want
@@ -62,11 +62,11 @@ def test_mail_date(spark, given, want):
 
 def test_feed(spark):
     xml = (
-        "<rss><item><title>할인 확대 - 한국경제</title><link>https://n.example/1</link><pubDate>Tue, 09 Dec 2025 04:00:00 GMT</pubDate>"
-        '<source url="u">한국경제</source></item><item><title>제목만 있는 기사</title><link>https://n.example/2</link></item><item><title>x</title></item></rss>'
+        "<rss><item><title>장터 새 단장 - 들꽃신문</title><link>https://n.example/1</link><pubDate>Tue, 09 Dec 2025 04:00:00 GMT</pubDate>"
+        '<source url="u">들꽃신문</source></item><item><title>꼬리 없는 글</title><link>https://n.example/2</link></item><item><title>x</title></item></rss>'
     )
     rows = landed.feed_items(spark.createDataFrame([(1, xml)], "feed int, xml string")).orderBy("pos").collect()
-    assert [(r["title"], r["source"], r["pub_date"]) for r in rows] == [("할인 확대", "한국경제", "2025-12-09 13:00"), ("제목만 있는 기사", None, None)]
+    assert [(r["title"], r["source"], r["pub_date"]) for r in rows] == [("장터 새 단장", "들꽃신문", "2025-12-09 13:00"), ("꼬리 없는 글", None, None)]
 
 
 @pytest.mark.parametrize("addr, region, gu, dong", [
@@ -106,9 +106,9 @@ def naive(text, term, pad=20, limit=201):
 
 
 TEXTS = [
-    ("8 위 파인애플 검색어 정보", "애플"), ("(서울)포방터시장 가음시장대상가 강남시장", "대상"), ("[파세코] 가습기 ZH-LG901G 299,000원", "LG"),
-    ("무료배송 [대상 뉴케어] 300", "대상"), ("[한정특가] LG전자 게이밍모니터", "LG"), ("애플", "애플"), ("애플애플 애플", "애플"),
-    ("사과식초 애플 사이다 비니거 ... 신상품 [애플] 에어팟 프로 3 359,000원", "애플"), ("a.b*c a.b*c", "a.b*c"), ("xaab aa", "aa"), ("LG " * 250, "LG"),
+    ("오늘의 파인애플 모음", "애플"), ("(동네)달빛골목대상가 별빛장터", "대상"), ("[무명] 선풍기 QX-LG77 12,000원", "LG"),
+    ("바로 보냄 [대상 죽] 5", "대상"), ("[특가] LG전자 화면", "LG"), ("애플", "애플"), ("애플애플 애플", "애플"),
+    ("병에 든 애플 사이다 비니거 그리고 [애플] 귀마개 두 짝", "애플"), ("a.b*c a.b*c", "a.b*c"), ("xaab aa", "aa"), ("LG " * 250, "LG"),
     ("\\E LG \\E", "\\E"),
 ]
 
@@ -116,30 +116,31 @@ TEXTS = [
 @pytest.mark.parametrize("at_once", [100, 3])
 def test_page_terms(spark, at_once):
     pages = spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(TEXTS)), (90, None), (91, "")], "page_id int, text string")
-    words = sorted({w for _, w in TEXTS} | {"사이다 비니거", "none", "가음시장대상가"})
+    words = sorted({w for _, w in TEXTS} | {"사이다 비니거", "none", "달빛골목대상가"})
     terms = spark.createDataFrame([(w,) for w in [*words, "", None, words[0]]], "term string")
     got = {(r["page_id"], r["term"]): (r["count"], r["suspect"], r["ctx"], r["ctxs"]) for r in survey.page_terms(pages, terms, max_hits=201, at_once=at_once).collect()}
     assert got == {(i, w): naive(t, w) for i, (t, _) in enumerate(TEXTS) for w in words if w in t} and len(got) > len(TEXTS)
 
 
 def test_list_after_marker(spark):
-    items = ["간식대장", "개성시대", "기라로쉬", "깨끗한나라", "나이키", "내셔널지오그래픽", "네네치킨", "네오플램", "농심", "뉴트리원", "뇌물김", "닌텐도", "다이슨", "테팔", "휠라"]
-    text = "\n".join(["브랜드관", *items, "[테팔] 비스트브라운 웍(궁중팬) 28cm", "45,000원", "무료배송"])
+    items = ["가람빵집", "나루공방", "다온문구", "라온필", "마루찻집", "바람개비", "사루비아", "아람서점"]
+    text = "\n".join(["브랜드관", *items, "[바람개비] 손으로 깎은 나무 연필 열두 자루 한 묶음", "7,200원", "무료배송"])
     assert one(spark, occ.list_after(F.col("t")), t=text) == items
-    assert one(spark, occ.list_after(F.col("t")), t="아무 텍스트") == []
-    odd = "\n".join(["브랜드관", "나이키", "★★★★★", "아디다스", "휠라", "19,900원", "무료배송", "뒤"])
-    assert one(spark, occ.list_after(F.col("t")), t=odd) == ["나이키", "아디다스", "휠라"]
+    assert one(spark, occ.list_after(F.col("t")), t="표지가 없는 글") == []
+    odd = "\n".join(["브랜드관", "가람빵집", "★★", "나루공방", "다온문구", "3,300원", "무료배송", "끝"])
+    assert one(spark, occ.list_after(F.col("t")), t=odd) == ["가람빵집", "나루공방", "다온문구"]
 
 
 def test_analysis_and_delta(spark):
-    text = "\n".join(["브랜드관", "나이키", "뉴트리원", "[파세코] 가습기 ZH-LG901G", "299,000원", "[대상 뉴케어] 300", "8 위 파인애플 검색어"])
+    text = "\n".join(["브랜드관", "나이키", "마루찻집", "[무명] 선풍기 QX-LG77", "12,000원", "[대상 죽] 5", "오늘의 파인애플 모음"])
     page = spark.createDataFrame([(1, text, ["가전", "과일"])], "page_id int, text string, cats array<string>")
     row = survey.analyze(page).first()
     assert "대상" in row["confirmed"] and "LG" in row["suspect"] and not set(row["confirmed"]) & set(row["suspect"])
-    assert "뉴트리원" in row["directory"]
+    assert "QX-LG77 12,000원" in {c["term"]: c["ctx"] for c in row["suspect_contexts"]}["LG"]
+    assert {c["term"]: c["count"] for c in row["contexts"]}["대상"] == 1 and "마루찻집" in row["directory"]
     known = spark.createDataFrame([(1, ["나이키", "gone"], ["appliance"])], "page_id int, known_brands array<string>, known_cats array<string>")
     d = survey.delta(survey.analyze(page), known).first()
-    assert "나이키" not in d["new_brands"] and "뉴트리원" in d["new_brands"] and d["new_cats"] == ["agri-fruit"] and d["thin"]
+    assert "나이키" not in d["new_brands"] and "마루찻집" in d["new_brands"] and d["new_cats"] == ["agri-fruit"] and d["thin"]
 
 
 # ---- corpus --------------------------------------------------------------------------------
