@@ -44,7 +44,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when full, so a worker's memory stays bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

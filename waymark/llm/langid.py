@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.llm.common import bucket, small_batches
 
@@ -47,7 +48,7 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    for b in small_batches(batches, "text", 16_000_000):
+    for b in small_batches(batches, "text"):
         seen: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             seen.setdefault(lang, Counter()).update(words(text))
@@ -101,7 +102,8 @@ class _Rows(dict):
     """Word to row of one matrix: the known words, then a bounded number of unknown ones."""
 
     def __init__(self, model: Model):
-        super().__init__(model.known.get(0, {}))
+        # The model's own word table moves in here; a second copy would double the worker's memory.
+        super().__init__(model.known.pop(0, {}))
         self.model, self.first = model, len(self)
         self.matrix = np.zeros((self.first + _EXTRA, len(model.langs)), np.float32)
         if self.first:
@@ -160,16 +162,15 @@ def _tables(top: pa.Table, langs: list[str]) -> dict[int, tuple[list[str], np.nd
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score"))).withColumn(text_col, F.col(text_col).cast("string"))
+    names, at = kept.columns, kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
-            lang, score = shared.value.predict(b.column(len(keep)).to_pylist())
-            cols = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+        for b in small_batches(batches, text_col):
+            lang, score = shared.value.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
@@ -180,7 +181,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, "_text"):
             lang, score = shared.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
