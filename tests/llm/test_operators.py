@@ -350,6 +350,25 @@ def test_secrets(spark):
     assert (1, "é😀 [secret] and [secret], [secret]") in cleaned and secrets.redact(df).columns == df.columns and secrets.redact(df).count() == len(rows)
 
 
+def test_examples_need_repositories_and_owners(spark):
+    pasted, example, copied = "Pa5ted_Cr3dential-0xYzAbQ", "Ex4mple_C0py_Ab3dEf9hIjK", "H0tSource-B0ilerplate_Zq7"
+    rows = [(i, f"here token={pasted}", "en", f"s{i}") for i in range(3)] + [(10 + i, f"password={example}", "en", f"s{i % 3}") for i in range(6)]
+    rows += [(100 + i, f"see {copied} {i}", "en", "hot") for i in range(2000)]
+    rows += [(None, f"by hand token={pasted[::-1]} {i % 4}", "en", f"s{i % 3}") for i in range(12)]
+    df = docs_of(spark, rows)
+    got = collections.defaultdict(list)
+    for r in secrets.report(df).collect():
+        got[r["doc_id"]].append(r)
+    assert all((r["n_live"], r["n_example"], r["owners"], r["repos"]) == (0, 0, "3", "3") for i in range(3) for r in got[i])
+    assert all((r["owners"], r["repos"]) == ("3", "6") and r["n_example"] > 0 for i in range(10, 16) for r in got[i])
+    assert all((r["spans"], r["owners"], r["repos"], r["n_live"]) == ("", "", "", 0) for i in range(100, 2100) for r in got[i])
+    assert all((r["owners"], r["repos"]) == ("3", "4") for r in got[None]) and len(got[None]) == 12
+    cleaned = collections.defaultdict(set)
+    for r in secrets.redact(df).collect():
+        cleaned[r["doc_id"]].add(r["text"])
+    assert all(cleaned[i] == {"here [secret]"} for i in range(3)) and all(cleaned[10 + i] == {f"password={example}"} for i in range(6))
+
+
 def test_secrets_of_nothing(spark):
     assert secrets.report(docs_of(spark, [])).count() == 0
 

@@ -3,17 +3,21 @@
 Base kinds are found by fixed patterns, leftmost and without overlap per kind.
 Beside them every text yields candidate tokens: long runs with letters, digits
 and many different characters.  All values are hashed and counted over the whole
-corpus by distinct repositories and owners.  A value in ``example_owners`` or
-more owners' texts is a widely copied ``example``; one that a single owner has
-is ``live``; what lies between is ``shared``.  Live tokens that no base span
-overlaps are added as kind ``owned``; base spans stay whatever their class.
+corpus by distinct repositories (documents) and owners (sources).  A value is a
+widely copied ``example`` only with ``EXAMPLE_OWNERS`` owners or more and
+``EXAMPLE_REPOS`` repositories or more: one paste per owner in a few texts is no
+example.  It is ``live`` with one owner and fewer than ``WIDE_REPOS``
+repositories; what one owner copies more widely, and all that lies between, is
+``shared``.  Live tokens that no base span overlaps are added as kind ``owned``;
+base spans stay whatever their class.
 
 A value that a third of all texts repeat costs one counter per task before the
 shuffle; its class comes back by a join that adaptive execution can split.
 
 Nulls and odd rows: a null text is empty and has no spans; a null owner is an
 owner named "".  Offsets are code points, ends exclusive.  Rows that repeat an
-id are scanned each for itself; equal rows count as one repository.
+id are scanned each for itself and count as one repository; rows without an id
+are one repository per text.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ ASSIGN_VALUE_CHARS = 6
 #: Candidate tokens of the method.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 TOKEN_DISTINCT_CHARS = 10
-EXAMPLE_OWNERS = 3
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 4
+WIDE_REPOS = 1_000
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -117,8 +122,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     )
     rows = found.filter("size(base) + size(tokens) > 0").select("id", "owner", "text_hash", F.inline(F.concat("base", "tokens")))
     # A base value is also met as a token: one value of one text counts once.
-    freq = rows.groupBy("value_hash").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("id").alias("n_repos"))
-    label = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
+    repo = F.struct("id", F.when(F.col("id").isNull(), F.col("text_hash")))
+    freq = rows.groupBy("value_hash").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct(repo).alias("n_repos"))
+    example = (F.col("n_owners") >= EXAMPLE_OWNERS) & (F.col("n_repos") >= EXAMPLE_REPOS)
+    live = (F.col("n_owners") == 1) & (F.col("n_repos") < WIDE_REPOS)
+    label = F.when(example, "example").when(live, "live").otherwise("shared")
     known = rows.drop("owner").distinct().join(freq, "value_hash").withColumn("class", label)
     text_of = Window.partitionBy("id", "text_hash")
     is_base = F.col("kind") < 3
@@ -130,18 +138,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """Per row: counts per base kind, digest of the base spans, all spans, and counts per class."""
+    """Per row: counts per base kind, digest of the base spans, all spans with their values' owners and repositories, and counts per class.
+
+    ``owners`` and ``repos`` hold one number per span, comma-joined in the order of ``spans``.
+    """
     texts, spans = find(docs, id_col, text_col, owner_col)
     texts = texts.withColumn("plain", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     per_text = spans.groupBy("id", "text_hash").agg(
-        F.collect_list(F.when((F.col("kind") == 3) & (F.col("class") == "live"), F.struct("start", "kind", "end"))).alias("added"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") < 3) | (F.col("class") == "live"), F.struct("start", "kind", "end", "n_owners", "n_repos")))).alias("all"),
         F.count_if(F.col("class") == "live").alias("n_live"), F.count_if(F.col("class") == "example").alias("n_example"),
     )
     of_kind = lambda k: F.size(F.filter("plain", lambda s: s["kind"] == k)).cast("bigint")
-    all_spans = F.concat("plain", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    listed = lambda c: F.coalesce(F.array_join(F.transform("all", lambda s: s[c].cast("string")), ","), F.lit("")).alias(c.removeprefix("n_"))
     return texts.join(per_text, _same(texts, per_text), "left").select(
         texts["id"].alias(id_col), of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
-        F.sha2(spell(F.col("plain")), 256).alias("base_sha256"), spell(all_spans).alias("spans"),
+        F.sha2(spell(F.col("plain")), 256).alias("base_sha256"), F.coalesce(spell(F.col("all")), F.lit("")).alias("spans"),
+        listed("n_owners"), listed("n_repos"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )
 
