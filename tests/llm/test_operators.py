@@ -141,6 +141,22 @@ def test_mixture(spark):
     assert drawn == +collections.Counter({r["doc_id"]: r["copies"] for r in got})
 
 
+def test_mixture_deals_out_what_repeats_drew(spark):
+    rng = np.random.default_rng(8)
+    rows = [(7, "one row that repeats", "en", "hot")] * 2003 + [(None, "no id", "en", None)] * 50 + [(7, "one row that repeats", "en", "b")] * 3
+    rows += [(100 + i, prose(rng, 20), "en", f"s{i % 5}") for i in range(300)]
+    df = docs_of(spark, rows).repartition(5)
+    got = mixing.report(df, block=100).collect()
+    drawn, target = collections.Counter(), {r["source_size"]: r["target"] for r in got}
+    for r in got:
+        drawn[r["doc_id"]] += r["copies"]
+    assert len(got) == len(rows)
+    hot = [r["copies"] for r in got if r["source_size"] == 4 * 2003]
+    assert len(hot) == 2003 and max(hot) - min(hot) == 1 and abs(sum(hot) * 4 - target[4 * 2003]) <= 4
+    taken = collections.Counter((r["doc_id"], r["source"]) for r in mixing.take(df, block=100).collect())
+    assert taken[7, "hot"] == sum(hot) and collections.Counter({i: sum(n for (j, _), n in taken.items() if j == i) for i in {j for j, _ in taken}}) == +drawn
+
+
 def test_mixture_of_nothing(spark):
     assert mixing.report(docs_of(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.report(docs_of(spark, [(1, None, None, None)])).collect()] == [0]

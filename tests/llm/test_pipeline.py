@@ -57,6 +57,15 @@ def test_stages_one_after_the_other(spark):
         assert r["token_ids"] == tok.encode(rows[r["doc_id"]]["text"], add_special_tokens=False).ids and r["n_tokens"] == len(r["token_ids"])
 
 
+def test_repeats_and_rows_without_id_are_near_copies_too(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "en", "s", 1)] * 300 + [(2, b, None, "s", 1), (2, b, "en", "t", 1), (3, b + " more", "en", "s", 1), (None, a, "en", "s", 1)]
+    rows += [(None, c, "en", "s", 1)] * 20 + [(None, c + " more", "en", "s", 1), (4, "one text", "en", "s", 1), (None, "alone", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = [(r["doc_id"], r["text"][:2]) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a0"), (2, "b0"), (None, "c0"), (4, "on"), (None, "al")], key=str)
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

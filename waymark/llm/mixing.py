@@ -13,12 +13,16 @@ new blocks, round after round, until one block per source is left; there the
 landing gives up first the document total, then the token total, and at last
 flips one or two of that block's documents if that brings the tokens nearer.
 
-Blocks are hashes of the id and hold about ``block`` documents, so a source with
-most of the rows is many blocks.  Draws come from a generator seeded by source,
-block and round: reruns agree.
+Rows equal in id, text and source are one document of the flight: ``n`` such rows
+are wanted ``n * rate`` times together, and what is drawn is dealt out among them,
+to each the same or one more to the first ones.  Blocks are hashes of the id and
+text and hold about ``block`` of these documents, so a source with most of the
+rows is many blocks and a row that repeats very often weighs one.  Draws come from
+a generator seeded by source, block and round: reruns agree.
 
 Nulls and odd rows: a null text has size 0; null sources are one source; rows
-that repeat an id are drawn each for itself.  A source without tokens has target 0.
+that repeat an id with other texts are drawn each for itself.  A source without
+tokens has target 0.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import written
-from waymark.operators.ordering import number_all
+from waymark.operators.ordering import number_all, number_in_group
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 2_000
@@ -151,14 +155,24 @@ def _flight(round_no: int, land: bool, seed: int):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """(id, text_hash, size, source_size, target, copies, taken) per row."""
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    return left["id"].eqNullSafe(right["id"]) & left["source"].eqNullSafe(right["source"]) & (left["text_hash"] == right["text_hash"])
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, text_hash) per row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("text_hash")), "sizes")
-    goal = written(targets(sizes, weights, share, most), "targets")
+    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("text_hash")), "sizes")
+
+
+def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
+    """(id, source, text_hash, source_size, target, n, drawn, no) per set of ``n`` equal rows, drawn ``drawn`` times together; ``no`` names the set."""
+    sets = written(sizes.groupBy("id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("n")), "sets")
+    goal = written(targets(sets.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most), "targets")
     rate = F.when(F.col("target") >= F.lit(float(most)) * F.col("source_size"), F.when(F.col("source_size") > 0, F.lit(float(most))).otherwise(0.0)).otherwise(F.col("target") / F.col("source_size"))
-    rows = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(
-        "id", sizes["source"], "size", "text_hash", "source_size", "target", F.floor(rate).cast("bigint").alias("whole"), (rate - F.floor(rate)).alias("p"),
+    over = (rate - F.floor(rate)) * F.col("n")
+    rows = sets.join(goal, sets["source"].eqNullSafe(goal["source"])).select(
+        "id", sets["source"], "size", "text_hash", "n", "source_size", "target", (F.floor(rate) * F.col("n") + F.floor(over)).cast("bigint").alias("whole"), (over - F.floor(over)).alias("p"),
         F.xxhash64("id", "text_hash").alias("h"), F.ceil(F.col("n_docs") / F.lit(float(block))).cast("bigint").alias("blocks"),
     )
     open_rows, done = rows, []
@@ -176,20 +190,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    copies = F.col("whole") + F.col("p").cast("bigint")
-    return out.select(F.col("id").alias(id_col), "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    drawn = F.col("whole") + F.col("p").cast("bigint")
+    return written(out.select("id", "source", "text_hash", "source_size", "target", "n", drawn.alias("drawn"), F.monotonically_increasing_id().alias("no")), "drawn")
+
+
+def _dealt(rows: DataFrame, drawn: DataFrame, columns: list[Column], label: str) -> DataFrame:
+    """``columns`` and the copies of each row of ``rows`` (id, source, text_hash and more); the copies of a set sum to what it drew.
+
+    Only rows of sets whose draws do not divide by their rows are numbered, in blocks.
+    """
+    even, odd = drawn.filter("drawn % n = 0"), drawn.filter("drawn % n <> 0")
+    each = F.expr("drawn div n")
+    out = rows.join(even, _same(rows, even)).select(*columns, each.alias("copies"))
+    if odd.isEmpty():
+        return out
+    held = written(rows.join(odd, _same(rows, odd)).select(F.struct(*columns).alias("row"), "no", "n", "drawn", F.monotonically_increasing_id().alias("at")), label)
+    nth = number_in_group(held, ["no"], "at", "nth")
+    return out.unionByName(nth.select("row.*", (each + F.expr("CAST(nth <= drawn % n AS BIGINT)")).alias("copies")))
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    return mix(docs, id_col, **options).select(id_col, "size", "source_size", "target", "taken", "copies")
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    rows = sized(docs, id_col, text_col, source_col)
+    drawn = mix(rows, **options)
+    dealt = _dealt(rows, drawn, [rows["id"].alias(id_col), rows["size"], F.col("source_size"), F.col("target")], "repeats")
+    return dealt.select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture itself: every row as often as it was drawn, with its own columns."""
-    drawn = mix(docs, id_col, text_col, **options).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__of"), "copies")
-    # Rows that repeat an id with the same text share their draws.
-    drawn = drawn.groupBy("__id", "__of").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    keyed = docs.select("*", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__hash"))
-    joined = keyed.join(drawn, keyed[id_col].eqNullSafe(drawn["__id"]) & (keyed["__hash"] == drawn["__of"]))
-    each = F.ceil(F.col("__sum") / F.col("__rows")).cast("int")
-    return joined.select(*(keyed[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), each)).alias("__copy")).drop("__copy")
+    drawn = mix(sized(docs, id_col, text_col, source_col), **options).filter("drawn > 0")
+    own = F.struct(*(F.col(c) for c in docs.columns)).alias("own")
+    keyed = docs.select(own, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"))
+    dealt = _dealt(keyed, drawn, [keyed["own"]], "repeats")
+    return dealt.select("own", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("own.*")
