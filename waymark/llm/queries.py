@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, langid, minhash, mixing, secrets, suffix_lm, vector_dedup, vp_search, warc
+from waymark.llm import align, bpe, chat, html_text, langid, minhash, mixing, phrases, secrets, suffix_lm, vector_dedup, vp_search, warc
 from waymark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,52 @@ FROM p
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.round_trip(read(spark, sf_dir, "pages"))
     return captures.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PHRASE_SQL = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces
+), n AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang
+), places AS (
+    SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM lists WHERE len(w) > 0
+), grams AS (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(w)
+), often AS (
+    SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100
+), cuts AS (
+    SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(generate_series(1, m - 1)) AS k FROM often WHERE m > 1
+), scored AS (
+    SELECT c.lang, c.m, c.phrase, c.a, c.k, l.a AS l, r.a AS r, n, CAST((1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+    FROM cuts c JOIN n ON c.lang = n.lang
+    JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')
+), weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT DISTINCT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a
+    FROM (SELECT * FROM cuts WHERE k = 1), (SELECT unnest([2, 3, 4]) AS s), (SELECT unnest([1, 2, 3, 4]) AS i) WHERE s < m AND i + s - 1 <= m
+), kept AS (
+    SELECT * FROM weakest x WHERE NOT EXISTS (SELECT 1 FROM inside y WHERE y.lang = x.lang AND y.phrase = x.phrase AND y.a >= x.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@query(_PHRASE_SQL)
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
