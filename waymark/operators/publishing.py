@@ -110,18 +110,24 @@ def reconcile(store: DataFrame, feed: DataFrame, day: Column, source_url: str, s
     ``source_url`` are curated.  Where several feed rows hit one id the last
     counts.  ``action`` tells what happened to each row.
     """
+    return reconciled(store, feed, day, source_url, seq).select(*PLATFORM_COLUMNS, "action")
+
+
+def reconciled(store: DataFrame, feed: DataFrame, day: Column, source_url: str, seq: str = "seq") -> DataFrame:
+    """``reconcile`` with ``known`` (the row stood in the store) and how many feed rows ``inserted`` or ``updated`` it."""
     matched = match_feed(store, feed, seq)
-    winners = keep_first(matched, ["target"], [F.desc(seq)]).select(
-        F.col("target").alias("id"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in FEED_COLUMNS]
+    winners = matched.groupBy(F.col("target").alias("id")).agg(
+        F.max_by(F.struct(*FEED_COLUMNS), seq).alias("_new"),
+        F.count_if(F.col("action") == "inserted").alias("_inserted"), F.count_if(F.col("action") == "updated").alias("_updated"),
     )
     both = store.withColumn("_known", F.lit(True)).join(winners, "id", "full_outer")
-    hit, known = F.col("_hit").isNotNull(), F.col("_known").isNotNull()
+    hit, known = F.col("_new").isNotNull(), F.col("_known").isNotNull()
     fresh = {"note": F.lit(""), "region_limited": F.lit(False), "source_url": F.lit(source_url)}
     gone = ~hit & ~F.col("status").eqNullSafe("removed")
 
     def value(c: str) -> Column:
         if c in FEED_COLUMNS:
-            return F.when(hit, F.col(f"_{c}")).otherwise(F.col(c))
+            return F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c))
         if c in fresh:
             return F.when(known, F.col(c)).otherwise(fresh[c])
         if c == "collected_on":
@@ -131,7 +137,11 @@ def reconcile(store: DataFrame, feed: DataFrame, day: Column, source_url: str, s
         return F.col(c)
 
     action = F.when(hit & known, "updated").when(hit, "inserted").when(gone, "removed").otherwise("kept")
-    return both.select(*[value(c).alias(c) for c in PLATFORM_COLUMNS], action.alias("action"))
+    total = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return both.select(
+        *[value(c).alias(c) for c in PLATFORM_COLUMNS], action.alias("action"), known.alias("known"),
+        total("_inserted").alias("inserted"), total("_updated").alias("updated"),
+    )
 
 
 def reconcile_counts(store: DataFrame, feed: DataFrame, seq: str = "seq") -> DataFrame:

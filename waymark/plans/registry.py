@@ -42,6 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> dict[str, Query]:
-    from waymark.plans import corpus, events, ingest, places, platforms, survey  # noqa: F401
+    from waymark.plans import corpus, events, ingest, jobs, places, platforms, survey  # noqa: F401
 
     return QUERIES

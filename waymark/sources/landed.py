@@ -46,6 +46,21 @@ def place_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rejects
 
 
+def place_page_faults(pages: DataFrame) -> DataFrame:
+    """(query_sido, query_addr, page_no, reason) of what makes a landed run incomplete; no rows means it is whole.
+
+    Faults are pages without the success code, and pages of 1..totalPage (the
+    largest that a district's good pages name) that did not arrive.
+    """
+    where = ["query_sido", "query_addr"]
+    bad = parse_pages(pages, API_PLACE, False).select(*where, "page_no", F.concat(F.lit("resCode="), F.coalesce("page.resCode", F.lit("?"))).alias("reason"))
+    last = parse_pages(pages, API_PLACE, True).groupBy(*where).agg(F.max(F.coalesce("page.data.totalPage", F.lit(1))).alias("last"))
+    number = pages.schema["page_no"].dataType
+    wanted = last.select(*where, F.explode(F.sequence(F.lit(1).cast(number), F.greatest("last", F.lit(1)).cast(number))).alias("page_no"))
+    missing = wanted.join(pages.select(*where, "page_no").distinct(), [*where, "page_no"], "left_anti")
+    return bad.unionByName(missing.withColumn("reason", F.lit("missing")))
+
+
 def declared_counts(pages: DataFrame) -> DataFrame:
     """(district, total_cnt) per page; a district whose pages are all bad is there with null."""
     district = F.concat_ws(" ", "query_sido", "query_addr").alias("district")

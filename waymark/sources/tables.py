@@ -76,11 +76,11 @@ def publish(
     if reasons:
         remove_folder(spark, f"{root}/{version}")
         return reasons
-    _point_to(spark, root, version, last, {fixed.STAMP_KEY: collected_on})
+    point_to(spark, root, version, last, {fixed.STAMP_KEY: collected_on})
     return reasons
 
 
-def _point_to(spark: SparkSession, root: str, version: str, last: str | None, stamps: dict[str, str] | None = None) -> None:
+def point_to(spark: SparkSession, root: str, version: str, last: str | None, stamps: dict[str, str] | None = None) -> None:
     """Make ``version`` the current one, ``last`` the one before, and drop the one before that."""
     oldest = get_stamp(spark, f"{root}/pointer", "before")
     put_stamps(spark, f"{root}/pointer", {"current": version, "before": last or "", **(stamps or {})})
@@ -139,7 +139,7 @@ def replace_chunks(chunks: DataFrame, vectors: DataFrame, root: str) -> None:
     if any(lone):
         remove_folder(spark, f"{root}/{version}")
         raise ValueError(f"{lone[0]} chunks without a vector, {lone[1]} vectors without a chunk")
-    _point_to(spark, root, version, get_stamp(spark, f"{root}/pointer", "current"))
+    point_to(spark, root, version, get_stamp(spark, f"{root}/pointer", "current"))
 
 
 # ---- plain files -------------------------------------------------------------------------------
