@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import fixed
+from waymark.operators.packing import pack_rows
 
 
 def group_counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -81,11 +82,13 @@ def platform_counts(platforms: DataFrame) -> DataFrame:
     )
 
 
-def region_limited_names(platforms: DataFrame, *keys: str) -> DataFrame:
-    """Names of active region-limited platforms in display order, joined by ", "."""
+def region_limited_names(platforms: DataFrame, *keys: str, limit: int = fixed.CHUNK_MAX) -> DataFrame:
+    """(keys, no, names): names of active region-limited platforms in display order, joined by ", " into texts of at most ``limit`` characters.
+
+    A list of any length is filled over many tasks; the source's lists fit into one text.
+    """
     kept = platforms.filter((F.col("status") == "active") & F.col("region_limited"))
-    pairs = F.array_sort(F.collect_list(F.struct("ord", "name")))
-    return kept.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: p["name"]), ", ").alias("names"))
+    return pack_rows(kept, keys, ["ord", "name"], "name", ", ", limit).withColumnRenamed("text", "names")
 
 
 def display_order(platforms: DataFrame) -> DataFrame:

@@ -196,3 +196,16 @@ def feed(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("summary"),
         F.concat(F.lit("https://f.example/"), k.cast("string")).alias("url"),
     )
+
+
+# ---- packing ----------------------------------------------------------------------------
+_NOTHING_PACKED = "{'done': []::VARCHAR[], 'open': NULL::VARCHAR, 'u': NULL::VARCHAR}"
+
+
+def pack_sql(parts: str, grown: str, fits: str, closed: str = "[]::VARCHAR[]", rest: str = "x.u") -> str:
+    """list_reduce that packs ``parts``; ``a`` is the state, ``x.u`` the next part."""
+    flushed = "CASE WHEN a.open IS NULL OR a.open = '' THEN a.done ELSE list_append(a.done, a.open) END"
+    reduced = f"""list_reduce(list_transform({parts}, lambda u: {{'done': []::VARCHAR[], 'open': NULL::VARCHAR, 'u': u}}), lambda a, x:
+      CASE WHEN {fits} THEN {{'done': a.done, 'open': {grown}, 'u': NULL::VARCHAR}}
+      ELSE {{'done': list_concat({flushed}, {closed}), 'open': {rest}, 'u': NULL::VARCHAR}} END, {_NOTHING_PACKED})"""
+    return f"list_filter(list_transform([{reduced}], lambda r: list_append(r.done, r.open))[1], lambda p: p IS NOT NULL AND p <> '')"

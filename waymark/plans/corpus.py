@@ -53,29 +53,17 @@ sections AS (SELECT doc_id, source, sec_no, section, {_strip("CASE WHEN lv > 0 T
   FROM (SELECT doc_id, source, unnest(range(0, len(bs))) AS sec_no, unnest(bs) AS b, unnest(ps) AS section, unnest(list_transform(ms, lambda m: m.lv)) AS lv FROM paths))
 """
 
-_ACC = "{'done': []::VARCHAR[], 'open': NULL::VARCHAR, 'u': NULL::VARCHAR}"
-
-
-def _pack_sql(parts: str, grown: str, fits: str, closed: str = "[]::VARCHAR[]", rest: str = "x.u") -> str:
-    """list_reduce that packs ``parts``; ``a`` is the state, ``x.u`` the next part."""
-    flushed = "CASE WHEN a.open IS NULL OR a.open = '' THEN a.done ELSE list_append(a.done, a.open) END"
-    reduced = f"""list_reduce(list_transform({parts}, lambda u: {{'done': []::VARCHAR[], 'open': NULL::VARCHAR, 'u': u}}), lambda a, x:
-      CASE WHEN {fits} THEN {{'done': a.done, 'open': {grown}, 'u': NULL::VARCHAR}}
-      ELSE {{'done': list_concat({flushed}, {closed}), 'open': {rest}, 'u': NULL::VARCHAR}} END, {_ACC})"""
-    return f"list_filter(list_transform([{reduced}], lambda r: list_append(r.done, r.open))[1], lambda p: p IS NOT NULL AND p <> '')"
-
-
 _GROWN_1 = f"CASE WHEN a.open IS NULL OR a.open = '' THEN x.u ELSE {_strip("a.open || ' ' || x.u")} END"
 _UNITS = r"string_split(regexp_replace(regexp_replace(p, '([.다요음])\s+', '\1' || chr(1), 'g'), '\n', chr(1), 'g'), chr(1))"
 _FIXED = "regexp_extract_all(x.u, '(?s).{1,900}')"
-_PIECES = _pack_sql(_UNITS, _GROWN_1, f"length({_GROWN_1}) <= 900", f"{_FIXED}[1:len({_FIXED}) - 1]", f"coalesce({_FIXED}[len({_FIXED})], '')")
+_PIECES = bindings.pack_sql(_UNITS, _GROWN_1, f"length({_GROWN_1}) <= 900", f"{_FIXED}[1:len({_FIXED}) - 1]", f"coalesce({_FIXED}[len({_FIXED})], '')")
 _GROWN_2 = f"CASE WHEN a.open IS NULL THEN x.u ELSE {_strip("a.open || chr(10) || chr(10) || x.u")} END"
 _GROWN_3 = "CASE WHEN a.open IS NULL THEN x.u ELSE a.open || chr(10) || chr(10) || x.u END"
 _CHUNKS = rf"""{_SECTIONS},
 paras AS (SELECT doc_id, source, sec_no, section, list_filter(list_transform(regexp_split_to_array(body, '\n\s*\n'), lambda q: {_strip("q")}), lambda q: q <> '') AS ps FROM sections WHERE body <> ''),
 pieces AS (SELECT doc_id, source, sec_no, section, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 900 THEN [p] ELSE {_PIECES} END)) AS qs FROM paras),
-packed AS (SELECT doc_id, source, sec_no, section, {_pack_sql("qs", _GROWN_2, f"length({_GROWN_2}) <= 900")} AS cs FROM pieces),
-merged AS (SELECT doc_id, source, sec_no, section, {_pack_sql("cs", _GROWN_3, "a.open IS NULL OR (length(x.u) < 200 AND length(a.open) + length(x.u) < 1100)")} AS ms FROM packed),
+packed AS (SELECT doc_id, source, sec_no, section, {bindings.pack_sql("qs", _GROWN_2, f"length({_GROWN_2}) <= 900")} AS cs FROM pieces),
+merged AS (SELECT doc_id, source, sec_no, section, {bindings.pack_sql("cs", _GROWN_3, "a.open IS NULL OR (length(x.u) < 200 AND length(a.open) + length(x.u) < 1100)")} AS ms FROM packed),
 chunks AS (SELECT doc_id, source, sec_no, section, unnest(range(0, len(ms))) AS chunk_no, unnest(ms) AS content FROM merged)
 """
 
@@ -150,18 +138,6 @@ def record_lines(spark, d) -> DataFrame:
     )
 
 
-@query("X32 X31", f"""WITH g AS (SELECT r_name, '목록 ' || count(*) || chr(10) || string_agg('- ' || n_name || ': ', chr(10) ORDER BY n_nationkey) AS p FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
-pp AS (SELECT r_name, CASE WHEN length(p) <= 900 THEN [p] ELSE {_PIECES} END AS ps FROM (SELECT r_name, {_strip("p")} AS p FROM g))
-SELECT r_name, '목록' AS section, unnest(range(0, len(ps))) AS chunk_no, unnest(ps) AS content FROM pp""")
-def table_chunks(spark, d) -> DataFrame:
-    """A region's nations as one published list; the list is a dimension of fixed size."""
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    line = corpus.platform_line(F.col("n_name"), F.lit(None).cast("string"), F.lit(""), F.lit(False))
-    head = F.concat(F.lit("목록 "), F.count(F.lit(1)).cast("string"))
-    return corpus.table_chunks(rows, ["r_name"], "n_nationkey", line, head, "목록")
-
-
 _DAY = "2026-08-11"
 _PART_LINE = """'- ' || p_name || ' (예: ' || p_brand || ') → ' || CASE WHEN p_size % 2 = 0 THEN '가능' ELSE '불가' END || '.' || CASE WHEN p_partkey % 3 = 0 THEN ' 확인 포인트: ' || p_type ELSE '' END"""
 _PLATFORM_LINE = """'- ' || name || ': ' || coalesce(summary, '') || CASE WHEN note <> '' THEN ' (참고: ' || note || ')' ELSE '' END || CASE WHEN region_limited THEN ' [지역 한정]' ELSE '' END"""
@@ -174,6 +150,17 @@ UNION ALL SELECT 'online_platforms', '온라인 공식 플랫폼 > 배달', '[
 _ALL_CHUNKS = f"{_LISTS}, " + _CHUNKS.replace("FROM sections WHERE body <> ''", f"FROM (SELECT * FROM sections UNION ALL SELECT NULL, source, 0, section, {_strip('body')} FROM lists) WHERE body <> ''")
 
 
+@query("X32 X31", f"""WITH {bindings.PLATFORMS}, g AS (SELECT kind, status, '목록 ' || count(*) || chr(10) || string_agg({_PLATFORM_LINE}, chr(10) ORDER BY id) AS p FROM platforms GROUP BY 1, 2),
+pp AS (SELECT kind, status, CASE WHEN length(p) <= 900 THEN [p] ELSE {_PIECES} END AS ps FROM (SELECT kind, status, {_strip("p")} AS p FROM g)),
+merged AS (SELECT kind, status, {bindings.pack_sql("ps", _GROWN_3, "a.open IS NULL OR (length(x.u) < 200 AND length(a.open) + length(x.u) < 1100)")} AS ms FROM pp)
+SELECT kind, status, '목록' AS section, CAST(unnest(range(0, len(ms))) AS INTEGER) AS chunk_no, unnest(ms) AS content FROM merged""")
+def table_chunks(spark, d) -> DataFrame:
+    """The platforms of every kind and status as one published list each."""
+    line = corpus.platform_line(F.col("name"), F.col("summary"), F.col("note"), F.col("region_limited"))
+    head = F.concat(F.lit("목록 "), F.count(F.lit(1)).cast("string"))
+    return corpus.table_chunks(bindings.platforms(spark, d), ["kind", "status"], "id", line, head, "목록")
+
+
 def _six_loaders(spark, d) -> DataFrame:
     md = markdown(spark, d)
     faq = corpus.question_chunks(landed.read_faq(_faq_texts(spark, d)).drop("pos"), "faq").select("source", "section", "content")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions.values import joined_or_null, platform_kind
 from waymark.operators import catalog as cat
 from waymark.operators import corpus, ordering, publishing, reports
-from waymark.plans.bindings import FEED, PLATFORMS, feed, platforms
+from waymark.plans.bindings import FEED, PLATFORMS, feed, pack_sql, platforms
 from waymark.plans.registry import query, table
 from waymark.schema import PLATFORM_COLUMNS
 from waymark.sources import landed, tables
@@ -142,16 +142,11 @@ def platform_counts(spark, d) -> DataFrame:
     return reports.platform_counts(platforms(spark, d))
 
 
-@query("A24 P12", """SELECT r_name AS region, string_agg(n_name, ', ' ORDER BY n_nationkey) AS names FROM nation JOIN region ON n_regionkey = r_regionkey
-WHERE n_nationkey % 4 <> 1 GROUP BY 1""")
+@query("A24 P12", f"""WITH {PLATFORMS}, lists AS (SELECT kind, list(name ORDER BY ord NULLS FIRST, name) AS ns FROM platforms WHERE status = 'active' AND region_limited GROUP BY 1),
+packed AS (SELECT kind, {pack_sql("ns", "CASE WHEN a.open IS NULL THEN x.u ELSE a.open || ', ' || x.u END", "a.open IS NULL OR length(a.open) + 2 + length(x.u) <= 900")} AS ps FROM lists)
+SELECT kind, unnest(range(0, len(ps))) AS no, unnest(ps) AS names FROM packed""")
 def region_limited_names(spark, d) -> DataFrame:
-    """Nations as platforms of their region; the list is a dimension of fixed size."""
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("r_name").alias("region"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"),
-        F.lit("active").alias("status"), (F.col("n_nationkey") % 4 != 1).alias("region_limited"),
-    )
-    return reports.region_limited_names(rows, "region")
+    return reports.region_limited_names(platforms(spark, d), "kind")
 
 
 @query("A25", "SELECT CASE p_size % 3 WHEN 0 THEN 'allowed' WHEN 1 THEN 'conditional' ELSE 'denied' END AS verdict, count(*) AS count FROM part GROUP BY 1")
