@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,87 +16,129 @@ from pyspark.sql import types as T
 from waymark import fixed
 from waymark.functions import occurrences as occ
 from waymark.functions.text import SPACES, goods_codes
+from waymark.sources.html import small_batches
 
 #: Terms of one pass over the pages; a larger dictionary is passed in as many blocks as it needs.
-TERMS_AT_ONCE = 100_000
+TERMS_AT_ONCE = 500_000
+#: Stands between texts that are searched together; no term holds it.
+_BETWEEN = "\0"
 _WORD = re.compile(f"[{fixed.WORD_CHARS}]")
 #: White space of any script (the Unicode property).
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-class _Dictionary:
-    """Finds the terms of a dictionary in a text, all in one pass."""
+class Dictionary:
+    """Finds the terms of a dictionary in many texts, in one pass over each.
+
+    Built once and sent to the workers whole.  The automaton gives (place, term)
+    pairs; counts, borders and overlaps are then worked out for all texts of a
+    batch together.
+    """
 
     def __init__(self, terms: Sequence[str]):
         import ahocorasick
 
+        self.terms = [t for t in dict.fromkeys(terms) if t and _BETWEEN not in t]
+        self.sizes = np.array([len(t) for t in self.terms], np.int64)
         self.automaton = ahocorasick.Automaton()
-        for t in terms:
-            self.automaton.add_word(t, t)
-        if terms:
+        for i, t in enumerate(self.terms):
+            self.automaton.add_word(t, i)
+        if self.terms:
             self.automaton.make_automaton()
-        self.empty = not terms
-
-    def find(self, text: str | None, pad: int, max_hits: int | None) -> dict[str, tuple[int, bool, str, list[str]]]:
-        """Term to (count, suspect, best context, first three contexts), from its occurrences that do not overlap."""
-        found: dict[str, list] = {}
-        if self.empty or not text:
-            return {}
-        for last, term in self.automaton.iter(text):
-            start = last + 1 - len(term)
-            seen = found.get(term)
-            if seen is None:
-                seen = found[term] = [0, 0, [], None]
-            if start < seen[1] or max_hits is not None and seen[0] >= max_hits:
-                continue
-            seen[0], seen[1] = seen[0] + 1, last + 1
-            if len(seen[2]) < 3:
-                seen[2].append(start)
-            if seen[3] is None and not (start and _WORD.match(text[start - 1])) and not _WORD.match(text[last + 1 : last + 2]):
-                seen[3] = start
-
-        def around(start: int, term: str) -> str:
-            return _GAP.sub(" ", text[max(0, start - pad) : start + len(term) + pad]).strip(SPACES)
-
-        return {
-            t: (n, clean is None, around(firsts[0] if clean is None else clean, t), [around(f, t) for f in firsts])
-            for t, (n, _, firsts, clean) in found.items()
-        }
+
+    def find(self, texts: Sequence[str | None], pad: int, max_hits: int | None, contexts: bool) -> dict[str, list | np.ndarray]:
+        """Columns text (its place), term (its place), count, suspect, and if asked for ctx and ctxs, by text and term.
+
+        Occurrences of one term do not overlap; with ``max_hits`` later ones are not looked at.
+        """
+        joined = _BETWEEN.join(t or "" for t in texts) + _BETWEEN
+        hits = np.array(list(self.automaton.iter(joined)), np.int64).reshape(-1, 2) if self.terms else np.empty((0, 2), np.int64)
+        stops = np.cumsum([len(t or "") + 1 for t in texts])
+        term, start = hits[:, 1], hits[:, 0] + 1 - self.sizes[hits[:, 1]]
+        text = np.searchsorted(stops, start, "right")
+        order = np.lexsort((start, term, text))
+        term, start, text = term[order], start[order], text[order]
+        fresh = np.append(True, (text[1:] != text[:-1]) | (term[1:] != term[:-1]))[: len(term)]
+        keep = self._apart(start, self.sizes[term], fresh)
+        term, start, text = term[keep], start[keep], text[keep]
+        fresh = np.append(True, (text[1:] != text[:-1]) | (term[1:] != term[:-1]))[: len(term)]
+        firsts = np.flatnonzero(fresh)
+        if max_hits is not None and len(firsts):
+            nth = np.arange(len(term)) - np.repeat(firsts, np.diff(np.append(firsts, len(term))))
+            keep = nth < max_hits
+            term, start, text, fresh = term[keep], start[keep], text[keep], fresh[keep]
+            firsts = np.flatnonzero(fresh)
+        clean = ~self._touched(joined, start, start + self.sizes[term])
+        count = np.diff(np.append(firsts, len(term)))
+        any_clean = np.add.reduceat(clean, firsts) > 0 if len(firsts) else np.zeros(0, bool)
+        found = {"text": text[firsts], "term": term[firsts], "count": count, "suspect": ~any_clean}
+        if contexts:
+            begins = np.append(0, stops[:-1])
+            around = lambda i: _GAP.sub(" ", joined[max(begins[text[i]], start[i] - pad) : min(stops[text[i]] - 1, start[i] + self.sizes[term[i]] + pad)]).strip(SPACES)
+            first_clean = np.minimum.reduceat(np.where(clean, np.arange(len(term)), len(term)), firsts) if len(firsts) else firsts
+            found["ctx"] = [around(c if ok else f) for f, c, ok in zip(firsts.tolist(), first_clean.tolist(), any_clean.tolist())]
+            found["ctxs"] = [[around(i) for i in range(f, f + min(3, n))] for f, n in zip(firsts.tolist(), count.tolist())]
+        return found
+
+    @staticmethod
+    def _apart(start: np.ndarray, size: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """Occurrences that do not overlap one before them that counts; only terms that can overlap themselves are walked."""
+        keep = np.ones(len(start), bool)
+        close = np.flatnonzero(~fresh & (start < np.append(0, start[:-1] + size[:-1])[: len(start)]))
+        groups = np.flatnonzero(fresh)
+        for g in np.unique(np.searchsorted(groups, close, "right") - 1).tolist():
+            end = 0
+            for i in range(groups[g], groups[g + 1] if g + 1 < len(groups) else len(start)):
+                if start[i] < end:
+                    keep[i] = False
+                else:
+                    end = start[i] + size[i]
+        return keep
+
+    @staticmethod
+    def _touched(text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether a word character stands right before or behind."""
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, of = np.unique(letters[np.concatenate([np.maximum(start - 1, 0), end])], return_inverse=True)
+        word = np.array([_WORD.match(chr(k)) is not None for k in kinds.tolist()], bool)[of]
+        return (word[: len(start)] & (start > 0)) | word[len(start) :]
 
 
 def page_terms(
     pages: DataFrame, terms: DataFrame, key: str = "page_id", text: str = "text",
-    pad: int = fixed.CONTEXT_PAD, max_hits: int | None = None, at_once: int = TERMS_AT_ONCE,
+    pad: int = fixed.CONTEXT_PAD, max_hits: int | None = None, at_once: int = TERMS_AT_ONCE, contexts: bool = True,
 ) -> DataFrame:
     """(key, term, count, suspect, ctx, ctxs) of every dictionary term that occurs in a page.
 
     A term is suspect when a word character touches every occurrence.  ``ctx``
     is the context of the first occurrence that none touches, or else of the
-    first; ``ctxs`` are the first three.  Each page is read once per block of
-    ``at_once`` terms, whatever the number of terms; only the findings leave the
-    task, never the text.  ``max_hits`` stops a term's count; the survey's own
-    rule stops at ``fixed.PROBE_MAX_HITS``.
+    first; ``ctxs`` are the first three; both are left out without ``contexts``.
+    The automaton is built once and shared; the pages are scanned once for up to
+    ``at_once`` terms, and once per block of so many beyond that.  Only the
+    findings leave the task, never the text.  ``max_hits`` stops a term's count;
+    the survey's own rule stops at ``fixed.PROBE_MAX_HITS``.
     """
     wanted = terms.select("term").filter("term <> ''").distinct()
     blocks = max(1, -(-wanted.count() // at_once))
     spark = pages.sparkSession
-    schema = f"`{key}` {pages.schema[key].dataType.simpleString()}, term string, count bigint, suspect boolean, ctx string, ctxs array<string>"
+    kinds = {"count": pa.int64(), "suspect": pa.bool_(), "ctx": pa.string(), "ctxs": pa.list_(pa.string())}
+    told = {"count": "bigint", "suspect": "boolean", "ctx": "string", "ctxs": "array<string>"}
+    columns = list(kinds) if contexts else ["count", "suspect"]
+    schema = f"`{key}` {pages.schema[key].dataType.simpleString()}, term string, " + ", ".join(f"{c} {told[c]}" for c in columns)
 
     def passed(number: int) -> DataFrame:
         # A block holds about at_once terms, dealt by hash.
         own = wanted.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == number).toArrow().column("term").to_pylist()
-        shared = spark.sparkContext.broadcast(own)
+        shared = spark.sparkContext.broadcast(Dictionary(own))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            dictionary = _Dictionary(shared.value)
-            for b in batches:
-                rows = [
-                    (k, t, *of) for k, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                    for t, of in dictionary.find(page, pad, max_hits).items()
-                ]
-                columns = list(zip(*rows)) or [()] * 6
-                kinds = (b.schema.field(0).type, pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [key, "term", "count", "suspect", "ctx", "ctxs"])
+            dictionary = shared.value
+            names = pa.array(dictionary.terms, pa.string())
+            for b in small_batches(batches, 1):
+                found = dictionary.find(b.column(1).to_pylist(), pad, max_hits, contexts)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(found["text"])), names.take(pa.array(found["term"])), *(pa.array(found[c], kinds[c]) for c in columns)], [key, "term", *columns]
+                )
 
         return pages.select(key, text).mapInArrow(run, schema)
 
@@ -111,12 +154,17 @@ _SEEN = T.ArrayType(T.StructType([
 def analyze(pages: DataFrame, terms: Sequence[str] = fixed.KNOWN_BRANDS, max_hits: int | None = None) -> DataFrame:
     """Collected pages with confirmed terms, suspect ones with their context, all contexts with counts,
     the brand directory and the text length; terms stand in the dictionary's order."""
-    order = list(dict.fromkeys(t for t in terms if t))
+    shared = pages.sparkSession.sparkContext.broadcast(Dictionary(terms))
 
     def seen(texts: pd.Series) -> pd.Series:
-        dictionary = _Dictionary(order)
-        found = (dictionary.find(t, fixed.CONTEXT_PAD, max_hits) for t in texts)
-        return pd.Series([[dict(zip(("term", "count", "suspect", "ctx", "ctxs"), (t, *of[t]))) for t in order if t in of] for of in found], dtype=object)
+        dictionary, out, every = shared.value, [[] for _ in texts], texts.tolist()
+        upto = np.cumsum([len(t or "") for t in every])
+        # Texts are searched together, about a million characters at a time.
+        for part in np.split(np.arange(len(every)), np.flatnonzero(np.diff(upto // 1_000_000)) + 1):
+            found = dictionary.find([every[i] for i in part], fixed.CONTEXT_PAD, max_hits, True)
+            for at, t, count, suspect, ctx, ctxs in zip(found["text"].tolist(), found["term"].tolist(), found["count"].tolist(), found["suspect"].tolist(), found["ctx"], found["ctxs"]):
+                out[part[at]].append({"term": dictionary.terms[t], "count": count, "suspect": suspect, "ctx": ctx, "ctxs": ctxs})
+        return pd.Series(out, dtype=object)
 
     named = lambda suspect: F.transform(F.filter("_seen", lambda s: s["suspect"] == suspect), lambda s: s["term"])
     doubtful = F.transform(F.filter("_seen", lambda s: s["suspect"]), lambda s: F.struct(s["term"].alias("term"), s["ctx"].alias("ctx")))

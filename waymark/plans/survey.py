@@ -25,28 +25,47 @@ def _terms(spark, d) -> DataFrame:
 
 
 _W = fixed.WORD_CHARS
-_FOUND = f"""{_WORDS}, found AS (SELECT page_id, term, (length(html) - length(replace(html, term, ''))) // length(term) AS n,
- NOT regexp_matches(html, '(^|[^{_W}])' || term || '([^{_W}]|$)') AS suspect FROM pages JOIN words ON contains(html, term))"""
+# The text of a page as a reader sees it: no head, no comments, a line per block, references decoded.
+_BLOCKS = "p|div|li|ul|ol|nav|header|article|section|table|tr|h[1-6]|br|footer|main"
+_BARE = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
+ '</?({_BLOCKS})(\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"""
+_DECODED = _BARE
+for _name, _char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("copy", "'©'"), ("middot", "'·'"), ("amp", "'&'")):
+    _DECODED = f"replace({_DECODED}, '&{_name};', {_char})"
+_TEXTS = rf"""texts AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split({_DECODED}, chr(10)),
+ lambda l: trim(regexp_replace(l, '[ \t\r\f\v]+', ' ', 'g'), ' ')), lambda l: l <> ''), chr(10)) AS body FROM pages)"""
+_FOUND = f"""{_WORDS}, {_TEXTS}, found AS (SELECT page_id, term, body, (length(body) - length(replace(body, term, ''))) // length(term) AS n,
+ NOT regexp_matches(body, '(^|[^{_W}])' || term || '([^{_W}]|$)') AS suspect FROM texts JOIN words ON contains(body, term))"""
+
+
+def _texts(spark, d) -> DataFrame:
+    return web.parsed_pages(table(spark, d, "pages")).select("page_id", "url", "text")
+
+
+@query("S9 X24", f"WITH {_TEXTS} SELECT page_id, length(body) AS chars, len(string_split(body, chr(10))) AS lines, md5(body) AS digest FROM texts")
+def page_text(spark, d) -> DataFrame:
+    """The visible text of every page."""
+    return _texts(spark, d).select(
+        "page_id", F.char_length("text").cast("bigint").alias("chars"), F.size(F.split("text", "\n")).cast("bigint").alias("lines"), F.md5("text").alias("digest")
+    )
 
 
 @query("J10 X22", f"WITH {_FOUND} SELECT page_id, term, n AS count, suspect FROM found")
 def page_dictionary(spark, d) -> DataFrame:
     """Every occurrence is counted: the survey's stop after 201 hits is left off here."""
-    found = survey.page_terms(table(spark, d, "pages"), _terms(spark, d), text="html")
-    return found.select("page_id", "term", "count", "suspect")
+    return survey.page_terms(_texts(spark, d), _terms(spark, d), contexts=False).select("page_id", "term", "count", "suspect")
 
 
 @query("J10", f"WITH {_FOUND} SELECT page_id, term FROM found")
 def page_dictionary_by_seed(spark, d) -> DataFrame:
-    """The path for a dictionary of any size: several blocks of terms, forced by a small bound."""
-    return survey.page_terms(table(spark, d, "pages"), _terms(spark, d), text="html", at_once=200).select("page_id", "term")
+    """Which terms a page names, from one scan of the pages."""
+    return survey.page_terms(_texts(spark, d), _terms(spark, d), contexts=False).select("page_id", "term")
 
 
-@query("X22", f"""WITH {_FOUND}, f AS (SELECT page_id, term, strpos(html, term) - 1 AS p0, html FROM found JOIN pages USING (page_id))
-SELECT page_id, term, regexp_replace(regexp_replace(substr(html, greatest(0, p0 - 20) + 1, p0 + length(term) + 20 - greatest(0, p0 - 20)), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS first_ctx FROM f""")
+@query("X22", f"""WITH {_FOUND}, f AS (SELECT page_id, term, strpos(body, term) - 1 AS p0, body FROM found)
+SELECT page_id, term, regexp_replace(regexp_replace(substr(body, greatest(0, p0 - 20) + 1, p0 + length(term) + 20 - greatest(0, p0 - 20)), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS first_ctx FROM f""")
 def page_contexts(spark, d) -> DataFrame:
-    found = survey.page_terms(table(spark, d, "pages"), _terms(spark, d), text="html")
-    return found.select("page_id", "term", F.element_at("ctxs", 1).alias("first_ctx"))
+    return survey.page_terms(_texts(spark, d), _terms(spark, d)).select("page_id", "term", F.element_at("ctxs", 1).alias("first_ctx"))
 
 
 # ---- navigation ----------------------------------------------------------------------------
@@ -82,21 +101,20 @@ def list_segment(spark, d) -> DataFrame:
     return rows.select("doc_id", F.array_join(occ.list_after(marked), " ").alias("items"))
 
 
-_TERMS = ["article", "artic", "nav", "The", "lang", "example", "한샘"]
-_SEEN = f"""seen AS (SELECT page_id, html, list_filter({_TERMS}, lambda t: contains(html, t) AND regexp_matches(html, '(^|[^{_W}])' || t || '([^{_W}]|$)')) AS confirmed,
- list_filter({_TERMS}, lambda t: contains(html, t) AND NOT regexp_matches(html, '(^|[^{_W}])' || t || '([^{_W}]|$)')) AS suspect FROM pages)"""
+_TERMS = ["the", "Of", "an", "The", "que", "example", "한샘"]
+_SEEN = f"""{_TEXTS}, seen AS (SELECT page_id, body, list_filter({_TERMS}, lambda t: contains(body, t) AND regexp_matches(body, '(^|[^{_W}])' || t || '([^{_W}]|$)')) AS confirmed,
+ list_filter({_TERMS}, lambda t: contains(body, t) AND NOT regexp_matches(body, '(^|[^{_W}])' || t || '([^{_W}]|$)')) AS suspect FROM texts)"""
 
 
 def _analyzed(spark, d) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", "url", F.col("html").alias("text"))
-    return survey.analyze(pages, _TERMS)
+    return survey.analyze(_texts(spark, d), _TERMS)
 
 
-_CONTEXTS = f"""array_to_string(list_transform(list_filter({_TERMS}, lambda t: contains(html, t)), lambda t: t || '=' || CAST((length(html) - length(replace(html, t, ''))) // length(t) AS VARCHAR) || ':' ||
- regexp_replace(regexp_replace(substr(html, greatest(1, strpos(html, t) - 20), strpos(html, t) + length(t) + 20 - greatest(1, strpos(html, t) - 20)), '\\s+', ' ', 'g'), '^ | $', '', 'g')), '|') AS contexts"""
+_CONTEXTS = f"""array_to_string(list_transform(list_filter({_TERMS}, lambda t: contains(body, t)), lambda t: t || '=' || CAST((length(body) - length(replace(body, t, ''))) // length(t) AS VARCHAR) || ':' ||
+ regexp_replace(regexp_replace(substr(body, greatest(1, strpos(body, t) - 20), strpos(body, t) + length(t) + 20 - greatest(1, strpos(body, t) - 20)), '\\s+', ' ', 'g'), '^ | $', '', 'g')), '|') AS contexts"""
 
 
-@query("X24 X25", f"""WITH {_SEEN} SELECT page_id, array_to_string(confirmed, ',') AS confirmed, array_to_string(suspect, ',') AS suspect, {_CONTEXTS}, length(html) AS text_len, length(html) < 1500 AS thin FROM seen""")
+@query("X24 X25", f"""WITH {_SEEN} SELECT page_id, array_to_string(confirmed, ',') AS confirmed, array_to_string(suspect, ',') AS suspect, {_CONTEXTS}, length(body) AS text_len, length(body) < 1500 AS thin FROM seen""")
 def page_analysis(spark, d) -> DataFrame:
     first = F.transform("contexts", lambda c: F.concat(c["term"], F.lit("="), c["count"].cast("string"), F.lit(":"), c["ctxs"][0]))
     return _analyzed(spark, d).withColumn("contexts", F.array_join(first, "|")).select(

@@ -1,16 +1,20 @@
 """Stored web pages: visible text, navigation labels, brand links.
 
-Markup has no column function, so each page goes through the standard library's
-parser inside the task that read it; all rules on what was found are columns.
+Markup has no column function, so each page goes through one pass over its tags
+inside the task that read it; all rules on what was found are columns.  The pass
+is linear in the page, whatever stands in it: comments, scripts and tags that
+never end hide the rest of the page, as in a browser.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,74 +22,147 @@ from waymark import fixed
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HIDDEN = {"script", "style", "template", "noscript", "head"}
+#: Elements whose content is text of its own kind, up to their end tag.
+_RAW = {"script", "style", "title", "textarea"}
 _BLOCK = {"p", "div", "li", "ul", "ol", "nav", "header", "article", "section", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "footer", "main"}
 # Containers that make a link a navigation link: elements, and parts of class and id names.
 _NAV_TAGS = {"nav", "header", "li"}
 _NAV_CLASS = re.compile("gnb|category|cate|menu|tab")
 _NAV_ID = re.compile("gnb|category")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in _RAW}
+_BLANKS = re.compile(r"[ \t\r\f\v]+")
+#: Bytes of pages that are read at a time.
+BATCH_BYTES = 2_000_000
+
+
+def _tags(html: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before the tag, whether it is an end tag, its name, its attributes) of every tag; the last text has no tag."""
+    at, strict = 0, True
+    held: list[str] = []
+    while True:
+        lt = html.find("<", at)
+        if lt < 0:
+            held.append(html[at:])
+            break
+        held.append(html[at:lt])
+        if html.startswith(("<!", "<?"), lt):
+            close = "-->" if html.startswith("<!--", lt) else ">"
+            end = html.find(close, lt + 2)
+            if end < 0:
+                break
+            at = end + len(close)
+            continue
+        ends = html.startswith("/", lt + 1)
+        name = _NAME.match(html, lt + 1 + ends)
+        if name is None:
+            held.append("<")
+            at = lt + 1
+            continue
+        whole = _QUOTED.match(html, name.end()) if strict else None
+        if whole is None:
+            # A quote is open to the end of the page: from here on quotes do not count.
+            strict = False
+            end = html.find(">", name.end()) + 1
+        else:
+            end = whole.end()
+        if not end:
+            break
+        tag = name[0].lower()
+        yield "".join(held), ends, tag, html[name.end() : end - 1]
+        held, at = [], end
+        if tag in _RAW and not ends:
+            close = _ENDS[tag].search(html, at)
+            if close is None:
+                break
+            held.append(html[at : close.start()])
+            at = close.start()
+    yield "".join(held), False, "", ""
 
 
-class _Links(HTMLParser):
-    """Collects the title, the visible text, and every link with whether it is inside navigation."""
+class _Page:
+    """Title, visible text, and every link with whether it is inside navigation."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+    def __init__(self, html: str):
         self.text: list[str] = []
         self.title: list[str] = []
         self.links: list[list] = []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
+        self.stack: list[tuple[str, bool]] = []
+        self.open, self.navs = Counter(), 0
+        for said, ends, tag, attributes in _tags(html):
+            if said:
+                self._say(unescape(said))
+            if tag and ends:
+                self._end(tag)
+            elif tag:
+                self._start(tag, attributes)
+
+    def _say(self, text: str) -> None:
+        if self.open["title"]:
+            self.title.append(text)
+        elif not any(self.open[t] for t in _HIDDEN):
+            self.text.append(text)
+
+    def _start(self, tag: str, attributes: str) -> None:
         if tag in _BLOCK:
             self.text.append("\n")
+        named = {k.lower(): x or y or z for k, x, y, z in reversed(_ATTRIBUTE.findall(attributes))} if attributes else {}
         if tag == "a":
-            in_nav = any(nav for _, nav in self.open)
-            self.links.append([in_nav, a.get("href") or "", len(self.text), None])
+            self.links.append([self.navs > 0, unescape(named.get("href", "")), len(self.text), None])
         if tag not in _VOID:
-            nav = tag in _NAV_TAGS or bool(_NAV_CLASS.search(a.get("class") or "") or _NAV_ID.search(a.get("id") or ""))
-            self.open.append((tag, nav))
+            nav = tag in _NAV_TAGS or bool(_NAV_CLASS.search(named.get("class", "")) or _NAV_ID.search(named.get("id", "")))
+            self.stack.append((tag, nav))
+            self.open[tag] += 1
+            self.navs += nav
 
-    def handle_endtag(self, tag):
+    def _end(self, tag: str) -> None:
         if tag == "a" and self.links and self.links[-1][3] is None:
             self.links[-1][3] = len(self.text)
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        while self.open[tag]:
+            last, nav = self.stack.pop()
+            self.open[last] -= 1
+            self.navs -= nav
+            if last == tag:
                 break
         if tag in _BLOCK:
             self.text.append("\n")
 
-    def handle_data(self, data):
-        tags = {t for t, _ in self.open}
-        if "title" in tags:
-            self.title.append(data)
-        elif not tags & _HIDDEN:
-            self.text.append(data)
-
 
-def _parsed(html: str) -> tuple[str, str, list[dict]]:
-    p = _Links()
-    p.feed(html or "")
-    p.close()
-    links = [{"nav": nav, "href": href, "text": "".join(p.text[i:j if j is not None else len(p.text)])} for nav, href, i, j in p.links]
-    lines = (re.sub(r"[ \t\r\f\v]+", " ", s).strip() for s in "".join(p.text).split("\n"))
+def _parsed(html: str | None) -> tuple[str, str, list[dict]]:
+    p = _Page(html or "")
+    links = [{"nav": nav, "href": href, "text": "".join(p.text[i : j if j is not None else len(p.text)])} for nav, href, i, j in p.links]
+    lines = (_BLANKS.sub(" ", s).strip() for s in "".join(p.text).split("\n"))
     return "".join(p.title).strip(), "\n".join(s for s in lines if s), links
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``BATCH_BYTES`` of one text column."""
+    for b in batches:
+        upto = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(b.column(column)), 0), pa.int64())).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < b.num_rows:
+            base = upto[start - 1] if start else 0
+            end = max(start + 1, int(upto.searchsorted(base + BATCH_BYTES, "right")))
+            yield b.slice(start, end - start)
+            start = end
+
+
 def parsed_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, url, title, text, links) per page; a link is (nav, href, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for b in batches:
-            rows = [_parsed(h) for h in b[html]]
-            yield pd.DataFrame({
-                key: b[key], "url": b["url"], "title": [r[0] for r in rows], "text": [r[1] for r in rows], "links": [r[2] for r in rows],
-            })
+    link = pa.struct([("nav", pa.bool_()), ("href", pa.string()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in small_batches(batches, 2):
+            rows = [_parsed(h) for h in b.column(2).to_pylist()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.list_(link)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], [key, "url", "title", "text", "links"])
 
     kind = pages.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, url string, title string, text string, links array<struct<nav: boolean, href: string, text: string>>"
-    return pages.select(key, "url", html).mapInPandas(run, schema)
+    schema = f"`{key}` {kind}, url string, title string, text string, links array<struct<nav: boolean, href: string, text: string>>"
+    return pages.select(key, "url", html).mapInArrow(run, schema)
 
 
 def collected(
