@@ -205,44 +205,99 @@ def test_tokenizer_that_keeps_white_space_is_refused():
 
 
 # ---- 4 suffix tree -----------------------------------------------------------------------
-def test_base_score_and_counts(spark):
+def suffix_tree(texts, depth, least_context, least_next, divergence):
+    """The tree from plain dictionaries: (kept contexts with what they leave, probabilities per context, root)."""
+    lists = [["<s>", *words(t), "</s>"] for t in texts]
+    count = collections.Counter(w for ws in lists for w in ws[1:])
+    total = sum(count.values()) + len(count) + 1
+    root = lambda w: (count[w] + 1) / total
+    grams, size = collections.defaultdict(collections.Counter), collections.Counter()
+    for ws in lists:
+        for i in range(1, len(ws)):
+            for d in range(1, min(depth, i) + 1):
+                grams[tuple(ws[i - d : i])][ws[i]] += 1
+                size[tuple(ws[i - d : i])] += 1
+    p, rest, gain = {}, {}, {}
+    for c in sorted(size, key=len):
+        stored = {w: n for w, n in grams[c].items() if n >= least_next}
+        if size[c] < least_context or not stored:
+            continue
+        below = {w: (root(w) if len(c) == 1 else p[c[1:]][w]) for w in stored}
+        rest[c] = 1 - sum(n - 0.5 for n in stored.values()) / size[c]
+        p[c] = {w: (n - 0.5) / size[c] + rest[c] * below[w] for w, n in stored.items()}
+        gain[c] = sum(q * math.log(q / below[w]) for w, q in p[c].items()) + max(0, 1 - sum(p[c].values())) * math.log(rest[c])
+    kept = {c for c in rest if gain[c] >= divergence}
+    kept |= {c[i:] for c in kept for i in range(1, len(c))}
+    return kept, rest, p, root
+
+
+def tree_score(tree, text, depth):
+    kept, rest, p, root = tree
+    ws, out = ["<s>", *words(text), "</s>"], 0.0
+    for i in range(1, len(ws)):
+        c = next((tuple(ws[i - d : i]) for d in range(min(depth, i), 0, -1) if tuple(ws[i - d : i]) in kept), ())
+        while c and ws[i] not in p[c]:
+            out += math.log10(rest[c])
+            c = c[1:]
+        out += math.log10(p[c][ws[i]] if c else root(ws[i]))
+    return out
+
+
+PATTERN = "the big red dog ran home and the small cat sat down"
+
+
+def learned_from(r):
+    return r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2
+
+
+def test_scores_are_those_of_a_plain_suffix_tree(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, prose(rng, int(rng.integers(0, 90))), "en", "s") for i in range(400)] + ODD
-    train = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    count = collections.Counter(w for r in train for w in [*words(r[1]), None])
+    rows = [(i, f"{PATTERN if i % 3 else ''} {prose(rng, int(rng.integers(0, 90)))} {PATTERN}", "en", "s") for i in range(400)] + ODD + [(5007, "the The THE", "en", "s")] * 3
+    train = [r[1] for r in rows if learned_from(r)]
+    count = collections.Counter(w for t in train for w in [*words(t), None])
     n, v = sum(count.values()), len(count)
-    for dictionary in (1 << 20, 30):
-        got = {r["doc_id"]: r for r in suffix_lm.score_corpus(docs_of(spark, rows), dictionary=dictionary, context_share=0.01, next_share=0.001).collect()}
-        assert len(got) == len(rows)
+    tree = suffix_tree(train, 3, 60, 5, 0.01)
+    assert {len(c) for c in tree[0]} == {1, 2, 3} and any("<s>" in c for c in tree[0])
+    for table in (1 << 20, 40, 0):
+        got = collections.defaultdict(list)
+        for r in suffix_lm.score_corpus(docs_of(spark, rows).repartition(3), table=table, least_context=60, least_next=5).collect():
+            got[r["doc_id"]].append(r)
+        assert sum(map(len, got.values())) == len(rows)
         for r in rows:
-            tokens, g = [*words(r[1]), None], got[r[0]]
+            tokens, g = [*words(r[1]), None], got[r[0]][0]
             assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(tokens), sum(count[w] > 0 for w in tokens), n)
-            assert g["held_out"] == (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2)
+            assert g["held_out"] == (not learned_from(r))
             assert g["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens))
+            assert g["score"] == pytest.approx(tree_score(tree, r[1], 3))
 
 
-def test_contexts_are_distributions_and_help(spark):
+def test_contexts_are_distributions_and_help():
     rng = np.random.default_rng(6)
-    pattern = "the big red dog ran home and the small cat sat down"
-    rows = [(i, f"{pattern} {prose(rng, 20, 60)} {pattern}") for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    tree, _ = suffix_lm.learn(df, context_share=0.005, next_share=0.0002)
-    kept = [np.flatnonzero(~np.isnan(r)) for r in tree.rest]
-    assert len(kept[0]) and len(kept[1])
-    root = (tree.counts + 1.0) / (tree.tokens + tree.types + 1)
-    assert root.sum() + 1 / (tree.tokens + tree.types + 1) == pytest.approx(1)
-    for depth, contexts in enumerate(kept):
-        for c in contexts[:20]:
-            before = [c] if depth == 0 else [tree.pairs[c] >> 32, tree.pairs[c] & 0xFFFFFFFF]
-            if tree.start in before:
-                continue
-            total = 0.0
-            for w in [*range(len(tree.counts)), -1]:
-                ids = np.array([*before, w], np.int64)
-                total += 10 ** suffix_lm.log_probabilities(tree, ids)[-1]
-            assert total == pytest.approx(1, abs=1e-6)
-    scored = suffix_lm.score(df.withColumn("held_out", F.lit(True)), *suffix_lm.learn(df, context_share=0.005, next_share=0.0002)).collect()
-    assert sum(r["score"] for r in scored) > sum(r["base_score"] for r in scored) * 0.8
+    texts = [f"{PATTERN} {prose(rng, 20, 60)} {PATTERN}" for _ in range(300)]
+    kept, rest, p, root = tree = suffix_tree(texts, 3, 50, 5, 0.01)
+    types = {w for t in texts for w in words(t)} | {"</s>"}
+    for c in sorted(kept)[:60]:
+        total = sum(_chance(tree, c, w) for w in types)
+        assert total + _chance(tree, c, "never seen") == pytest.approx(1)
+    assert sum(tree_score(tree, t, 3) for t in texts) > 0.8 * sum(math.log10(root(w)) for t in texts for w in [*words(t), "</s>"])
+
+
+def _chance(tree, c, w):
+    kept, rest, p, root = tree
+    out = 1.0
+    while c and w not in p[c]:
+        out, c = out * rest[c], c[1:]
+    return out * (p[c][w] if c else root(w))
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, prose(rng, 60, 300)) for i in range(300)], "doc_id long, text string")
+    small, large = (suffix_lm.learn(x, least_context=60, least_next=5) for x in (df, df.union(df).union(df)))
+    assert large.tokens == 3 * small.tokens and large.types == small.types
+    for a, b in zip(small.contexts, large.contexts):
+        assert a.count() < b.count()
+    assert 3 * small.entries.count() < large.entries.count()
 
 
 def test_nothing_to_learn(spark):
@@ -321,6 +376,81 @@ def test_language(spark):
     assert [got[i]["lang_pred"] for i in (90000, 90001, 90002, 90005)] == ["und"] * 4 and got[90006]["lang_pred"] in set(truth.values())
 
 
+def plain_language_scores(rows, most_words, most_grams):
+    """(language, score) per text by the rule, from plain counters over all labelled rows."""
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    docs = collections.Counter(lang for _, lang in rows)
+    langs, counts = sorted(docs), {}
+    for text, lang in rows:
+        for w in letters(text):
+            counts.setdefault((0, w), collections.Counter())[lang] += 1
+            for n in (4, 3, 2, 1):
+                for g in langid.grams(w, n):
+                    counts.setdefault((n, g), collections.Counter())[lang] += 1
+
+    def kept(grams, most):
+        # The bound is a count that at most ``most`` entries reach, in steps of a 16th of an octave.
+        mine = {k: c for k, c in counts.items() if (k[0] > 0) == grams}
+        step = lambda k: int(math.floor(math.log2(sum(mine[k].values())) * 16))
+        by_step, out = collections.defaultdict(list), []
+        for k in mine:
+            by_step[step(k)].append(k)
+        for b in sorted(by_step, reverse=True):
+            if len(out) + len(by_step[b]) > most:
+                break
+            out += by_step[b]
+        return out
+
+    table = {k: counts[k] for k in kept(False, most_words) + kept(True, most_grams)}
+    totals = collections.Counter()
+    for (n, _), c in table.items():
+        for lang in langs:
+            totals[n, lang] += c[lang] + 0.5
+    log = lambda k: np.array([math.log((table[k][x] + 0.5) / totals[k[0], x]) for x in langs])
+
+    def of(text):
+        found = letters(text or "")
+        if not found:
+            return "und", 0.0
+        total = np.array([math.log(docs[x] / len(rows)) for x in langs])
+        for w in found:
+            if (0, w) in table:
+                total = total + log((0, w))
+                continue
+            for n in (4, 3, 2, 1):
+                known = [log((n, g)) for g in langid.grams(w, n) if (n, g) in table]
+                if known:
+                    total = total + np.mean(known, axis=0)
+                    break
+        odds = np.exp(total - total.max())
+        return langs[int(odds.argmax())], float(odds.max() / odds.sum())
+
+    return of
+
+
+def test_language_scores_are_those_of_plain_counters(spark):
+    rng = random.Random(12)
+    sound = {"aa": "abeilnorstu", "bb": "aeghknmrtuz", "cc": "aeiloprsvzq", "rare": "xyzwq"}
+    made = lambda lang: " ".join("".join(rng.choice(sound[lang]) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 25)))
+    rows = [(i, made(lang), lang) for i, lang in enumerate(["aa"] * 300 + ["bb"] * 80 + ["cc"] * 20 + ["rare"])]
+    df = spark.createDataFrame([(*r, 9.0, "x") for r in rows], "doc_id long, text string, lang string, score double, lang_pred string").repartition(4)
+    for entries in (10_000, 300):
+        of = plain_language_scores([(t, lang) for _, t, lang in rows], entries, entries)
+        found = langid.predict(df, langid.fit(df, max_entries=entries))
+        assert sorted(found.columns) == sorted(df.columns)
+        for r in found.collect():
+            lang, score = of(r["text"])
+            assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-3)
+
+
+def test_language_sample_is_about_its_bound_and_all_languages_are_learned(spark):
+    rows = [(i, f"w{i % 50} of a", "en") for i in range(3000)] + [(5000 + i, "ein wort", "de") for i in range(7)] + [(9000, "une fois", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, sample_docs=100).langs == ["de", "en", "fr"] and langid.fit(df, max_langs=2).langs == ["de", "en"]
+    few = langid.fit(df, sample_docs=10, max_cells=6)
+    assert all(len(k) <= 2 for n, k in few.known.items() if n == 0)
+
+
 def test_language_of_nothing(spark):
     assert langid.identify(docs_of(spark, [])).count() == 0
     assert {r["lang_pred"] for r in langid.identify(docs_of(spark, [(1, "some words", None, "s")])).collect()} == {"und"}

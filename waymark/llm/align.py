@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import small_batches, written
+from waymark.llm.common import count_bound, small_batches, written
 
 LANE_BYTES, BATCH_BYTES = 2_048, 1_000_000
 TABLE_PAIRS = 1 << 20
@@ -192,19 +192,6 @@ class Aligner:
         return list(map(self.written.__getitem__, mixed.tolist()))
 
 
-def _threshold(counts: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` pairs have or exceed."""
-    step = F.floor(F.log2("c") * 16)
-    hist = counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).orderBy(F.desc("b")).collect()
-    total, low = 0, hist[0]["high"] + 1 if hist else 1
-    for r in hist:
-        total += r["n"]
-        if total > most:
-            break
-        low = r["low"]
-    return low
-
-
 def align(docs: DataFrame, tokenizer_json: str, model: str, id_col: str = "doc_id", text_col: str = "text", lane: int = LANE_BYTES, table_pairs: int = TABLE_PAIRS) -> DataFrame:
     """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.  Paths name the two tokenizers' files, read by the driver."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -228,7 +215,7 @@ def align(docs: DataFrame, tokenizer_json: str, model: str, id_col: str = "doc_i
     of_b = F.col("pair").bitwiseAND(0x7FFF)
     highest = counts.groupBy(of_b.alias("of")).agg(F.max("c").alias("high"))
     counts = written(counts.join(F.broadcast(highest), of_b == F.col("of")).select("pair", "c", (F.col("c") == F.col("high")).alias("best")), "pair-table")
-    found, others = _met(texts, counts, _threshold(counts, table_pairs))
+    found, others = _met(texts, counts, count_bound(counts, table_pairs))
     late = others.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("often")).otherwise(0)).alias("late_best"), F.sum(F.col("often") * F.col("c")).alias("late_sum"))
     more = lambda c: F.coalesce(F.col(c), F.lit(0))
     return found.join(late, "row", "left").select(

@@ -2,318 +2,366 @@
 
 Tokens are lower-cased words and one end per text.  The root gives every token
 (c + 1) / (N + V + 1) from counts over all training texts.  Below it hang
-contexts of one and two preceding tokens (or the text's start).  A context is a
-candidate when it makes up ``context_share`` of all tokens; it stays when its
-next-token distribution diverges from that of its suffix by ``divergence`` nats
-or more, or when a longer context that stays ends in it.  Distributions are
-smoothed by absolute discounting: what is taken from the stored successors goes
-to the suffix's distribution, so each context's probabilities sum to one.  A
-token is scored in the longest stored context.
-
-Size: at most 1 / ``context_share`` contexts and 1 / ``next_share`` successors
-per depth, whatever the corpus, and of the words that occur more than once the
-``dictionary`` most frequent; these are broadcast.  Counting covers all training
-texts.  Words outside the dictionary meet their counts in a join, so every count
-enters every score.
-
-Words are told apart by 64-bit hashes.  Nulls and odd rows: a null text is empty
-and has its end token; a null id counts as remainder 0; rows that repeat an id
-are scored, and learned, each for itself.  Without training texts N = V = 0 and
-every token has probability 1.
+contexts of one to ``depth`` preceding tokens, the first of which may be the
+text's start.
+
+* A context is a candidate if it occurs ``least_context`` times, a successor is
+  stored if it follows it ``least_next`` times; both are absolute, so the tree
+  grows with the corpus.  A longer n-gram is at most as frequent as its parts,
+  which are asked first (a Bloom filter of bounded size; what it lets through
+  beside them is cut by its own count).
+* Distributions are smoothed by absolute discounting: what is taken from the
+  stored successors goes to the suffix's distribution, so each context's
+  probabilities sum to one.
+* A context stays when its distribution diverges from that of its suffix by
+  ``divergence`` nats or more, or when a longer context that stays ends in it.
+* A token is scored in the longest context that stays.
+
+Since the suffixes of a context that stays stay too, a token's score is a sum: the
+root's logarithm, for each context that stays before it the logarithm of what it
+leaves to its suffix, and for each of those that stores the token what that adds.
+A text's score is therefore a sum over its words, contexts and n-grams of one
+number each.  The numbers live in written tables; the ``table`` most frequent
+words and as many other entries are broadcast, and what is left of a text's keys
+meets the tables in a join, so every number enters every score.
+
+Tokens and n-grams are told apart by 64-bit hashes.  Nulls and odd rows: a null
+text is empty and has its end token; a null id counts as remainder 0; rows that
+repeat an id are scored, and learned, each for itself.  Without training texts
+N = V = 0 and every token has probability 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from waymark.llm.common import WordHashes, bucket, small_batches, words_of, written
+from waymark.llm.common import WordHashes, bucket, count_bound, mix, small_batches, words_of, written
 
-CONTEXT_SHARE, NEXT_SHARE, DIVERGENCE, DISCOUNT = 1e-4, 2e-6, 0.01, 0.5
-DICTIONARY = 1 << 21
-_LOW = np.int64(0xFFFFFFFF)
-_SHIFT = np.int64(32)
-#: The end token; no word holds white space.
-_END = b"\n"
+DEPTH, LEAST_CONTEXT, LEAST_NEXT, DIVERGENCE, DISCOUNT = 3, 100, 20, 0.01, 0.5
+TABLE = 1 << 20
+#: The filters grow with what they hold up to this many bits (16 MB).
+BLOOM_BITS = 1 << 27
+_HELD_ROWS = 1_000_000
+#: The text's end and start; no word holds white space.
+_END, _START = b"\n", b"\t"
+_ODD, _REST = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-@dataclass
-class Tree:
-    """Words by rank (most frequent first), contexts, and successors sorted by (context, word)."""
+def followed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Code of a context with one more token: the n-gram's, and that of the longer context."""
+    return mix(context * _ODD + token)
 
-    hashes: np.ndarray
-    ranks: np.ndarray
-    counts: np.ndarray
-    tokens: int
-    types: int
-    n_context: int
-    n_next: int
-    pairs: np.ndarray
-    rest: list[np.ndarray]
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
 
-    @property
-    def start(self) -> int:
-        return self.n_context
+def rest_key(context: np.ndarray) -> np.ndarray:
+    return mix(context ^ _REST)
 
-    @property
-    def root_log(self) -> float:
-        return float(np.log10(self.tokens + self.types + 1))
 
+class Tokens:
+    """Hashes of many texts' tokens in a row, each text between its start and its end."""
 
-class _Ranks:
-    """Words of texts as ranks in the dictionary, or -1, a batch of texts at a time."""
+    def __init__(self):
+        self.hashes = WordHashes()
+        self.start, self.end = self.hashes[_START], self.hashes[_END]
 
-    def __init__(self, tree: Tree):
-        self.tree, self.hashes = tree, WordHashes()
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """(hashes, ranks, ends) of the texts' tokens, one text after the other."""
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, place behind each text)."""
         words: list[bytes] = []
         ends = []
         for t in texts:
+            words.append(_START)
             words += words_of(t)
             words.append(_END)
             ends.append(len(words))
-        h = self.hashes.of(words)
-        at, hit = _look_up(self.tree.hashes, h)
-        return h, np.where(hit, self.tree.ranks[at], -1) if len(self.tree.ranks) else np.full(len(h), -1), ends
-
-
+        return self.hashes.of(words), np.array(ends, np.int64)
+
+    def contexts(self, h: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per length 1 to ``depth``: (places of tokens that have such a context, its codes)."""
+        at = np.flatnonzero(h != np.uint64(self.start))
+        for d in range(1, depth + 1):
+            code = h[at - d]
+            for back in range(d - 1, 0, -1):
+                code = followed(code, h[at - back])
+            yield at, code
+            # One more token to the left, unless the context begins at the text's start.
+            at = at[h[at - d] != np.uint64(self.start)]
+
+
+class Bloom:
+    """Keys of a table, or a few more; two bits each."""
+
+    def __init__(self, keys: DataFrame):
+        n = keys.count()
+        self.bits = min(BLOOM_BITS, 1 << max(16, (n * 16).bit_length()))
+        k = F.col("key")
+        spots = keys.select(F.explode(F.array(k.bitwiseAND(self.bits - 1), F.shiftrightunsigned(k, 37).bitwiseAND(self.bits - 1))).alias("spot"))
+        words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("set")).toArrow()
+        held = np.zeros(self.bits >> 6, np.int64)
+        held[np.asarray(words.column("word"), dtype=np.int64)] = np.asarray(words.column("set"), dtype=np.int64)
+        self.words = held.view(np.uint64)
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        held = np.ones(len(key), bool)
+        for spot in (key & np.uint64(self.bits - 1), key >> np.uint64(37) & np.uint64(self.bits - 1)):
+            held &= (self.words[(spot >> np.uint64(6)).astype(np.intp)] >> (spot & np.uint64(63)) & np.uint64(1)) == 1
+        return held
+
+
+# ---- counting -------------------------------------------------------------------
 class _Sums:
-    """Adds up keys and counts; gives them out when they get many."""
+    """Distinct keys with columns that belong to them, and how often each came; gives them out when they are many."""
 
-    def __init__(self, kind: type, most: int = 1_500_000):
-        self.kind, self.most, self.held, self.size = kind, most, [], 0
+    def __init__(self, names: list[str]):
+        self.names, self.held, self.size = names, [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.held.append((k, c))
-        self.size += len(k)
-        if self.size > self.most:
+    def add(self, *columns: np.ndarray) -> None:
+        """``columns`` begins with the key; equal keys have equal columns."""
+        _, first, often = np.unique(columns[0], return_index=True, return_counts=True)
+        self.held.append([*(c[first] for c in columns), often])
+        self.size += len(first)
+        if self.size > _HELD_ROWS:
             self._merge()
 
     def _merge(self) -> None:
-        k = np.concatenate([x for x, _ in self.held])
-        keys, at = np.unique(k, return_inverse=True)
-        self.held = [(keys, np.bincount(at, weights=np.concatenate([c for _, c in self.held])).astype(np.int64))]
-        self.size = len(keys)
+        *columns, often = (np.concatenate(c) for c in zip(*self.held))
+        _, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
+        self.held = [[*(c[first] for c in columns), np.bincount(at, weights=often).astype(np.int64)]]
+        self.size = len(first)
 
     def out(self, all_of_it: bool) -> Iterator[pa.RecordBatch]:
-        if self.held and (all_of_it or self.size > self.most // 2):
+        if self.held and (all_of_it or self.size > _HELD_ROWS // 2):
             self._merge()
-            if all_of_it or self.size > self.most // 2:
-                (k, c), self.held, self.size = self.held[0], [], 0
-                for i in range(0, len(k), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000])], ["k", "c"])
+            if all_of_it or self.size > _HELD_ROWS // 2:
+                columns, self.held, self.size = self.held[0], [], 0
+                for i in range(0, len(columns[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].view(np.int64)) for c in columns], [*self.names, "c"])
 
 
-def _summed(texts: DataFrame, keys_of: Callable[[], Callable[[list[str | None]], np.ndarray]], kind: type) -> DataFrame:
-    """(k, c): how often each key that ``keys_of`` makes occurs over all texts."""
+def _word_counts(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        sums, tokens = _Sums(["key"]), Tokens()
+        for b in small_batches(batches, "text"):
+            h, _ = tokens.of(b.column(0).to_pylist())
+            sums.add(h[h != np.uint64(tokens.start)])
+            yield from sums.out(False)
+        yield from sums.out(True)
+
+    return texts.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def _gram_counts(texts: DataFrame, depth: int, contexts: Bloom, shorter: Bloom) -> DataFrame:
+    """(key, ctx, w, c) of contexts of ``depth`` tokens with their next token; ``shorter`` holds what the same places give one token shorter."""
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast((contexts, shorter))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        sums, make = _Sums(kind), keys_of()
+        sums, tokens = _Sums(["key", "ctx", "w"]), Tokens()
+        known, below = shared.value
         for b in small_batches(batches, "text"):
-            sums.add(make(b.column(0).to_pylist()))
+            h, _ = tokens.of(b.column(0).to_pylist())
+            *_, before, (at, code) = [(None, None), *tokens.contexts(h, depth)]
+            use = known.holds(code)
+            at, code = at[use], code[use]
+            if depth == 1:
+                use = below.holds(h[at])
+            else:
+                tail = before[1][np.searchsorted(before[0], at)]
+                use = below.holds(followed(tail, h[at]))
+            at, code = at[use], code[use]
+            if len(at):
+                sums.add(followed(code, h[at]), code, h[at])
             yield from sums.out(False)
         yield from sums.out(True)
 
-    return texts.select("text").mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
-
-
-def _word_keys() -> Callable[[list[str | None]], np.ndarray]:
-    hashes = WordHashes()
-    return lambda texts: np.concatenate([hashes.of([*words_of(t), _END]) for t in texts])
-
-
-def _context_keys(shared, depth: int) -> Callable[[], Callable[[list[str | None]], np.ndarray]]:
-    def make() -> Callable[[list[str | None]], np.ndarray]:
-        tree = shared.value
-        ranks = _Ranks(tree)
-        contexts = lambda ids: _contexts(tree, ids)[depth - 1]
-
-        def keys(texts: list[str | None]) -> np.ndarray:
-            _, every, ends = ranks.of(texts)
-            at = np.concatenate([contexts(every[i:j]) for i, j in zip([0, *ends], ends)])
-            use = (at >= 0) & (every >= 0) & (every < tree.n_next)
-            return at[use] << _SHIFT | every[use]
-
-        return keys
-
-    return make
-
-
-def _contexts(tree: Tree, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the one-token and the two-token context before each token, or -1."""
-    one = np.concatenate([[tree.start], ids[:-1]])
-    one = np.where((one >= 0) & (one <= tree.n_context), one, -1)
-    one[1:][ids[:-1] == tree.n_context] = -1
-    two = np.full(len(ids), -1, np.int64)
-    if len(tree.pairs) and len(ids) > 1:
-        pair = one[:-1] << _SHIFT | one[1:]
-        at = np.searchsorted(tree.pairs, pair)
-        at[at == len(tree.pairs)] = 0
-        hit = (one[:-1] >= 0) & (one[1:] >= 0) & (tree.pairs[at] == pair)
-        two[1:] = np.where(hit, at, -1)
-    return one, two
-
-
-def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.intp), np.zeros(len(wanted), bool)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted
-
-
-def log_probabilities(tree: Tree, ids: np.ndarray) -> np.ndarray:
-    """log10 P of each token of one text; tokens outside the dictionary lack their ``log10(c + 1)``."""
-    out = np.where(ids >= 0, np.log10(tree.counts[ids] + 1.0) if len(tree.counts) else 0.0, 0.0) - tree.root_log
-    for depth, at in enumerate(_contexts(tree, ids)):
-        rest, keys, logs = tree.rest[depth], tree.keys[depth], tree.logs[depth]
-        in_tree = at >= 0
-        in_tree[in_tree] = ~np.isnan(rest[at[in_tree]])
-        where = np.flatnonzero(in_tree)
-        out[where] += rest[at[where]]
-        spot, hit = _look_up(keys, at[where] << _SHIFT | np.where(ids[where] < 0, _LOW, ids[where]))
-        out[where[hit]] = logs[spot[hit]]
-    return out
-
-
-def _grown(tree: Tree, depth: int, totals: np.ndarray, suffix: np.ndarray, successors: pa.Table, divergence: float) -> np.ndarray:
-    """Adds the successors and left-over weights of one depth; returns each context's divergence from its suffix."""
-    key = np.asarray(successors.column("k"), dtype=np.int64)
-    order = np.argsort(key)
-    key, count = key[order], np.asarray(successors.column("c"), dtype=np.float64)[order]
-    at, word = key >> _SHIFT, key & _LOW
-    own = (count - DISCOUNT) / totals[at]
-    rest = 1.0 - np.bincount(at, weights=own, minlength=len(totals))
-    below = _of_suffix(tree, depth, suffix, at, word)
-    p = own + rest[at] * below
-    gain = np.bincount(at, weights=p * np.log(p / below), minlength=len(totals))
-    left = np.maximum(1.0 - np.bincount(at, weights=p, minlength=len(totals)), 0.0)
-    with np.errstate(divide="ignore"):
-        log_rest = np.log(np.maximum(rest, 1e-300))
-    tree.rest.append(log_rest / np.log(10))
-    tree.keys.append(key)
-    tree.logs.append(np.log10(p))
-    return gain + left * log_rest
-
-
-def _of_suffix(tree: Tree, depth: int, suffix: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
-    root = (tree.counts[word] + 1.0) / (tree.tokens + tree.types + 1)
-    if depth == 1:
-        return root
-    s = suffix[at]
-    spot, hit = _look_up(tree.keys[0], s << _SHIFT | word)
-    return np.where(hit, 10.0 ** tree.logs[0][spot] if len(tree.logs[0]) else root, 10.0 ** tree.rest[0][s] * root)
-
-
-def _prune(tree: Tree, depth: int, stays: np.ndarray) -> None:
-    tree.rest[depth - 1] = np.where(stays, tree.rest[depth - 1], np.nan)
-    keep = stays[tree.keys[depth - 1] >> _SHIFT]
-    tree.keys[depth - 1], tree.logs[depth - 1] = tree.keys[depth - 1][keep], tree.logs[depth - 1][keep]
-
-
-def _threshold(counts: DataFrame, most: int) -> int:
-    """The smallest count above 1 such that at most ``most`` words have it or more, from a histogram by powers of 2^(1/16)."""
-    step = F.floor(F.log2("c") * 16)
-    hist = counts.filter("c > 1").groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).orderBy(F.desc("b")).collect()
-    total, low = 0, None
-    for r in hist:
-        total += r["n"]
-        if total > most:
-            break
-        low = r["low"]
-    return low if low is not None else (hist[0]["low"] * 2 if hist else 2)
-
-
-def learn(training: DataFrame, text_col: str = "text", context_share: float = CONTEXT_SHARE, next_share: float = NEXT_SHARE, divergence: float = DIVERGENCE, dictionary: int = DICTIONARY) -> tuple[Tree, DataFrame]:
-    """The tree, and the table of words outside its dictionary (k, c)."""
+    return texts.mapInArrow(run, "key bigint, ctx bigint, w bigint, c bigint").groupBy("key", "ctx", "w").agg(F.sum("c").alias("c"))
+
+
+def _with_code(df: DataFrame, name: str, a: str, b: str | None = None) -> DataFrame:
+    """``df`` with the code of ``a`` followed by ``b``, or the key of what context ``a`` leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            one = np.asarray(batch.column(a)).view(np.uint64)
+            code = rest_key(one) if b is None else followed(one, np.asarray(batch.column(b)).view(np.uint64))
+            yield batch.append_column(name, pa.array(code.view(np.int64)))
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
+# ---- learning ---------------------------------------------------------------------
+@dataclass
+class Model:
+    """Counts of the corpus and the tables: words (key, c), entries of the tree (key, c, value), and the kept contexts per depth."""
+
+    tokens: int
+    types: int
+    words: DataFrame
+    entries: DataFrame
+    contexts: list[DataFrame]
+    depth: int
+
+    @property
+    def root_log(self) -> float:
+        return float(np.log10(self.tokens + self.types + 1))
+
+
+def learn(
+    training: DataFrame, text_col: str = "text", depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, divergence: float = DIVERGENCE,
+) -> Model:
+    """The tree over all training texts, in written tables."""
     texts = training.select(F.col(text_col).cast("string").alias("text"))
-    counts = written(_summed(texts, lambda: _word_keys(), np.uint64), "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    low = _threshold(counts, dictionary)
-    top = counts.filter(F.col("c") >= low).toArrow()
-    h, c = np.asarray(top.column("k"), dtype=np.int64).view(np.uint64), np.asarray(top.column("c"), dtype=np.int64)
-    by_rank = np.lexsort((h, -c))
-    h, c = h[by_rank], c[by_rank]
-    by_hash = np.argsort(h)
-    least_context, least_next = max(2.0, context_share * n), max(2.0, next_share * n)
-    n_context, n_next = (int(np.count_nonzero(c >= x)) for x in (least_context, least_next))
-    tree = Tree(h[by_hash], by_hash.astype(np.int64), c, int(n), int(v), n_context, n_next, np.empty(0, np.int64), [], [], [])
-    spark = training.sparkSession
-
-    def successors(depth: int) -> DataFrame:
-        return _summed(texts, _context_keys(spark.sparkContext.broadcast(tree), depth), np.int64).filter(F.col("c") >= least_next)
-
-    one = successors(1).toArrow()
-    n_texts = texts.count()
-    totals = np.append(c[:n_context], n_texts).astype(float)
-    gains = _grown(tree, 1, totals, np.empty(0, np.int64), one, divergence)
-    # A two-token context occurs as often as its second token follows its first.
-    k, often = np.asarray(one.column("k"), dtype=np.int64), np.asarray(one.column("c"), dtype=np.int64)
-    use = (often >= least_context) & ((k & _LOW) < n_context)
-    order = np.argsort(k[use])
-    pairs, pair_totals = k[use][order], often[use][order].astype(float)
-    tree.pairs = pairs
-    two = successors(2).toArrow()
-    suffix = pairs & _LOW
-    gains_two = _grown(tree, 2, pair_totals, suffix, two, divergence)
-    stays_two = gains_two >= divergence
-    stays = gains >= divergence
-    stays[suffix[stays_two]] = True
-    _prune(tree, 2, stays_two)
-    _prune(tree, 1, stays)
-    return tree, counts.filter(F.col("c") < low)
-
-
-def score(docs: DataFrame, tree: Tree, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    words = written(_word_counts(texts), "words")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    marks = Tokens()
+    end, start = (int(np.uint64(x).view(np.int64)) for x in (marks.end, marks.start))
+    # As often as a text ends one begins.
+    begins = words.filter(F.col("key") == end).select(F.lit(start).cast("bigint").alias("key"), "c")
+    contexts = words.filter(F.col("key") != end).unionByName(begins).filter(F.col("c") >= least_context)
+    contexts = contexts.select(F.col("key").alias("ctx"), F.col("c").alias("total"), F.lit(None).cast("bigint").alias("suffix"))
+    below = words.select("key", ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("p"))
+    shorter = words.filter(F.col("c") >= least_next).select("key")
+    levels = []
+    for d in range(1, depth + 1):
+        contexts = written(contexts, f"contexts{d}")
+        grams = _gram_counts(texts, d, Bloom(contexts.select(F.col("ctx").alias("key"))), Bloom(shorter)).filter(F.col("c") >= least_next)
+        grams = grams.join(contexts, "ctx")
+        grams = grams.withColumn("below", F.col("w")) if d == 1 else _with_code(grams, "below", "suffix", "w")
+        grams = written(grams.withColumn("own", (F.col("c") - DISCOUNT) / F.col("total")), f"grams{d}")
+        rests = grams.groupBy("ctx").agg((1.0 - F.sum("own")).alias("rest"))
+        known = grams.join(below.select(F.col("key").alias("below"), F.col("p").alias("q")), "below").join(rests, "ctx")
+        known = written(known.withColumn("p", F.col("own") + F.col("rest") * F.col("q")), f"distributions{d}")
+        gain = known.groupBy("ctx", "suffix", "total", "rest").agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("g"), F.greatest(1.0 - F.sum("p"), F.lit(0.0)).alias("left"))
+        levels.append((known, gain.select("ctx", "suffix", "total", "rest", (F.col("g") + F.col("left") * F.log("rest") >= divergence).alias("diverges"))))
+        below = known.select("key", "p")
+        shorter = known.select("key")
+        contexts = known.filter((F.col("c") >= least_context) & (F.col("w") != end)).select(F.col("key").alias("ctx"), F.col("c").alias("total"), F.col("below").alias("suffix"))
+    entries, kept, needed = None, [], None
+    for d in range(depth, 0, -1):
+        known, tested = levels[d - 1]
+        if needed is None:
+            stays = tested.filter("diverges")
+        else:
+            stays = tested.join(needed.withColumn("needed", F.lit(True)), "ctx", "left").filter("diverges or needed").drop("needed")
+        stays = written(stays.drop("diverges"), f"stays{d}")
+        needed = stays.select(F.col("suffix").alias("ctx")).distinct()
+        rests = _with_code(stays.select("ctx", F.col("total").alias("c"), F.log10("rest").alias("value")), "key", "ctx").select("key", "c", "value")
+        adds = known.join(stays.select("ctx"), "ctx", "left_semi").select("key", "c", (F.log10("p") - F.log10("q") - F.log10("rest")).alias("value"))
+        both = rests.unionByName(adds)
+        entries = both if entries is None else entries.unionByName(both)
+        kept.insert(0, stays)
+    return Model(int(n), int(v), words, written(entries, "entries"), kept, depth)
+
+
+# ---- scoring ----------------------------------------------------------------------
+class _Table:
+    """Keys and numbers, sorted for look-ups."""
+
+    def __init__(self, rows: pa.Table, number: str):
+        key = np.asarray(rows.column("key"), dtype=np.int64).view(np.uint64)
+        order = np.argsort(key)
+        self.keys, self.numbers = key[order], np.asarray(rows.column(number), dtype=np.float64)[order]
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, 0 where there is none; whether there is one)."""
+        if not len(self.keys):
+            return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = self.keys[at] == wanted
+        return np.where(hit, self.numbers[at], 0.0), hit
+
+
+def _tree_keys(tokens: Tokens, h: np.ndarray, depth: int, held: Bloom) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of every context and n-gram of the texts that the tree may hold.
+
+    A context is looked for only where its suffix may be held, an n-gram only
+    where the shorter one may be.
+    """
+    places, keys = [], []
+    open_ctx = open_gram = None
+    for at, code in tokens.contexts(h, depth):
+        if open_ctx is not None:
+            at, code = at[open_ctx[at]], code[open_ctx[at]]
+        key = rest_key(code)
+        use = held.holds(key)
+        at, code = at[use], code[use]
+        places.append(at)
+        keys.append(key[use])
+        gram, spots = followed(code, h[at]), at
+        if open_gram is not None:
+            gram, spots = gram[open_gram[spots]], spots[open_gram[spots]]
+        stored = held.holds(gram)
+        places.append(spots[stored])
+        keys.append(gram[stored])
+        open_ctx, open_gram = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        open_ctx[at], open_gram[spots[stored]] = True, True
+    return np.concatenate(places), np.concatenate(keys)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", table: int = TABLE) -> DataFrame:
     """The columns of ``docs`` but the text, with n_tokens, n_known, train_tokens, base_score and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    root = tree.root_log
+    low_word, low_entry = count_bound(model.words, table), count_bound(model.entries, table)
+    top = lambda df, low: df.filter(F.col("c") >= low).toArrow()
+    context = docs.sparkSession.sparkContext
+    words = _Table(top(model.words.select("key", "c", F.log10(F.col("c") + 1.0).alias("value")), low_word), "value")
+    entries = _Table(top(model.entries, low_entry), "value")
+    rare, cold = model.words.filter(F.col("c") < low_word), model.entries.filter(F.col("c") < low_entry)
+    cold_any = not cold.isEmpty()
+    shared = context.broadcast((words, entries, Bloom(model.entries.select("key"))))
+    root, depth = model.root_log, model.depth
+    rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        t = shared.value
-        ranks = _Ranks(t)
+        of_words, of_tree, held = shared.value
+        tokens = Tokens()
         for b in small_batches(batches, "text"):
-            n, known, base, total, unknown = [], [], [], [], []
-            hashes, every, ends = ranks.of(b.column(1).to_pylist())
-            for i, j in zip([0, *ends], ends):
-                ids = every[i:j]
-                inside = ids >= 0
-                n.append(len(ids))
-                known.append(int(inside.sum()))
-                base.append(float(np.log10(t.counts[ids[inside]] + 1.0).sum()) - len(ids) * root)
-                total.append(float(log_probabilities(t, ids).sum()))
-                unknown.append(hashes[i:j][~inside].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(unknown, pa.list_(pa.int64()))], ["row", "n", "known", "base", "total", "unknown"])
+            h, ends = tokens.of(b.column(1).to_pylist())
+            n = np.diff(ends, prepend=0) - 1
+            begins = ends - n - 1
+            real = h != np.uint64(tokens.start)
+            value, known = of_words.find(h)
+            known &= real
+            place, key = _tree_keys(tokens, h, depth, held)
+            own, hit = of_tree.find(key)
+            row = np.searchsorted(ends, place, "right")
+            extra = np.bincount(row[hit], weights=own[hit], minlength=len(ends))
+            sums = lambda x: np.add.reduceat(x, begins)
+            base = sums(np.where(known, value, 0.0)) - n * root
+            late = np.flatnonzero(~hit) if cold_any else np.empty(0, np.intp)
+            late = late[np.argsort(row[late], kind="stable")]
+            unknown = np.flatnonzero(real & ~known)
+            lists = []
+            for keys, owner in ((h[unknown], np.searchsorted(ends, unknown, "right")), (key[late], row[late])):
+                offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(ends)))).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sums(known.astype(np.int64))), pa.array(base), pa.array(base + extra), *lists], ["row", "n", "known", "base", "total", "unknown", "late"])
 
     numbered = docs.select("*", F.monotonically_increasing_id().alias("_row"))
-    rest = [c for c in docs.columns if c != text_col]
     # The row number ties a text's partial score to its own columns; both are taken from one written scan.
     parts = numbered.select(F.struct("_row", *rest).alias("row"), F.col(text_col).cast("string").alias("text"))
-    row_type = parts.schema["row"].dataType
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
-
-    schema = StructType([StructField("row", row_type), *(StructField(x, LongType()) for x in ("n", "known")), *(StructField(x, DoubleType()) for x in ("base", "total")), StructField("unknown", ArrayType(LongType()))])
-    scored = written(parts.mapInArrow(run, schema).select(F.col("row._row").alias("_row"), F.struct(*(F.col("row").getField(c).alias(c) for c in rest)).alias("own"), "n", "known", "base", "total", "unknown"), "scored")
-    met = scored.select("_row", F.explode("unknown").alias("k")).join(rare, "k").groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count(F.lit(1)).alias("met"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.join(met, "_row", "left").select(
-        "own.*", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(tree.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("total") + more).alias("score"),
+    long, double, keys = T.LongType(), T.DoubleType(), T.ArrayType(T.LongType())
+    kinds = {"n": long, "known": long, "base": double, "total": double, "unknown": keys, "late": keys}
+    schema = T.StructType([T.StructField("row", parts.schema["row"].dataType), *(T.StructField(c, t) for c, t in kinds.items())])
+    scored = written(parts.mapInArrow(run, schema).select(F.col("row._row").alias("_row"), F.struct(*(F.col("row").getField(c).alias(c) for c in rest)).alias("own"), *kinds), "scored")
+    met = scored.select("_row", F.explode("unknown").alias("key")).join(rare, "key").groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count(F.lit(1)).alias("met"))
+    out = scored.join(met, "_row", "left")
+    if cold_any:
+        cool = scored.select("_row", F.explode("late").alias("key")).groupBy("_row", "key").agg(F.count(F.lit(1)).alias("often"))
+        out = out.join(cool.join(cold, "key").groupBy("_row").agg(F.sum(F.col("often") * F.col("value")).alias("cool")), "_row", "left")
+    more, cool = F.coalesce("more", F.lit(0.0)), F.coalesce("cool", F.lit(0.0)) if cold_any else F.lit(0.0)
+    return out.select(
+        "own.*", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("base") + more).alias("base_score"), (F.col("total") + more + cool).alias("score"),
     )
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, **options) -> DataFrame:
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, table: int = TABLE, **options) -> DataFrame:
     """Learns from all folds but one and scores every row."""
     held = bucket(F.col(id_col), folds) == held_fold
-    tree, rare = learn(docs.filter(~held), text_col, **options)
-    return score(docs.select(id_col, held.alias("held_out"), text_col), tree, rare, id_col, text_col)
+    model = learn(docs.filter(~held), text_col, **options)
+    return score(docs.select(id_col, held.alias("held_out"), text_col), model, id_col, text_col, table)
