@@ -80,6 +80,10 @@ def matches(text: Column, pattern: str) -> Column:
     return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m).cast(_SPAN)).otherwise(F.array().cast(_SPAN)))
 
 
+#: Characters of a block of text that is cut.
+BLOCK_CHARS = 1_000
+
+
 def base_spans(text: Column) -> list[Column]:
     """One array of (start, end, value) per base kind."""
     whole = matches(text, ASSIGN)
@@ -159,20 +163,30 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every base or live span that is not a widely copied example replaced by ``mark``; all rows and columns stay."""
+    """``docs`` with every base or live span that is not a widely copied example replaced by ``mark``; all rows and columns stay.
+
+    Linear in the text: what stands between the spans is taken from blocks of
+    the text, so no place is counted from the text's start.
+    """
     _, spans = find(docs, id_col, text_col, owner_col)
-    cuts = spans.filter("class = 'live' or class = 'shared' and kind < 3").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    cuts = cuts.select(F.col("id").alias("__id"), F.col("text_hash").alias("__of"), F.col("cuts").alias("__cuts"))
+    before = Window.partitionBy("id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    cut = spans.filter("class = 'live' or class = 'shared' and kind < 3").select("id", "text_hash", "start", "end", F.coalesce(F.max("end").over(before), F.lit(0)).alias("from"))
+    gap = F.when(F.col("start") >= F.col("from"), F.struct("from", "start"))
+    cuts = cut.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("end").alias("tail"))
+    cuts = cuts.select(F.col("id").alias("__id"), F.col("text_hash").alias("__of"), F.col("gaps").alias("__gaps"), F.col("tail").alias("__tail"))
     keyed = docs.select("*", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__hash"))
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    joined = keyed.join(cuts, keyed[id_col].eqNullSafe(cuts["__id"]) & (keyed["__hash"] == cuts["__of"]), "left")
+    text = F.col(text_col)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        kept = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(fresh)))
-        return F.struct(kept.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def between(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / BLOCK_CHARS)
+        held = F.array_join(F.slice(blocks, (first + 1).cast("int"), (F.ceil(end / BLOCK_CHARS) - first).cast("int")), "")
+        return F.substring(held, (start - first * BLOCK_CHARS + 1).cast("int"), (end - start).cast("int"))
 
-    text = F.col(text_col)
-    rest = lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.char_length(text))))
-    cleaned = F.array_join(F.aggregate("__cuts", begin, step, rest), mark)
-    joined = keyed.join(cuts, keyed[id_col].eqNullSafe(cuts["__id"]) & (keyed["__hash"] == cuts["__of"]), "left")
-    return joined.select(*(F.when(F.col("__cuts").isNull(), text).otherwise(cleaned).alias(c) if c == text_col else keyed[c] for c in docs.columns))
+    def cleaned(blocks: Column) -> Column:
+        kept = F.transform("__gaps", lambda g: F.when(g["start"] > g["from"], between(blocks, g["from"], g["start"])).otherwise(""))
+        rest = F.when(F.col("__tail") < F.char_length(text), between(blocks, F.col("__tail"), F.char_length(text))).otherwise("")
+        return F.array_join(F.concat(kept, F.array(rest)), mark)
+
+    clean = once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0)), cleaned)
+    return joined.select(*(F.when(F.col("__gaps").isNull(), text).otherwise(clean).alias(c) if c == text_col else keyed[c] for c in docs.columns))
