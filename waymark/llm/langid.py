@@ -1,9 +1,12 @@
 """Language ID: known words first, then shorter and shorter character n-grams (operator 6).
 
-Fit: at most ``sample_docs`` labelled documents per language, those whose id has
-the smallest hash, give counts of words and of the 1- to 4-grams of words.  The
-model holds ``max_entries`` words and as many n-grams over all languages, so its
-size is bounded whatever the corpus; it is collected and broadcast.
+Fit: about ``sample_docs`` labelled documents per language, those whose hash lies
+below a bound that follows from the language's document count, give counts of
+words and of the 1- to 4-grams of words.  The ``max_langs`` languages with most
+documents are learned.  The model holds the words that are most frequent over all
+languages together, and as many n-grams, each with its counts in every language;
+at most ``max_entries`` of either, and no more than ``max_cells`` numbers of
+either, so its size is bounded whatever the corpus; it is collected and broadcast.
 
 Score of a text: the sum over its words of log frequencies per language.  A word
 unknown in every language takes the longest order of which any n-gram is known,
@@ -24,15 +27,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from waymark.llm.common import bucket, small_batches
+from waymark.llm.common import bucket, count_bound, small_batches, written
 
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
-SAMPLE_DOCS, MAX_ENTRIES, MAX_LANGS = 5_000, 200_000, 500
+SAMPLE_DOCS, MAX_ENTRIES, MAX_LANGS, MAX_CELLS = 5_000, 200_000, 500, 8_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 _EXTRA, _SLICE = 100_000, 50_000
 
@@ -125,52 +127,59 @@ class _Rows(dict):
         return self.matrix[at].sum(axis=0, dtype=np.float64)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_ENTRIES) -> Model:
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_ENTRIES, max_langs: int = MAX_LANGS, max_cells: int = MAX_CELLS,
+) -> Model:
     """A model from labelled documents; every bound is a parameter and none depends on the corpus size."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros(0), {})
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = (
-        labelled.filter(F.col("lang").isin(langs)).select("lang", "id", F.xxhash64("id").alias("h"))
-        .withColumn("no", F.row_number().over(first)).filter(F.col("no") <= sample_docs).select("id", F.col("lang").alias("of")).distinct()
-    )
-    sample = labelled.join(chosen, (labelled["id"] == chosen["id"]) & (labelled["lang"] == chosen["of"]), "left_semi").select("lang", "text")
+    # A language's share of the hashes that gives it the wanted number of documents.
+    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, sample_docs / sizes[lang]))))[F.col("lang")]
+    drawn = (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)) < share
+    sample = labelled.filter(F.col("lang").isin(langs) & drawn).select("lang", "text")
     counted = sample.mapInArrow(_counts, "lang string, n int, item string, c bigint").groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
-    most = max(1, min(max_entries, 8_000_000 // len(langs)) // len(langs))
-    by_count = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "item")
-    top = counted.withColumn("no", F.row_number().over(by_count)).filter(F.col("no") <= F.when(F.col("n") == 0, most).otherwise(most // len(ORDERS) + 1)).drop("no").toArrow()
+    places = F.create_map(*(F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)))[F.col("lang")]
+    items = written(counted.groupBy("n", "item").agg(F.sum("c").alias("all"), F.collect_list(F.struct(places.alias("at"), "c")).alias("of")), "language-items")
+    most = max(1, min(max_entries, max_cells // len(langs)))
+    of_words, of_grams = F.col("n") == 0, F.col("n") > 0
+    low = [count_bound(items.filter(kind), most, "all") for kind in (of_words, of_grams)]
+    top = items.filter((of_words & (F.col("all") >= low[0])) | (of_grams & (F.col("all") >= low[1]))).select("n", "item", "of.at", "of.c").toArrow()
     prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values()))
-    return Model(langs, prior, _tables(top, langs))
+    return Model(langs, prior, _tables(top, len(langs)))
 
 
-def _tables(top: pa.Table, langs: list[str]) -> dict[int, tuple[list[str], np.ndarray]]:
-    place = {x: i for i, x in enumerate(langs)}
-    rows: dict[int, dict[str, np.ndarray]] = {}
-    for lang, n, item, c in zip(*(top.column(k).to_pylist() for k in ("lang", "n", "item", "c"))):
-        rows.setdefault(n, {}).setdefault(item, np.zeros(len(langs)))[place[lang]] = c
+def _tables(top: pa.Table, langs: int) -> dict[int, tuple[list[str], np.ndarray]]:
+    order = np.asarray(top.column("n"))
     out = {}
-    for n, of in rows.items():
-        items = sorted(of)
-        counts = np.array([of[i] for i in items]) + 0.5
-        out[n] = items, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    for n in np.unique(order).tolist():
+        rows = top.filter(pa.array(order == n)).sort_by("item").combine_chunks()
+        counts = np.full((rows.num_rows, langs), 0.5)
+        of = rows.column("at").combine_chunks()
+        counts[np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(of.offsets))), np.asarray(of.flatten())] += np.asarray(rows.column("c").combine_chunks().flatten())
+        out[n] = rows.column("item").to_pylist(), np.log(counts / counts.sum(axis=0)).astype(np.float32)
     return out
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``lang_pred`` and ``score``."""
+    """The columns of ``docs`` with ``lang_pred`` and ``score``, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score"))).withColumn(text_col, F.col(text_col).cast("string"))
-    names, at = kept.columns, kept.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in small_batches(batches, text_col):
-            lang, score = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    kept = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score")))
+
+    def judge(texts: pa.Array) -> pa.Array:
+        langs, scores = [], []
+        for b in small_batches(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
+            lang, score = shared.value.predict(b.column(0).to_pylist())
+            langs += lang
+            scores += score
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    # Only the text goes to Python and only the verdict comes back.
+    found = F.arrow_udf(judge, "lang_pred string, score double")(F.col(text_col).cast("string"))
+    return kept.withColumn("_judged", found).select(*kept.columns, "_judged.lang_pred", "_judged.score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
