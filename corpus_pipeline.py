@@ -12,14 +12,15 @@ from waymark.operators.ordering import number_all
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
-#: Below this a language is a guess; with a handful of languages no clean text comes near it.
-LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language go; a missing label becomes the predicted one."""
+    """Texts without a language (``und``: null, or without a letter) go, whatever their label; a missing label becomes the predicted one.
+
+    Rows that repeat are judged each; a score drops nothing, since it depends on how many languages there are.
+    """
     judged = langid.predict(docs.select(*COLUMNS), langid.fit(docs))
-    kept = judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = judged.filter(F.col("lang_pred") != langid.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
@@ -59,18 +60,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets other than widely copied examples are replaced by a mark."""
+    """Every document stays, also without text; secrets other than widely copied examples are replaced by a mark.
+
+    Rows that repeat are cleaned each; they count as one repository.
+    """
     clean = secrets.redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("bigint"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it; documents without words are never taken, rows that repeat share what was drawn."""
     return mixing.take(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mixture."""
+    """Token ids of every document of the mixture; a null or empty text has none."""
     return bpe.encode(docs, tokenizer_path(TOKENIZER), ("n_tokens", "token_ids"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import mix, small_batches
 
 CHUNK_BYTES, WINDOW_DOUBLINGS = 512, 5
-MOST_CHUNK_BYTES, MOST_WORDS = 16_000_000, 250_000
+MOST_CHUNK_BYTES, MOST_WORDS = 8_000_000, 120_000
 #: One random number per byte value.
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")

@@ -21,11 +21,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that travel to a Python worker at once while a step is written; texts are long.
+MOST_BATCH_ROWS = 1_000
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a step that a lost executor does not undo."""
-    path = work_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: a step that a lost executor does not undo.
+
+    Arrow batches are kept small for the time of the write, so that neither side
+    of a Python step holds many texts.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, label)
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, min(int(before), MOST_BATCH_ROWS) if int(before) > 0 else MOST_BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucket(key: Column, modulus: int) -> Column:
@@ -74,7 +89,7 @@ def per_batch(run: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callabl
     return apply
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of one string or binary column."""
     for b in batches:
         at = b.schema.get_field_index(column)
@@ -87,6 +102,19 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
             start = end
 
 
+def count_bound(counts: DataFrame, most: int, column: str = "c") -> int:
+    """The smallest count such that at most ``most`` rows have it or more, from a histogram by powers of 2^(1/16)."""
+    step, c = F.floor(F.log2(column) * 16), F.col(column)
+    hist = counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).orderBy(F.desc("b")).collect()
+    total, low = 0, hist[0]["high"] + 1 if hist else 1
+    for r in hist:
+        total += r["n"]
+        if total > most:
+            break
+        low = r["low"]
+    return low
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with an edge to another node.
 

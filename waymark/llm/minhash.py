@@ -32,7 +32,7 @@ the graph; each such row is returned with its own set's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,10 +126,11 @@ def _sketches(k: int):
     return run
 
 
-def _full_sets(k: int):
+def _full_sets(k: int, held: Callable[[pa.RecordBatch], pa.Array]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in small_batches(batches, "text"):
+        wanted = (b.filter(held(b)) for b in batches)
+        for b in small_batches(wanted, "text"):
             sets = _sets(b, k, hashes)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -148,27 +149,25 @@ class _Bloom:
         self.words = np.zeros(self.bits >> 6, np.int64)
         self.words[np.asarray(words.column("word"))] = np.asarray(words.column("set"))
 
-    def of(self, texts: DataFrame) -> DataFrame:
-        """The rows whose id may be held; the filter is computed per row in the tasks."""
+    def sets_of(self, texts: DataFrame, k: int) -> DataFrame:
+        """The full sets of the rows whose id may be held; one Python step filters and hashes."""
         shared, bits = texts.sparkSession.sparkContext.broadcast(self.words), self.bits
         hashed = texts.filter("id is not null").select("id", "text", *(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(bits)).alias(f"s{salt}") for salt in (1, 2)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            for b in batches:
-                held = np.ones(b.num_rows, bool)
-                for name in ("s1", "s2"):
-                    spot = np.asarray(b.column(b.schema.get_field_index(name)))
-                    held &= (shared.value[spot >> 6] >> (spot & 63) & 1) == 1
-                yield b.select(["id", "text"]).filter(pa.array(held))
+        def held(b: pa.RecordBatch) -> pa.Array:
+            may = np.ones(b.num_rows, bool)
+            for name in ("s1", "s2"):
+                spot = np.asarray(b.column(b.schema.get_field_index(name)))
+                may &= (shared.value[spot >> 6] >> (spot & 63) & 1) == 1
+            return pa.array(may)
 
-        return hashed.mapInArrow(run, "id bigint, text string")
+        return hashed.mapInArrow(_full_sets(k, held), "id bigint, set array<bigint>")
 
 
 def _sets_of(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(id, set) at least of the wanted ids, written."""
     ids = written(ids.distinct(), "ids")
-    wanted = _Bloom(ids, ids.count()).of(texts)
-    return written(wanted.mapInArrow(_full_sets(k), "id bigint, set array<bigint>"), "sets")
+    return written(_Bloom(ids, ids.count()).sets_of(texts, k), "sets")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
