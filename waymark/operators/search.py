@@ -69,6 +69,15 @@ def map_mode(places: DataFrame, flt: PlaceFilter, max_pins: int = fixed.MAP_MAX_
     )
 
 
+def map_answer(places: DataFrame, flt: PlaceFilter, max_pins: int = fixed.MAP_MAX_PINS) -> DataFrame:
+    """One row: pins by id, total, and whether pins are left out because more than ``max_pins`` places match.
+
+    At most ``max_pins`` pins are ever gathered.
+    """
+    shown = pins(places, flt, max_pins).agg(F.array_sort(F.collect_list(F.struct(*PIN_COLUMNS))).alias("pins"))
+    return shown.select("pins", total(places, flt).scalar().alias("total")).withColumn("truncated", F.col("total") > max_pins)
+
+
 def answer_lines(places: DataFrame, flt: PlaceFilter, size: int = 5) -> DataFrame:
     """First places by name as text lines for an answer (name, category, address, means of payment)."""
     yes_no = lambda c: F.when(F.col(c) == "Y", "가능").otherwise("불가")

@@ -39,6 +39,11 @@ def admission_report_profile(spark, d) -> DataFrame:
     return _admit(spark, d, *fixed.ADMISSION_PROFILES["report"], fixed.WINDOW_SECONDS)
 
 
+@query("E1", _admit_sql(10, 200, 60))
+def admission_chat_profile(spark, d) -> DataFrame:
+    return _admit(spark, d, *fixed.ADMISSION_PROFILES["chat"], fixed.WINDOW_SECONDS)
+
+
 @query("E1", _admit_sql(5, 30, 60))
 def admission_login_profile(spark, d) -> DataFrame:
     return _admit(spark, d, *fixed.ADMISSION_PROFILES["login"], fixed.WINDOW_SECONDS)
@@ -100,12 +105,26 @@ def stream_first_visits(spark, d) -> DataFrame:
     return spark.read.parquet(f"{root}/out").groupBy("session").agg(F.count(F.lit(1)).alias("visits"))
 
 
+@query("E3", """SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+WHERE prev IS NULL OR ts - prev > INTERVAL 30 MINUTE""")
+def stream_session_first(spark, d) -> DataFrame:
+    """Session starts from a stream; a last event far behind all others closes what is open."""
+    root = work_folder(spark, "session-starts")
+    events = table(spark, d, "events").select("user_id", "event_id", "ts")
+    events.write.parquet(f"{root}/in/part=0")
+    events.agg(F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).write.parquet(f"{root}/in/part=1")
+    stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+    starts = stream_visits.session_starts(stream, "user_id", "ts", "event_id").select("user_id", "event_id")
+    run = starts.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet")
+    run.start(f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("E1", _admit_sql(2, 40, 3600))
 def stream_admission_hourly(spark, d) -> DataFrame:
     root = work_folder(spark, "admission")
-    for k, v in stream_admission.STATE_STORE.items():
-        spark.conf.set(k, v)
-    decided = stream_admission.admissions(_stream(spark, d), "event_type", "ts", "event_id", 2, 40, 3600, expires=False)
-    run = decided.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet")
-    run.start(f"{root}/out").awaitTermination()
+    with stream_admission.state_store(spark):
+        decided = stream_admission.admissions(_stream(spark, d), "event_type", "ts", "event_id", 2, 40, 3600)
+        run = decided.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet")
+        run.start(f"{root}/out").awaitTermination()
     return spark.read.parquet(f"{root}/out").filter("admitted").select("key", "event_id")

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.jobs import nightly
+from waymark.jobs import nightly, survey
 from waymark.plans.bindings import API, feed, api_rows, platforms
 from waymark.plans.ingest import _DONG, _GU, _PLACE_CAT
 from waymark.plans.platforms import _MATCH, DAY
-from waymark.plans.registry import query
+from waymark.operators.survey import run_summary
+from waymark.plans.registry import query, table
+from waymark.plans.survey import _SEEN, _TERMS
 from waymark.schema import API_PLACE, PLATFORM_COLUMNS
 from waymark.session import work_folder
 from waymark.sources.tables import current
@@ -109,3 +111,34 @@ def nightly_places(spark, d) -> DataFrame:
     nightly.nightly_places(spark, root, "2024-01-01", pages, "2024-01-01", min_total=1)
     nightly.nightly_places(spark, root, "2024-01-02", pages.filter("page_no <> 2"), "2024-01-02", min_total=1)
     return current(spark, f"{root}/places").select("id", "name", "cat", "region", "si", "gu", "dong", "market", "brand")
+
+
+# ---- the page survey --------------------------------------------------------------------------
+# Every page is an entry's page; every tenth one landed without a body.  The catalog knows one term of two.
+_SURVEY_DAY, _CYCLE = "2026-08-24", 3
+_REPORT = f"""{_SEEN}, due AS (SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS no FROM pages)
+ WHERE (no - 1) % {_CYCLE} = datediff('day', DATE '1970-01-01', DATE '{_SURVEY_DAY}') % {_CYCLE}),
+report AS (SELECT page_id AS id, page_id % 10 <> 0 AS ok, CASE WHEN page_id % 10 <> 0 THEN array_to_string(list_sort(list_filter(confirmed, lambda t: NOT list_contains(
+ CASE WHEN page_id % 2 = 0 THEN ['the', 'que'] ELSE ['Of'] END, t))), ',') END AS new_brands, CASE WHEN page_id % 10 <> 0 THEN len(confirmed) END AS seen_brands,
+ CASE WHEN page_id % 10 <> 0 THEN length(body) < 1500 END AS thin, regexp_matches(url, '^[a-z]+://[^/?#]+(/+[^/?#]+/+[^/?#]+|[^#]*\\?[^#])') AS deep_link FROM seen JOIN due USING (page_id))"""
+
+
+def _survey(spark, d) -> DataFrame:
+    pages = table(spark, d, "pages")
+    even = F.col("page_id") % 2 == 0
+    known = F.when(even, F.array(F.lit("the"), F.lit("que"))).otherwise(F.array(F.lit("Of")))
+    catalog = pages.select(F.col("page_id").alias("id"), F.col("url").alias("survey_url"), known.alias("known_brands"), F.array().cast("array<string>").alias("known_cats"))
+    landed = pages.select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 10 != 0, F.col("html")).alias("html"))
+    return survey.nightly_survey(catalog, landed, work_folder(spark, "survey"), _SURVEY_DAY, terms=_TERMS, cycle=_CYCLE, max_hits=None)
+
+
+@query("W6 S9 X22 X24 X25 X26 J12 U3 U4 S20", f"WITH {_REPORT} SELECT id, ok, new_brands, seen_brands, thin, deep_link FROM report")
+def nightly_survey(spark, d) -> DataFrame:
+    """The day's due pages as one job: text, terms, additions, report."""
+    report = _survey(spark, d)
+    return report.select("id", "ok", F.array_join(F.array_sort("new_brands"), ",").alias("new_brands"), F.col("seen_brands").cast("bigint").alias("seen_brands"), "thin", "deep_link")
+
+
+@query("A26", f"""WITH {_REPORT} SELECT count(*) AS checked, count(*) FILTER (ok AND new_brands <> '') AS changed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok AND thin) AS thin FROM report""")
+def nightly_survey_summary(spark, d) -> DataFrame:
+    return run_summary(_survey(spark, d))

@@ -179,6 +179,18 @@ def map_pins_capped(spark, d) -> DataFrame:
     return search.pins(places(spark, d), PlaceFilter(gu="NATION_5"))
 
 
+@query("T10 P11 A5", f"""WITH {PLACES}, m AS (SELECT *, gu = 'NATION_5' AS near FROM places WHERE gu = 'NATION_5' OR region = 'ASIA'),
+a AS (SELECT 'near' AS map, count(*) FILTER (near) AS total, string_agg(id || ':' || name || ':' || card, ',' ORDER BY id) FILTER (near AND lat IS NOT NULL) AS pins FROM m
+UNION ALL SELECT 'wide', count(*) FILTER (region = 'ASIA'), NULL FROM m)
+SELECT map, total, total > 1000 AS truncated, CASE WHEN total > 1000 THEN '' ELSE coalesce(pins, '') END AS pins FROM a WHERE map = 'near' OR total > 1000""")
+def map_answer(spark, d) -> DataFrame:
+    """A near map with its pins and, where the wide one is over the bound, that one without."""
+    rows = places(spark, d)
+    told = F.array_join(F.transform("pins", lambda p: F.concat_ws(":", p["id"], p["name"], p["card"])), ",").alias("pins")
+    one = lambda name, flt: search.map_answer(rows, flt, max_pins=1000).select(F.lit(name).alias("map"), "total", "truncated", told)
+    return one("near", PlaceFilter(gu="NATION_5")).unionByName(one("wide", PlaceFilter(region="ASIA")).filter("truncated"))
+
+
 @query("T10 T13 A5", f"""WITH {PLACES}, t AS (SELECT count(*) AS total FROM places WHERE region = 'ASIA')
 SELECT total, total > 1000 AS truncated, CASE WHEN total > 1000 THEN 'clusters' ELSE 'pins' END AS mode FROM t""")
 def map_mode(spark, d) -> DataFrame:

@@ -102,7 +102,7 @@ def list_segment(spark, d) -> DataFrame:
 
 
 _TERMS = ["the", "Of", "an", "The", "que", "example", "한샘"]
-_SEEN = f"""{_TEXTS}, seen AS (SELECT page_id, body, list_filter({_TERMS}, lambda t: contains(body, t) AND regexp_matches(body, '(^|[^{_W}])' || t || '([^{_W}]|$)')) AS confirmed,
+_SEEN = f"""{_TEXTS}, seen AS (SELECT page_id, url, body, list_filter({_TERMS}, lambda t: contains(body, t) AND regexp_matches(body, '(^|[^{_W}])' || t || '([^{_W}]|$)')) AS confirmed,
  list_filter({_TERMS}, lambda t: contains(body, t) AND NOT regexp_matches(body, '(^|[^{_W}])' || t || '([^{_W}]|$)')) AS suspect FROM texts)"""
 
 

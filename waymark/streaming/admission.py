@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,22 +19,35 @@ STATE_STORE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 }
 DAY_MS = 86_400_000
-_OUT = "key string, us bigint, req bigint, admitted boolean"
+_OUT = "key string, us bigint, req bigint, admitted boolean, late boolean"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs, for streams started inside; the session's own setting comes back."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 class _Limiter(StatefulProcessor):
     """Keeps the admitted instants of the trailing window, the day and the day's count.
 
-    State that a day and a window have passed over decides nothing any more;
-    with ``expires`` it is dropped then.
+    State that a day and a window of event time have passed over decides nothing
+    any more; with ``expires`` a timer drops it when the watermark gets there.
     """
 
     def __init__(self, per_window: int, per_day: int, window_us: int, expires: bool):
         self.limits, self.expires = (per_window, per_day, window_us), expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        keep_ms = DAY_MS + self.limits[2] // 1000 if self.expires else None
-        self.state = handle.getValueState("passed", "instants array<bigint>, day int, today int", ttlDurationMs=keep_ms)
+        self.handle = handle
+        self.state = handle.getValueState("passed", "instants array<bigint>, day int, today int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         past = Passed(np.empty(0, np.int64))
@@ -49,9 +63,18 @@ class _Limiter(StatefulProcessor):
         passes = np.zeros(len(us), bool)
         passes[late + admitted(us[late:], day[late:], *self.limits, past)] = True
         self.state.update((past.instants.tolist(), None if past.day is None else int(past.day), past.today))
+        if self.expires:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            last = max([*past.instants.tolist(), int(us[-1])])
+            self.handle.registerTimer(last // 1000 + DAY_MS + self.limits[2] // 1000)
         for i in range(0, len(us), 10_000):
             part = slice(i, i + 10_000)
-            yield pd.DataFrame({"key": key[0], "us": us[part], "req": req[part], "admitted": passes[part]})
+            yield pd.DataFrame({"key": key[0], "us": us[part], "req": req[part], "admitted": passes[part], "late": np.arange(len(us))[part] < late})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -59,22 +82,24 @@ class _Limiter(StatefulProcessor):
 
 def admissions(
     events: DataFrame, key: str, ts: str, request_id: str, per_window: int, per_day: int,
-    window_seconds: int = fixed.WINDOW_SECONDS, zone: str = fixed.LOCAL_ZONE, expires: bool = True,
+    window_seconds: int = fixed.WINDOW_SECONDS, zone: str = fixed.LOCAL_ZONE, expires: bool = True, delay: str = "10 minutes",
 ) -> DataFrame:
-    """(key, request_id, ts, admitted) per request of a stream.
+    """(key, request_id, ts, admitted, late) per request of a stream.
 
     Requests of one key are decided in time order within a batch; a request
-    older than the last one its key had admitted came too late and is rejected.
-    With ``expires`` a key's state goes a day and a window after its last change;
-    turn it off for a run that ends with its input (``availableNow``), which
-    would otherwise wait for the clock for ever.
+    older than the last one its key had admitted came too late: it is rejected
+    and marked ``late``, for a side output.  With ``expires`` a key's state goes
+    when the watermark, ``delay`` behind the newest request, has passed its last
+    request by a day and a window; requests behind the watermark are dropped by
+    Spark then, as they would be by a limiter that has forgotten their key.
     """
-    requests = events.select(
+    timed = events.withWatermark(ts, delay) if expires else events
+    requests = timed.select(
         F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("us"), F.col(request_id).cast("bigint").alias("req"),
-        F.unix_date(F.to_date(F.from_utc_timestamp(ts, zone))).alias("day"),
+        F.unix_date(F.to_date(F.from_utc_timestamp(ts, zone))).alias("day"), F.col(ts).alias("at"),
     )
     decided = requests.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Limiter(per_window, per_day, window_seconds * MICROS, expires),
-        outputStructType=_OUT, outputMode="Append", timeMode="ProcessingTime" if expires else "None",
+        outputStructType=_OUT, outputMode="Append", timeMode="EventTime" if expires else "None",
     )
-    return decided.select("key", F.col("req").alias(request_id), F.timestamp_micros("us").alias("ts"), "admitted")
+    return decided.select("key", F.col("req").alias(request_id), F.timestamp_micros("us").alias("ts"), "admitted", "late")
