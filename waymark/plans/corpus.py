@@ -197,7 +197,7 @@ def document_files(spark, d) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("value")
     )
     texts.repartition("g").write.partitionBy("g").text(path)
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
+    files = landed.read_texts(spark, path, "*.txt")
     return files.groupBy("g").agg(F.sum(F.length("value")).alias("chars")).select(F.col("g").cast("bigint").alias("g"), "chars")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import fixed
@@ -114,6 +114,22 @@ def csv_scan(spark, d) -> DataFrame:
     return reports.group_counts(back, *back.columns)
 
 
+_PUBLIC_SQL = f"""pub AS (SELECT k, {_CODE_SQL} AS code, coalesce(list_filter({_GOODS}, lambda x: x IS NOT NULL)[1], '기타') AS category, list_filter({_GOODS}, lambda x: x IS NOT NULL) AS ms,
+ substr(sha1({_CODE_SQL} || '|' || name || '|' || 'M' || CAST(k % 7 AS VARCHAR) || '|' || items || '|' || CAST(2000 + k % 3 AS VARCHAR)), 1, 10) AS h FROM base JOIN (SELECT k AS kk, query_sido FROM api) ON k = kk WHERE query_sido <> '부산')"""
+
+
+@query("S3 X11 X12 W3 P13", f"""WITH {API}, {_GOODS_BASE}, {_PUBLIC_SQL}
+SELECT k, substr(code, 1, 2) || '-' || h || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS id, category, array_to_string(ms, '+') AS matches, len(ms) >= 2 AS risky
+FROM (SELECT *, row_number() OVER (PARTITION BY code, h ORDER BY k) AS nth FROM pub)""")
+def public_list(spark, d) -> DataFrame:
+    """The public list's rows with category, matched rules and a stable id."""
+    k = F.col("k")
+    rows = _goods(spark, d).select(
+        "k", "name", "items", F.concat(F.lit("M"), (k % 7).cast("string")).alias("market"), F.col("query_sido").alias("region"), (k % 3 + 2000).cast("string").alias("year"),
+    )
+    return snapshots.public_places(rows, _CODES, "k").select("k", "id", "category", F.array_join("matches", "+").alias("matches"), "risky")
+
+
 @query("W3", f"""WITH {API}, h AS (SELECT k, {_CODE_SQL} AS code, substr(sha1({_CODE_SQL} || '|' || "frcsNm" || '|' || "mrktNm" || '|' || '' || '|' || "mrktType"), 1, 10) AS h
 FROM api WHERE query_sido <> '부산'), n AS (SELECT *, row_number() OVER (PARTITION BY code, h ORDER BY k) AS nth FROM h)
 SELECT k, substr(code, 1, 2) || '-' || h || CASE WHEN nth > 1 THEN '-' || CAST(nth AS VARCHAR) ELSE '' END AS id FROM n""")
@@ -133,18 +149,24 @@ def snapshot_scan(spark, d) -> DataFrame:
     path = work_folder(spark, "snapshots")
     rows = places(spark, d)
     snapshots.write_snapshot_documents(rows, path, "2026-01-01", F.floor(F.col("id").cast("bigint") / 2000), _FILES)
-    raw = spark.read.option("wholetext", True).text(path).select("value", "name", F.col("_metadata.file_path").alias("file"))
-    parsed = raw.select(F.from_json("value", snapshots.SNAPSHOT).alias("s"), "name", "file").select("s.*", "name", "file")
-    named = parsed.withColumn("region", tx.lookup(F.col("name"), {v: k for k, v in _FILES.items()}))
-    return snapshots.full_refresh(snapshots.snapshot_items(named))
+    return snapshots.full_refresh(snapshots.snapshot_items(snapshots.read_snapshots(spark, [path], _FILES, "name")))
 
 
-@query("S12 T8", f"WITH {PLACES} SELECT region, count(*) AS count, min(id) AS first_id, count(DISTINCT name) AS names FROM places GROUP BY 1")
+@query("S12 T8", f"WITH {PLACES} SELECT region, count(*) AS count, min(id) AS first_id, count(DISTINCT name) AS names, CAST(0 AS BIGINT) AS misplaced FROM places GROUP BY 1")
 def snapshot_sink(spark, d) -> DataFrame:
+    """The files read back, with the rows that stand before a smaller one in their file."""
     path = work_folder(spark, "sink")
     snapshots.write_snapshot(places(spark, d), path)
-    back = spark.read.schema("id string, name string, region string").json(path)
-    return back.groupBy("region").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("first_id"), F.count_distinct("name").alias("names"))
+    # A file is one row group of text lines here, so its lines keep their order under a running number.
+    back = spark.read.schema("id string, name string, si string, gu string, dong string, region string").json(path)
+    level = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = back.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    order = F.struct(level("si"), level("gu"), level("dong"), "name", "id")
+    before = F.lag(order).over(Window.partitionBy("file").orderBy("at"))
+    told = rows.withColumn("wrong", F.coalesce(before > order, F.lit(False)))
+    return told.groupBy("region").agg(
+        F.count(F.lit(1)).alias("count"), F.min("id").alias("first_id"), F.count_distinct("name").alias("names"), F.count_if("wrong").alias("misplaced")
+    )
 
 
 @query("S2 A11 S19", "SELECT 'merchants_collected_on' AS k, strftime(min(o_orderdate), '%Y-%m-%d') AS v FROM orders")
@@ -234,6 +256,9 @@ cand AS (SELECT base AS brand, count(*) AS count, count(*) FILTER (is_branch) /
 """
 
 
+_REASON = """'빈도 ' || count || '·지점비율 ' || CAST(round_even(ratio * 100, 0) AS INTEGER) || CASE WHEN ratio >= 0.4 THEN '%≥40% → 브랜드 확정' ELSE '%<40% → 일반상호 제외' END"""
+
+
 def _named_parts(spark, d) -> DataFrame:
     k, name = F.col("p_partkey"), F.col("p_name")
     return table(spark, d, "part").select(
@@ -248,12 +273,13 @@ def _detected(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 @query("A12 A13 J2 W9 X2 X3 X4 X5 X6 X17 T9", f"""WITH {_PARTS} SELECT brand, count, round(ratio, 6) AS ratio, variants, sample_addr,
-CASE WHEN ratio >= 0.4 THEN '브랜드' ELSE '제외' END AS verdict, count BETWEEN 7 AND 10 OR (ratio >= 0.3 AND ratio < 0.5) AS borderline FROM cand""")
+CASE WHEN ratio >= 0.4 THEN '브랜드' ELSE '제외' END AS verdict, count BETWEEN 7 AND 10 OR (ratio >= 0.3 AND ratio < 0.5) AS borderline,
+{_REASON} AS reason FROM cand""")
 def brand_detect(spark, d) -> DataFrame:
     a, found, _ = _detected(spark, d)
     found = brands.ranked(found)
     ratio = a.groupBy(F.col("base").alias("brand")).agg(F.round(F.count_if("is_branch") / F.count(F.lit(1)), 6).alias("ratio"))
-    return found.join(ratio, "brand").select("brand", "count", "ratio", "variants", "sample_addr", "verdict", "borderline")
+    return found.join(ratio, "brand").select("brand", "count", "ratio", "variants", "sample_addr", "verdict", "borderline", "reason")
 
 
 @query("J2 W9 X6", f"WITH {_PARTS} SELECT id, base, raw, is_branch FROM assigned")
@@ -278,13 +304,14 @@ def brand_totals(spark, d) -> DataFrame:
     return brands.brand_totals(brands.with_brand(rows.withColumn("brand", F.lit("")), brand), found)
 
 
-@query("S13", f"""WITH {_PARTS} SELECT brand, CAST(count AS VARCHAR) AS count, CASE WHEN ratio >= 0.4 THEN '브랜드' ELSE '제외' END AS verdict FROM cand""")
+@query("S13", f"""WITH {_PARTS} SELECT brand, CAST(count AS VARCHAR) AS count, printf('%.2f', round_even(ratio, 2)) AS ratio, nullif(variants, '') AS variants, nullif(sample_addr, '') AS addr,
+CASE WHEN ratio >= 0.4 THEN '브랜드' ELSE '제외' END AS verdict, {_REASON} AS reason, CASE WHEN count BETWEEN 7 AND 10 OR (ratio >= 0.3 AND ratio < 0.5) THEN 'Y' END AS borderline FROM cand""")
 def candidate_csv(spark, d) -> DataFrame:
     """The review file written as CSV and read back by position."""
     path = work_folder(spark, "candidates")
     tables.write_csv(tables.candidate_columns(_detected(spark, d)[1]), path)
     names = "brand string, count string, ratio string, variants string, addr string, verdict string, reason string, borderline string"
-    return spark.read.schema(names).option("header", True).csv(path).select("brand", "count", "verdict")
+    return spark.read.schema(names).option("header", True).csv(path)
 
 
 # ---- keyword probes ------------------------------------------------------------------------------------

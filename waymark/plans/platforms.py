@@ -218,6 +218,22 @@ def catalog_texts(spark, d) -> DataFrame:
     return rows.select("id", corpus.catalog_text(F.col("name"), F.col("labels"), F.col("brands"), F.col("evidence")).alias("content"))
 
 
+@query("J7", """SELECT r_name AS code, 'L ' || r_name AS label, CAST(NULL AS VARCHAR) AS parent FROM region
+UNION ALL SELECT n_name, 'L ' || r_name || '/' || 'N ' || n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'p' || p_partkey, 'L ' || r_name || '/' || p_name, r_name FROM part JOIN region ON p_partkey % 5 = r_regionkey""")
+def taxonomy_flat(spark, d) -> DataFrame:
+    """A two-level taxonomy as codes and labels: nations and parts below regions."""
+    r, n, p = (table(spark, d, t) for t in ("region", "nation", "part"))
+    sub = lambda code, label: F.struct(code.alias("id"), label.alias("label"))
+    nations = n.select(F.col("n_regionkey").alias("k"), sub(F.col("n_name"), F.concat(F.lit("N "), F.col("n_nationkey").cast("string"))).alias("s"))
+    parts = p.select((F.col("p_partkey") % 5).alias("k"), sub(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), F.col("p_name")).alias("s"))
+    # Parents hold their children as lists, as the taxonomy's file does; a parent's list comes in blocks of parts.
+    blocks = nations.withColumn("b", F.lit(0)).unionByName(parts.withColumn("b", F.pmod(F.xxhash64("s"), F.lit(64)).cast("int") + 1))
+    lists = blocks.groupBy("k", "b").agg(F.collect_list("s").alias("subs"))
+    taxonomy = lists.join(r, F.col("k") == F.col("r_regionkey")).select(F.col("r_name").alias("id"), F.concat(F.lit("L "), "r_name").alias("label"), "subs")
+    return cat.flat_taxonomy(taxonomy).distinct()
+
+
 @query("J7", "SELECT CASE WHEN quality = 1 THEN 'fine' ELSE 'plain' END AS code, count(*) AS uses FROM labels JOIN documents USING (doc_id) GROUP BY 1 UNION ALL SELECT 'fr', count(*) FROM documents JOIN labels USING (doc_id) WHERE lang = 'fr'")
 def catalog_unmapped(spark, d) -> DataFrame:
     return cat.unmapped_codes(_catalog(spark, d), _codes(spark, d))

@@ -12,10 +12,10 @@ from waymark.functions.values import joined_or_null, mail_date_to_local, plain_t
 from waymark.schema import API_PLACE, API_PLATFORM, envelope
 
 
-def read_texts(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """Whole files as (file, value)."""
+def read_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """Whole files as (file, value) and the columns of partition folders."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
-    return raw.select(F.col("_metadata.file_name").alias("file"), "value")
+    return raw.select(F.col("_metadata.file_name").alias("file"), *raw.columns)
 
 
 # ---- API pages -------------------------------------------------------------------

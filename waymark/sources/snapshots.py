@@ -17,15 +17,16 @@ from waymark.schema import PLACE_COLUMNS, PUBLIC_CSV, SNAPSHOT
 
 
 # ---- snapshot files -----------------------------------------------------------
-def read_snapshots(spark: SparkSession, paths: Sequence[str], files: Mapping[str, str] = fixed.REGION_FILES) -> DataFrame:
-    """Snapshot files as (meta, items, region, file); the region is named by the file.
+def read_snapshots(spark: SparkSession, paths: Sequence[str], files: Mapping[str, str] = fixed.REGION_FILES, folder: str | None = None) -> DataFrame:
+    """Snapshot files as (meta, items, region, file); the region is named by the file, or by the partition ``folder`` it lies in.
 
     One document per file; a directory of many small files reads in parallel.
     """
     raw = spark.read.schema(SNAPSHOT).option("multiLine", True).json(list(paths))
-    named = raw.withColumn("file", F.col("_metadata.file_path"))
-    stem = F.regexp_extract("file", r"([^/]+?)(?:[-_.][^/]*)?\.json[^/]*$", 1)
-    return named.withColumn("region", lookup(stem, {code: region for region, code in files.items()}))
+    file = F.col("_metadata.file_path").alias("file")
+    stem = F.regexp_extract("file", r"([^/]+?)(?:[-_.][^/]*)?\.json[^/]*$", 1) if folder is None else F.col("_folder")
+    named = raw.select("meta", "items", file, *([] if folder is None else [F.col(folder).cast("string").alias("_folder")]))
+    return named.withColumn("region", lookup(stem, {code: region for region, code in files.items()})).drop("_folder")
 
 
 def snapshot_items(snapshots: DataFrame) -> DataFrame:
