@@ -6,6 +6,7 @@ import random
 import tempfile
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,7 +147,23 @@ def test_top_k_edges(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in vectors.top_k(vecs, q, 3).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 0), (1, 2, 5), (1, 3, 10), (2, 1, 4), (2, 2, 9), (2, 3, 14)]
     assert vectors.top_k(vecs, q.limit(0), 3).count() == 0
-    assert sorted(vectors.top_k(vecs, q, 3, max_inline=1, salts=4).collect()) == sorted(vectors.top_k(vecs, q, 3).collect())
+    assert sorted(vectors.top_k(vecs, q, 3, max_inline=1, tile_bytes=8 * 64).collect()) == sorted(vectors.top_k(vecs, q, 3).collect())
+
+
+def test_best_of_slices_is_the_best_of_all():
+    rng = np.random.default_rng(5)
+    q, v = rng.integers(-2, 3, (7, 4)).astype(float), rng.integers(-2, 3, (500, 4)).astype(float)
+    v[::50] = np.nan
+    ids = rng.permutation(500).astype(np.int64)
+    for height in (1, 40, 1000):
+        best = vectors._Best(np.arange(7, dtype=np.int64) * 10, q, 6)
+        for start in range(0, 500, height):
+            best.add(ids[start : start + height], v[start : start + height])
+        got = best.batch().to_pydict()
+        for i in range(7):
+            distance = 1.0 - v @ q[i]
+            want = sorted(range(500), key=lambda j: (np.inf if np.isnan(distance[j]) else distance[j], ids[j]))[:6]
+            assert [x for x, of in zip(got["vec_id"], got["query_id"]) if of == 10 * i] == [ids[j] for j in want]
 
 
 # ---- guard, publish, upsert ------------------------------------------------------------------------

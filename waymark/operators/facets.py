@@ -56,11 +56,13 @@ def facets(places: DataFrame, flt: PlaceFilter) -> DataFrame:
 def brands_with_head(places: DataFrame, flt: PlaceFilter, top: int = fixed.TOP_BRANDS) -> DataFrame:
     """Brand counts, the ``top`` most common ones marked as the head of the list.
 
-    The places are counted once; only the brands' counts are ranked.
+    The head is a query of ``top`` rows, kept by every task as it counts; no task ranks all brands.
     """
-    counts = facet(places, flt, "brand")
-    place = F.row_number().over(Window.orderBy(F.desc("count"), "key"))
-    return counts.select("key", "count", (place <= top).alias("head")).orderBy(F.desc("count"), "key")
+    counts = facet(places, flt, "brand").select("key", "count")
+    # A side of ``top`` rows.
+    head = F.broadcast(counts.orderBy(F.desc("count"), "key").limit(top).select(F.col("key").alias("_key"), F.lit(True).alias("head")))
+    marked = counts.join(head, F.col("key") == F.col("_key"), "left").select("key", "count", F.coalesce("head", F.lit(False)).alias("head"))
+    return marked.orderBy(F.desc("count"), "key")
 
 
 def relaxation(places: DataFrame, flt: PlaceFilter) -> DataFrame:

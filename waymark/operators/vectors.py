@@ -17,7 +17,8 @@ from waymark import fixed
 from waymark.operators.ordering import keep_first
 from waymark.session import rows_if_small
 
-MAX_INLINE_QUERIES = 4096
+#: Queries that travel with the plan, bytes of a block of queries or a tile of vectors, and scores a task holds at once.
+MAX_INLINE_QUERIES, TILE_BYTES, MOST_SCORES = 4096, 32_000_000, 4_000_000
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())])
 _HIT_DDL = "query_id bigint, vec_id bigint, distance double"
 
@@ -29,30 +30,44 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return np.divide(m, norms, out=np.full_like(m, np.nan), where=norms > 0)
 
 
-def _nearest(ids: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the k smallest distances, ties by id; undefined distances come last."""
-    return np.lexsort((ids, np.where(np.isnan(distance), np.inf, distance)))[:k]
-
-
 class _Best:
-    """The k nearest vectors per query seen so far by one task."""
+    """The k nearest vectors per query seen so far by one task: ties by id, undefined distances last.
+
+    Vectors are scored in slices of bounded size; of a slice only what is no
+    farther than a query's k-th best so far, and its own k-th best, is looked at
+    again.
+    """
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         self.query_ids, self.queries, self.k = query_ids, queries, k
-        self.ids = [np.empty(0, np.int64)] * len(query_ids)
-        self.distance = [np.empty(0)] * len(query_ids)
+        self.query, self.ids, self.distance = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.bound = np.full(len(query_ids), np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        height = max(self.k, MOST_SCORES // max(1, len(self.query_ids)))
+        for start in range(0, len(ids), height):
+            self._add(ids[start : start + height], vectors[start : start + height])
+
+    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         scores = 1.0 - self.queries @ vectors.T
-        for q in range(len(self.query_ids)):
-            all_ids = np.concatenate([self.ids[q], ids])
-            all_distance = np.concatenate([self.distance[q], scores[q]])
-            top = _nearest(all_ids, all_distance, self.k)
-            self.ids[q], self.distance[q] = all_ids[top], all_distance[top]
+        rank = np.where(np.isnan(scores), np.inf, scores)
+        if rank.shape[1] > self.k:
+            kth = np.partition(rank, self.k - 1, axis=1)[:, self.k - 1]
+            self.bound = np.minimum(self.bound, kth)
+        query, place = np.nonzero(rank <= self.bound[:, None])
+        query, found, distance = (np.concatenate(c) for c in ((self.query, query), (self.ids, ids[place]), (self.distance, scores[query, place])))
+        order = np.lexsort((found, np.where(np.isnan(distance), np.inf, distance), query))
+        query = query[order]
+        first = np.searchsorted(query, query)
+        keep = np.arange(len(query)) - first < self.k
+        order, self.query = order[keep], query[keep]
+        self.ids, self.distance = found[order], distance[order]
+        full = np.flatnonzero((np.arange(len(query)) - first)[keep] == self.k - 1)
+        ends = self.distance[full]
+        self.bound[self.query[full]] = np.where(np.isnan(ends), np.inf, ends)
 
     def batch(self) -> pa.RecordBatch:
-        n = [len(i) for i in self.ids]
-        columns = [np.repeat(self.query_ids, n), np.concatenate(self.ids), np.concatenate(self.distance)]
+        columns = [self.query_ids[self.query], self.ids, self.distance]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_HIT)
 
 
@@ -70,18 +85,19 @@ def _partial(vectors: DataFrame, rows: Sequence, k: int) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(score, _HIT_DDL)
 
 
-def _partial_blocks(vectors: DataFrame, queries: DataFrame, k: int, query_block: int, salts: int) -> DataFrame:
+def _partial_blocks(vectors: DataFrame, queries: DataFrame, k: int, query_block: int, tile_rows: int) -> DataFrame:
     """The same partial hits when the queries are too many to ship with the plan.
 
-    Queries are dealt into blocks; vectors are dealt into salts and sent once to
-    every block, and each (block, salt) pair of bounded groups is scored apart.
+    Queries are dealt into blocks of about ``query_block`` and vectors into tiles
+    of about ``tile_rows``, both by hash and by their counts, so a group holds
+    one block and one tile whatever the tables hold.
     """
-    n_blocks = max(1, -(-queries.count() // query_block))
+    n_blocks, tiles = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (vectors, tile_rows)))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    left = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "query_id", "embedding")
+    left = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("salt"), "query_id", "embedding")
     right = vectors.select(
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"), "vec_id", "embedding",
+        F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("salt"), "vec_id", "embedding",
     )
 
     def score(qs: pa.Table, vs: pa.Table) -> pa.Table:
@@ -100,16 +116,20 @@ def top_k(
     queries: DataFrame,
     k: int = fixed.VECTOR_TOP_K,
     max_inline: int = MAX_INLINE_QUERIES,
-    salts: int = 64,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, distance): the ``k`` nearest vectors of every query.
 
     ``vectors`` holds (vec_id, embedding), ``queries`` (query_id, embedding).
-    Ties end on ``vec_id``.
+    Ties end on ``vec_id``.  Up to ``max_inline`` queries of together at most
+    ``tile_bytes`` travel with the plan; more meet the vectors in groups of a
+    block of queries and a tile of vectors, either of about ``tile_bytes``.
     """
-    rows = rows_if_small(queries.select("query_id", "embedding"), max_inline)
+    width = 8 * (queries.agg(F.max(F.size("embedding"))).first()[0] or 1)
+    inline = max(1, min(max_inline, tile_bytes // width))
+    rows = rows_if_small(queries.select("query_id", "embedding"), inline)
     if rows is None:
-        hits = _partial_blocks(vectors, queries, k, max_inline, salts)
+        hits = _partial_blocks(vectors, queries, k, inline, max(1, tile_bytes // width))
     elif not rows:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, distance double")
     else:

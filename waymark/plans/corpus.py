@@ -239,7 +239,7 @@ def vector_topk_by_label(spark, d) -> DataFrame:
 @query("J11", _topk_sql("true"))
 def vector_topk_many_queries(spark, d) -> DataFrame:
     """The path for more queries than one plan may carry, forced by a small bound."""
-    hits = vectors.top_k(_vectors(spark, d), _means(spark, d), max_inline=3, salts=8)
+    hits = vectors.top_k(_vectors(spark, d), _means(spark, d), max_inline=3, tile_bytes=65_536)
     return hits.withColumn("distance", F.round("distance", 6))
 
 
