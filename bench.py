@@ -22,6 +22,7 @@ HEADLINE = [
     "page_links", "page_dictionary", "page_delta", "feed_items", "admission_hourly", "daily_visits", "session_first",
     "conv_last_turns", "corpus_union", "chunk_store", "publish_swap", "document_files", "vector_topk_many_queries",
     "page_dictionary_by_seed", "stream_daily_visits", "stream_admission_hourly",
+    "page_text", "table_chunks", "nightly_places", "nightly_survey", "reconcile_guarded",
 ]
 
 

@@ -91,3 +91,21 @@ def test_names_of_a_long_list_are_cut_into_texts(spark):
     rows = spark.range(200).select(F.col("id").alias("ord"), F.format_string("name%03d", "id").alias("name"), F.lit("active").alias("status"), F.lit(True).alias("region_limited"), F.lit("a").alias("kind"))
     got = sorted(reports.region_limited_names(rows, "kind").collect(), key=lambda r: r["no"])
     assert ", ".join(r["names"] for r in got) == ", ".join(f"name{i:03d}" for i in range(200)) and [len(r["names"]) for r in got] == [898, 898]
+
+
+def test_longest_prefixes(spark):
+    from waymark.operators.prefixes import longest_prefix
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    keys = {word(rng.randrange(1, 9)) for _ in range(60)} | {"z" * n for n in (2, 10, 500)} | {"가나", "가나다"}
+    names = [word(rng.randrange(1, 14)) for _ in range(400)] + ["z" * 1000, "z" * 500, "가나다라", "가나다", "q"]
+    known = spark.createDataFrame([(k, k.upper()) for k in keys], "key string, standard string")
+    got = {r["nk"]: (r["key"], r["standard"]) for r in longest_prefix(spark.createDataFrame([(n,) for n in names * 2], "nk string").repartition(5), known).collect()}
+    want = {}
+    for n in names:
+        best = max((k for k in keys if 2 <= len(k) < len(n) and n.startswith(k)), key=len, default=None)
+        if best and len(n) > 2:
+            want[n] = (best, best.upper())
+    assert got == want and got["z" * 1000][0] == "z" * 500
+    assert longest_prefix(spark.createDataFrame([], "nk string"), known).count() == 0

@@ -16,6 +16,7 @@ from waymark import fixed
 from waymark.functions.text import (
     base_before_branch, has_branch_mark, name_key, or_empty, standard_name, strip, without_parentheses,
 )
+from waymark.operators.prefixes import longest_prefix
 from waymark.session import cut_lineage
 
 
@@ -36,24 +37,6 @@ def vocabulary(
     return learned.unionByName(given.join(learned, "key", "left_anti"))
 
 
-def longest_prefix(keys: DataFrame, vocab: DataFrame, min_len: int = 2) -> DataFrame:
-    """(nk, key, standard): the longest vocabulary key that is a proper prefix of each name key.
-
-    Distinct names are spread over their prefixes and meet the vocabulary in an
-    equi-join; a nested loop over the vocabulary is never needed.
-    """
-    names = keys.select("nk").distinct().filter(F.length("nk") > min_len)
-    spread = names.select("nk", F.explode(F.sequence(F.lit(min_len), F.length("nk") - 1)).alias("len")).select(
-        "nk", F.substring("nk", F.lit(1), F.col("len")).alias("key")
-    )
-    return (
-        spread.join(vocab.filter(F.length("key") >= min_len), "key")
-        .groupBy("nk")
-        .agg(F.max_by(F.struct("key", "standard"), F.length("key")).alias("m"))
-        .select("nk", "m.key", "m.standard")
-    )
-
-
 def assign_bases(
     places: DataFrame,
     mark: str = fixed.BRANCH_MARK,
