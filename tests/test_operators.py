@@ -269,3 +269,65 @@ def test_filter_reaches_the_scan(spark):
     found = search.page_of(spark.read.parquet(path), PlaceFilter(region="ASIA", cat="2-HIGH"), sort="name")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(region" in plan and "EqualTo(cat,2-HIGH)" in plan and "TakeOrderedAndProject" in plan
+
+
+# ---- streams that go on ------------------------------------------------------------------------------
+def landed_in_turn(spark, root, parts, schema):
+    """One file per part, older files first; files are taken in the order of their times."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stamp = time.time() - 10_000 + 10 * i
+        for name in os.listdir(f"{root}/in"):
+            path = f"{root}/in/{name}"
+            if os.path.getmtime(path) > time.time() - 1_000:
+                os.utime(path, (stamp, stamp))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+
+def test_stream_admission_expires_and_marks_late_requests(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    day = 86_400
+    parts = [
+        [("a", at(0), 0), ("a", at(10), 1), ("a", at(20), 2), ("b", at(30), 3)],
+        # Request 4 is older than the last one admitted for its key.
+        [("a", at(5), 4), ("a", at(70), 5)],
+        [("c", at(3 * day), 6)],
+        # The state of a is gone by now; the watermark stands at request 6.
+        [("a", at(3 * day + 1), 7), ("c", at(3 * day + 2), 8)],
+    ]
+    with stream_admission.state_store(spark):
+        stream = landed_in_turn(spark, root, parts, REQUESTS)
+        out = stream_admission.admissions(stream, "ip", "ts", "req", 2, 100)
+        query = out.writeStream.option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).format("parquet").start(f"{root}/out")
+        assert query.awaitTermination(200)
+    got = {r["req"]: (r["admitted"], r["late"]) for r in spark.read.parquet(f"{root}/out").collect()}
+    assert got == {0: (True, False), 1: (True, False), 2: (False, False), 3: (True, False), 4: (False, True), 5: (True, False), 6: (True, False), 7: (True, False), 8: (True, False)}
+    # Of the three keys' states the one of b was dropped by its timer, and a's was before it came again.
+    rows = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert rows[-1] < max(rows)
+
+
+def test_daily_counts_stay_in_few_folders(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    events = [("s", at(3600 * i), i) for i in range(104)]
+    stream = landed_in_turn(spark, root, [events[2 * i : 2 * i + 2] for i in range(52)], REQUESTS)
+    query = stream_visits.keep_daily_counts(stream, f"{root}/days", f"{root}/cp", late="10 days", once=True, compact_every=10)
+    assert query.awaitTermination(300)
+    assert len(os.listdir(f"{root}/days/batches")) <= 11 and len([f for f in os.listdir(f"{root}/days") if f.startswith("days-")]) == 1
+    batch = visits.daily_visits(spark.createDataFrame(events, REQUESTS))
+    assert sorted(stream_visits.read_daily_counts(spark, f"{root}/days").collect()) == sorted(batch.collect())
+
+
+def test_session_starts_over_batches(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    # A gap of exactly half an hour goes on; a microsecond more begins anew.
+    times = [0, 600, 2400, 4200.000001, 9000]
+    events = [("u", at(0) + dt.timedelta(seconds=t), i) for i, t in enumerate(times)] + [("v", at(100), 10)]
+    stream = landed_in_turn(spark, root, [[events[0], events[2]], [events[1], events[5], events[3]], [events[4]], [("end", at(90_000), 99)]], REQUESTS)
+    starts = stream_visits.session_starts(stream, "ip", "ts", "req")
+    query = starts.writeStream.option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).format("parquet").start(f"{root}/out")
+    assert query.awaitTermination(200)
+    got = sorted((r["ip"], r["req"], r["events"]) for r in spark.read.parquet(f"{root}/out").collect())
+    assert got == [("u", 0, 3), ("u", 3, 1), ("u", 4, 1), ("v", 10, 1)]
+    closed = spark.createDataFrame(events, REQUESTS)
+    assert {(r["ip"], r["req"]) for r in visits.first_of_session(closed, "ip", "ts", "req").collect()} == {(a, b) for a, b, _ in got}

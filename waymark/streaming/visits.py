@@ -89,7 +89,7 @@ def session_starts(events: DataFrame, who: str, ts: str, event_id: str, gap_seco
     watermark, ``late`` behind the newest event, has passed that.  An event right
     at the end of the gap still belongs to the session.
     """
-    gap = F.session_window(ts, f"{gap_seconds} seconds 1 microsecond")
+    gap = F.session_window(ts, f"{gap_seconds} seconds")
     first = F.min(F.struct(F.col(ts).alias("ts"), F.col(event_id).alias("id")))
     sessions = events.withWatermark(ts, late).groupBy(F.col(who), gap.alias("_session")).agg(first.alias("_first"), F.count(F.lit(1)).alias("events"))
     return sessions.select(who, F.col("_first.id").alias(event_id), F.col("_first.ts").alias(ts), "events")
