@@ -151,12 +151,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def candidate_columns(found: DataFrame) -> DataFrame:
     """Brand candidates in the review file's eight columns."""
-    return found.select(
-        F.col("brand").alias("브랜드명"), F.col("count").alias("총건수"),
-        F.format_string("%.2f", "branch_ratio").alias("지점명비율"), F.col("variants").alias("표기변형목록"),
-        F.col("sample_addr").alias("대표주소예시"), F.col("verdict").alias("판정"), F.col("reason").alias("판정근거"),
-        F.when(F.col("borderline"), "Y").otherwise("").alias("경계사례"),
-    )
+    columns = [
+        F.col("brand"), F.col("count"), F.format_string("%.2f", "branch_ratio"), F.col("variants"), F.col("sample_addr"), F.col("verdict"), F.col("reason"),
+        F.when(F.col("borderline"), "Y").otherwise(""),
+    ]
+    return found.select(*(c.alias(h) for c, h in zip(columns, fixed.CANDIDATE_HEADERS)))
 
 
 def write_dated_report(report: DataFrame, path: str, day: str) -> None:
