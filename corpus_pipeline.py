@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, langid, minhash, mixing, secrets
-from waymark.llm.common import read, written
+from waymark.llm.common import read, small_side, written
 from waymark.operators.ordering import number_all
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,6 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keyed = _keyed(_without_repeats(docs.select(*COLUMNS)))
     gone = minhash.near_duplicates(keyed, "_key", shingle_words=5).filter(~F.col("kept")).select(F.col("_key").alias("_gone")).distinct()
+    gone = small_side(written(gone, "gone"))
     return keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 

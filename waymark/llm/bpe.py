@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import mix, small_batches
+from waymark.llm.common import mix, small_batches, trim
 
 CHUNK_BYTES, WINDOW_DOUBLINGS = 512, 5
 MOST_CHUNK_BYTES, MOST_WORDS = 8_000_000, 120_000
@@ -73,6 +73,11 @@ class Codec:
         self.reused = self.encoded = 0
         self._require_white_space_joins()
 
+    def forget(self) -> None:
+        for memory in (self.words, self.stems, self.stops, self.chunks):
+            memory.clear()
+        self.chunk_size = 0
+
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -221,6 +226,8 @@ def encode(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("n_
                     else:
                         column.append(hashlib.sha256(ids.tobytes() if o == "ids_sha256" else decoded.encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, _OUT[o][1]) if o != "decoded" else pa.array(c, pa.string()) for o, c in made.items())], [id_col, *outputs])
+        codec.forget()
+        trim()
 
     schema = ", ".join([f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}", *(f"{o} {_OUT[o][0]}" for o in outputs)])
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -43,6 +45,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast to a join.
+MOST_BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, weight: Column | None = None, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written step, marked for broadcast if it has at most ``most`` rows, or ``weight`` in all; else as it is, to be shuffled.
+
+    It keeps the other side's texts where they are.
+    """
+    n = df.agg(F.count(F.lit(1)) if weight is None else F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= most else df
+
+
 def bucket(key: Column, modulus: int) -> Column:
     """crc32 of the key written as text, modulo ``modulus``; 0 for a null key."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus, F.lit(0))
@@ -56,12 +71,25 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def trim() -> None:
+    """Give memory that is not in use back to the system; workers outlive their tasks and are many."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+#: Memories of words that a task fills; they are emptied when its batches end.
+_MEMORIES: list[weakref.ref] = []
+
+
 class WordHashes(dict):
-    """64-bit hashes of words; forgets all when full, so a worker's memory stays bounded."""
+    """64-bit hashes of words; forgets all when full and at the end of a task, so a worker's memory stays bounded."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
+        _MEMORIES.append(weakref.ref(self))
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -100,6 +128,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
             end = max(start + 1, int(np.searchsorted(sizes, base + most_bytes, "right")))
             yield b.slice(start, end - start)
             start = end
+    for memory in _MEMORIES:
+        held = memory()
+        if held is not None:
+            held.clear()
+    _MEMORIES.clear()
+    trim()
 
 
 def count_bound(counts: DataFrame, most: int, column: str = "c") -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import once
-from waymark.llm.common import written
+from waymark.llm.common import small_side, written
 
 # The patterns of the base kinds, in their order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -173,7 +173,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     cut = spans.filter("class = 'live' or class = 'shared' and kind < 3").select("id", "text_hash", "start", "end", F.coalesce(F.max("end").over(before), F.lit(0)).alias("from"))
     gap = F.when(F.col("start") >= F.col("from"), F.struct("from", "start"))
     cuts = cut.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("end").alias("tail"))
-    cuts = cuts.select(F.col("id").alias("__id"), F.col("text_hash").alias("__of"), F.col("gaps").alias("__gaps"), F.col("tail").alias("__tail"))
+    cuts = written(cuts.select(F.col("id").alias("__id"), F.col("text_hash").alias("__of"), F.col("gaps").alias("__gaps"), F.col("tail").alias("__tail")), "cuts")
+    cuts = small_side(cuts, 4 + F.size("__gaps"))
     keyed = docs.select("*", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__hash"))
     joined = keyed.join(cuts, keyed[id_col].eqNullSafe(cuts["__id"]) & (keyed["__hash"] == cuts["__of"]), "left")
     text = F.col(text_col)
