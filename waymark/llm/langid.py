@@ -177,8 +177,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             scores += score
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    # Only the text goes to Python and only the verdict comes back.
-    found = F.arrow_udf(judge, "lang_pred string, score double")(F.col(text_col).cast("string"))
+    # Only the text goes to Python and only the verdict comes back.  Marked so, the function is not copied into
+    # a filter on its own result, where each text would be judged again by a second worker.
+    found = F.arrow_udf(judge, "lang_pred string, score double").asNondeterministic()(F.col(text_col).cast("string"))
     return kept.withColumn("_judged", found).select(*kept.columns, "_judged.lang_pred", "_judged.score")
 
 
