@@ -173,3 +173,15 @@ def test_html(spark):
     assert row["title"] == "T & U" and row["cats"] == ["First one", "Second"]
     assert [(b["text"], b["href"]) for b in row["brand_links"]] == [("Third", "/Brand/1")]
     assert "Body" in row["text"] and "no()" not in row["text"]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<h1>one &amp;&amp</h1><p>&lt;b&gt; &lt &#65; &#65 &copy;</p>", "one &&amp\n<b> &lt A &#65 ©"),
+    ("<p>&nosuch; &amp;lt; R&D</p>", "&nosuch; &lt; R&D"),
+])
+def test_references_without_a_semicolon_are_text(page, text):
+    assert html._parsed(page)[1] == text
+
+
+def test_addresses_keep_what_only_looks_like_a_reference():
+    assert html._parsed('<a href="/p?a=1&copy=2&amp;lt=3">x</a>')[2][0]["href"] == "/p?a=1&copy=2&lt=3"
