@@ -1,5 +1,6 @@
 """Literal cases for single columns."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,18 @@ def test_references_without_a_semicolon_are_text(page, text):
 
 def test_addresses_keep_what_only_looks_like_a_reference():
     assert html._parsed('<a href="/p?a=1&copy=2&amp;lt=3">x</a>')[2][0]["href"] == "/p?a=1&copy=2&lt=3"
+
+
+def test_pages_are_searched_in_bounded_batches():
+    held = []
+
+    class Seen(survey.Dictionary):
+        def find(self, texts, *rest):
+            held.append(sum(map(len, texts)))
+            return super().find(texts, *rest)
+
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "text": ["the ant and " * 100] * 1000})
+    out = list(survey.searched(iter([pages]), Seen(["an", "the"]), 20, None, {"count": pa.int64(), "suspect": pa.bool_()}, "page_id"))
+    assert max(held) <= 250_000 and sum(held) == 1_200_000
+    found = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert sorted(found) == [(i, t, n, s) for i in range(1000) for t, n, s in (("an", 200, True), ("the", 100, False))]

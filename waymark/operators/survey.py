@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from waymark.sources.html import small_batches
 
 #: Terms of one pass over the pages; a larger dictionary is passed in as many blocks as it needs.
 TERMS_AT_ONCE = 500_000
+#: Bytes of pages that are searched together; what a hit costs is a hundred bytes and more.
+SEARCH_BYTES = 250_000
 #: Stands between texts that are searched together; no term holds it.
 _BETWEEN = "\0"
 _WORD = re.compile(f"[{fixed.WORD_CHARS}]")
@@ -52,7 +55,9 @@ class Dictionary:
         Occurrences of one term do not overlap; with ``max_hits`` later ones are not looked at.
         """
         joined = _BETWEEN.join(t or "" for t in texts) + _BETWEEN
-        hits = np.array(list(self.automaton.iter(joined)), np.int64).reshape(-1, 2) if self.terms else np.empty((0, 2), np.int64)
+        # Two numbers a hit, never a list of pairs: short terms hit about once a character.
+        found = chain.from_iterable(self.automaton.iter(joined)) if self.terms else ()
+        hits = np.fromiter(found, np.int64).reshape(-1, 2)
         stops = np.cumsum([len(t or "") + 1 for t in texts])
         term, start = hits[:, 1], hits[:, 0] + 1 - self.sizes[hits[:, 1]]
         text = np.searchsorted(stops, start, "right")
@@ -104,6 +109,16 @@ class Dictionary:
         return (word[: len(start)] & (start > 0)) | word[len(start) :]
 
 
+def searched(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, pad: int, max_hits: int | None, kinds: dict[str, pa.DataType], key: str) -> Iterable[pa.RecordBatch]:
+    """The findings in (key, text) batches, at most about ``SEARCH_BYTES`` of text, or one longer text, searched at a time."""
+    names = pa.array(dictionary.terms, pa.string())
+    for b in small_batches(batches, 1, SEARCH_BYTES):
+        found = dictionary.find(b.column(1).to_pylist(), pad, max_hits, "ctxs" in kinds)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(found["text"])), names.take(pa.array(found["term"])), *(pa.array(found[c], t) for c, t in kinds.items())], [key, "term", *kinds]
+        )
+
+
 def page_terms(
     pages: DataFrame, terms: DataFrame, key: str = "page_id", text: str = "text",
     pad: int = fixed.CONTEXT_PAD, max_hits: int | None = None, at_once: int = TERMS_AT_ONCE, contexts: bool = True,
@@ -132,13 +147,7 @@ def page_terms(
         shared = spark.sparkContext.broadcast(Dictionary(own))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            dictionary = shared.value
-            names = pa.array(dictionary.terms, pa.string())
-            for b in small_batches(batches, 1):
-                found = dictionary.find(b.column(1).to_pylist(), pad, max_hits, contexts)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(found["text"])), names.take(pa.array(found["term"])), *(pa.array(found[c], kinds[c]) for c in columns)], [key, "term", *columns]
-                )
+            return searched(batches, shared.value, pad, max_hits, {c: kinds[c] for c in columns}, key)
 
         return pages.select(key, text).mapInArrow(run, schema)
 
@@ -159,8 +168,8 @@ def analyze(pages: DataFrame, terms: Sequence[str] = fixed.KNOWN_BRANDS, max_hit
     def seen(texts: pd.Series) -> pd.Series:
         dictionary, out, every = shared.value, [[] for _ in texts], texts.tolist()
         upto = np.cumsum([len(t or "") for t in every])
-        # Texts are searched together, about a million characters at a time.
-        for part in np.split(np.arange(len(every)), np.flatnonzero(np.diff(upto // 1_000_000)) + 1):
+        # Texts are searched together, as many characters at a time as pages have bytes.
+        for part in np.split(np.arange(len(every)), np.flatnonzero(np.diff(upto // SEARCH_BYTES)) + 1):
             found = dictionary.find([every[i] for i in part], fixed.CONTEXT_PAD, max_hits, True)
             for at, t, count, suspect, ctx, ctxs in zip(found["text"].tolist(), found["term"].tolist(), found["count"].tolist(), found["suspect"].tolist(), found["ctx"], found["ctxs"]):
                 out[part[at]].append({"term": dictionary.terms[t], "count": count, "suspect": suspect, "ctx": ctx, "ctxs": ctxs})
