@@ -14,7 +14,7 @@ from waymark import fixed
 from waymark.operators import admission, corpus, grid, ordering, publishing, reports, search, vectors, visits
 from waymark.operators.filters import PlaceFilter
 from waymark.plans import bindings
-from waymark.sources import landed, tables
+from waymark.sources import landed, snapshots, tables
 from waymark.streaming import admission as stream_admission
 from waymark.streaming import visits as stream_visits
 
@@ -331,3 +331,16 @@ def test_session_starts_over_batches(spark):
     assert got == [("u", 0, 3), ("u", 3, 1), ("u", 4, 1), ("v", 10, 1)]
     closed = spark.createDataFrame(events, REQUESTS)
     assert {(r["ip"], r["req"]) for r in visits.first_of_session(closed, "ip", "ts", "req").collect()} == {(a, b) for a, b, _ in got}
+
+
+def test_snapshot_documents_do_not_need_a_file_each(spark):
+    path = tempfile.mkdtemp(prefix="spark-snap-", dir="/tmp")
+    places = bindings.places(spark, "/root/testdata/sf0.001")
+    regions = {"AFRICA": "af", "AMERICA": "am", "ASIA": "as", "EUROPE": "eu", "MIDDLE EAST": "me"}
+    snapshots.write_snapshot_documents(places, path, "2026-01-01", F.col("id").cast("bigint") % 200, regions)
+    docs = snapshots.read_snapshots(spark, [path], regions, "name", by_line=True)
+    n = docs.count()
+    assert n > 400 and docs.select("file").distinct().count() < n / 4
+    assert docs.select("file", "doc").distinct().count() == n
+    back = snapshots.full_refresh(snapshots.snapshot_items(docs))
+    assert sorted(map(str, back.collect())) == sorted(map(str, places.select(*back.columns).collect()))

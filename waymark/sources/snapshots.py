@@ -17,22 +17,25 @@ from waymark.schema import PLACE_COLUMNS, PUBLIC_CSV, SNAPSHOT
 
 
 # ---- snapshot files -----------------------------------------------------------
-def read_snapshots(spark: SparkSession, paths: Sequence[str], files: Mapping[str, str] = fixed.REGION_FILES, folder: str | None = None) -> DataFrame:
-    """Snapshot files as (meta, items, region, file); the region is named by the file, or by the partition ``folder`` it lies in.
+def read_snapshots(spark: SparkSession, paths: Sequence[str], files: Mapping[str, str] = fixed.REGION_FILES, folder: str | None = None, by_line: bool = False) -> DataFrame:
+    """Snapshot files as (meta, items, region, file, doc); the region is named by the file, or by the partition ``folder`` it lies in.
 
-    One document per file; a directory of many small files reads in parallel.
+    One document per file, or per line with ``by_line``, which spares a store of
+    very many documents a file each; ``doc`` is a document's place in its file.
     """
-    raw = spark.read.schema(SNAPSHOT).option("multiLine", True).json(list(paths))
+    raw = spark.read.schema(SNAPSHOT).option("multiLine", not by_line).json(list(paths))
+    # Lines are numbered within the block of the file that a task reads.
     file = F.col("_metadata.file_path").alias("file")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("doc")
     stem = F.regexp_extract("file", r"([^/]+?)(?:[-_.][^/]*)?\.json[^/]*$", 1) if folder is None else F.col("_folder")
-    named = raw.select("meta", "items", file, *([] if folder is None else [F.col(folder).cast("string").alias("_folder")]))
+    named = raw.select("meta", "items", file, place, *([] if folder is None else [F.col(folder).cast("string").alias("_folder")]))
     return named.withColumn("region", lookup(stem, {code: region for region, code in files.items()})).drop("_folder")
 
 
 def snapshot_items(snapshots: DataFrame) -> DataFrame:
     """One row per place of a snapshot, in the place table's columns, with its position."""
-    rows = snapshots.select("region", "file", F.posexplode("items").alias("pos", "i"))
-    return rows.select(*[F.col("region") if c == "region" else F.col(f"i.{c}").alias(c) for c in PLACE_COLUMNS], "file", "pos")
+    rows = snapshots.select("region", "file", "doc", F.posexplode("items").alias("pos", "i"))
+    return rows.select(*[F.col("region") if c == "region" else F.col(f"i.{c}").alias(c) for c in PLACE_COLUMNS], "file", "doc", "pos")
 
 
 def snapshot_dates(snapshots: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def snapshot_dates(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("region", F.col("meta.collected_on").alias("collected_on"))
 
 
-def full_refresh(items: DataFrame, order: Sequence[Column | str] = ("file", "pos")) -> DataFrame:
+def full_refresh(items: DataFrame, order: Sequence[Column | str] = ("file", "doc", "pos")) -> DataFrame:
     """The place table a full load leaves: the first row of every id."""
     return keep_first(items, ["id"], order).select(*PLACE_COLUMNS)
 
@@ -58,13 +61,16 @@ def write_snapshot(places: DataFrame, path: str, files: int | None = None, fmt:
 
 
 def write_snapshot_documents(places: DataFrame, path: str, collected_on: str, bucket: Column, files: Mapping[str, str]) -> None:
-    """``{meta, items}`` documents of bounded size, one per (region, bucket), a file per document."""
+    """``{meta, items}`` documents of bounded size, one per (region, bucket) and line, in a folder per region.
+
+    Their number follows the table, the number of files only the tasks that write.
+    """
     item = F.struct(*[F.col(c) for c in PLACE_COLUMNS if c != "region"])
     docs = places.groupBy("region", bucket.alias("bucket")).agg(F.collect_list(item).alias("items")).select(
-        lookup(F.col("region"), files).alias("name"), "bucket",
+        lookup(F.col("region"), files).alias("name"),
         F.to_json(F.struct(F.struct("region", F.lit(collected_on).alias("collected_on")).alias("meta"), "items")).alias("value"),
     )
-    docs.repartition("name", "bucket").write.mode("overwrite").partitionBy("name", "bucket").text(path)
+    docs.write.mode("overwrite").partitionBy("name").text(path)
 
 
 # ---- the public list -------------------------------------------------------------
