@@ -201,3 +201,12 @@ def test_pages_are_searched_in_bounded_batches():
     assert max(held) <= 250_000 and sum(held) == 1_200_000
     found = [tuple(r.values()) for b in out for r in b.to_pylist()]
     assert sorted(found) == [(i, t, n, s) for i in range(1000) for t, n, s in (("an", 200, True), ("the", 100, False))]
+
+
+def test_list_after_computes_its_text_once(spark, capsys):
+    rows = spark.createDataFrame([("x y\u20ac z",), ("x 12 13 z",), (None,), ("",)], "w string")
+    text = F.concat(F.lit("브랜드관\n"), F.translate("w", " ", "\n"))
+    listed = rows.select("w", occ.list_after(text).alias("l"))
+    assert {r["w"]: r["l"] for r in listed.collect()} == {"x y\u20ac z": ["x", "y\u20ac", "z"], "x 12 13 z": ["x"], None: [], "": []}
+    listed.explain()
+    assert capsys.readouterr().out.count("translate(") == 1

@@ -21,18 +21,18 @@ def list_after(
     A line is an item unless it is long or carries a goods signal; the list ends
     at ``tolerance`` non-items in a row.
     """
-    rest = F.substring(text, F.locate(marker, text), F.length(text))
-    found = F.filter(F.transform(F.split(rest, "\n"), strip), lambda s: s != "")
-    tagged = F.transform(found, lambda s: F.struct(s.alias("line"), ((F.length(s) <= max_len) & ~s.rlike(signal)).alias("item")))
+    def tagged(t: Column) -> Column:
+        rest = F.substring(t, F.locate(marker, t), F.length(t))
+        found = F.filter(F.transform(F.split(rest, "\n"), strip), lambda s: s != "")
+        return F.transform(found, lambda s: F.struct(s.alias("line"), ((F.length(s) <= max_len) & ~s.rlike(signal)).alias("item")))
 
     def kept(rows: Column) -> Column:
         # The list ends at the first run of `tolerance` misses; row 0 holds the marker itself.
-        misses = F.filter(
-            F.sequence(F.lit(1), F.size(rows)),
-            lambda i: (i + tolerance <= F.size(rows)) & ~F.exists(F.slice(rows, i + 1, F.lit(tolerance)), lambda r: r["item"]),
-        )
-        end = F.coalesce(F.try_element_at(misses, F.lit(1)), F.size(rows))
+        flags = F.array_join(F.transform(rows, lambda r: F.when(r["item"], "1").otherwise("0")), "")
+        first = F.locate("0" * tolerance, flags, 2)
+        end = F.when(first > 0, first - 1).otherwise(F.size(rows))
         items = once(end, lambda e: F.filter(rows, lambda r, i: (i > 0) & (i < e) & r["item"]))
         return F.transform(items, lambda r: r["line"])
 
-    return F.when(F.locate(marker, text) > 0, once(tagged, kept)).otherwise(F.array().cast("array<string>"))
+    # A computed text is computed once.
+    return once(text, lambda t: F.when(F.locate(marker, t) > 0, once(tagged(t), kept)).otherwise(F.array().cast("array<string>")))

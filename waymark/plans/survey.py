@@ -96,7 +96,8 @@ m AS (SELECT doc_id, ws, list_transform(ws, lambda w: length(w) <= 16 AND NOT re
 e AS (SELECT *, coalesce(list_filter(range(1, len(ws)), lambda i: NOT ok[i] AND NOT ok[i + 1])[1], len(ws) + 1) AS stop FROM m)
 SELECT doc_id, coalesce(array_to_string(list_filter(ws, lambda w, i: i < stop AND ok[i]), ' '), '') AS items FROM e""")
 def list_segment(spark, d) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", " "), lambda w: F.regexp_replace(w, r"\s", " ")), "\n").alias("t"))
+    # A line per word: blanks end lines, other white space becomes a blank.
+    rows = table(spark, d, "documents").select("doc_id", F.translate("text", " \t\n\x0b\f\r", "\n     ").alias("t"))
     marked = F.concat(F.lit("top\n브랜드관\n"), F.col("t"))
     return rows.select("doc_id", F.array_join(occ.list_after(marked), " ").alias("items"))
 
