@@ -168,6 +168,12 @@ def test_brand_detection(spark):
     assert brands.brand_of(a, brands.candidates(a)).count() == 16
 
 
+def test_forms_of_names_are_computed_once(spark):
+    rows = spark.createDataFrame([("1", 1, "GS25 역삼점", ""), ("2", 2, "새봄", "")], "id string, seq long, name string, addr string")
+    # The assignment reads them back instead of computing them for every step.
+    assert "regexp_replace" not in brands.assign_bases(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_html(spark):
     page = '<html><head><title>T &amp; U</title></head><body><nav><a href="/a">First  one</a></nav><div class="x-menu"><a href="/b">Second</a></div><a href="/Brand/1">Third</a><script>no()</script><p>Body</p></body>'
     row = html.collected(html.parsed_pages(spark.createDataFrame([(1, "u", page)], "page_id int, url string, html string"))).first()

@@ -47,6 +47,25 @@ def test_nightly_places_publishes_and_refuses(spark):
     assert current(spark, f"{root}/places").count() == 17 and get_stamp(spark, f"{root}/places/pointer", "merchants_collected_on") == "2026-01-01"
 
 
+def test_landed_texts_are_read_once(spark):
+    root, read = tempfile.mkdtemp(), spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    pages = two_districts(spark).withColumn("value", F.udf(seen, "string")("value"))
+    assert nightly.nightly_places(spark, root, "n1", pages, "2026-01-01", min_total=1).applied and read.value == 3
+
+
+def test_opened_pages_give_the_rows_and_faults_of_their_texts(spark):
+    rows = [place_page("서울", "강남구", 1, 3, [("1", "a"), ("2", "b")]), place_page("서울", "강남구", 3, 3, [("3", "c")], "9999"), ("부산", "서구", 1, "not json"), ("부산", "중구", 1, None)]
+    pages = spark.createDataFrame(rows, WHERE)
+    opened = landed.open_place_pages(pages)
+    for of in (lambda p: landed.place_pages(p)[0], lambda p: landed.place_pages(p)[1], landed.place_page_faults):
+        assert sorted(map(str, of(opened).collect())) == sorted(map(str, of(pages).collect())) != []
+
+
 def test_a_stopped_run_goes_on_behind_its_last_step(spark, monkeypatch):
     root, pages, made = tempfile.mkdtemp(), two_districts(spark), []
 

@@ -15,7 +15,7 @@ from waymark.operators.brands import assign_bases, brand_of, candidates, with_br
 from waymark.operators.ordering import keep_first
 from waymark.operators.publishing import reconciled
 from waymark.schema import PLACE_COLUMNS, PLATFORM, PLATFORM_COLUMNS
-from waymark.sources.landed import place_page_faults, place_pages, platform_page_faults, platform_pages
+from waymark.sources.landed import open_place_pages, place_page_faults, place_pages, platform_page_faults, platform_pages
 from waymark.sources.snapshots import place_rows
 from waymark.sources.tables import current, get_stamp, point_to, publish
 
@@ -24,7 +24,7 @@ ARRIVAL = ["query_sido", "query_addr", "page_no", "pos"]
 #: So many reasons are told; the others are only counted.
 MOST_REASONS = 20
 PLATFORM_STAMP = "platforms_collected_on"
-_STEPS = ("faults", "rows", "bases", "candidates", "places")
+_STEPS = ("pages", "faults", "rows", "bases", "candidates", "places")
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def nightly_places(
 ) -> Outcome:
     """Landed pages to the published place table below ``root``.
 
-    Faults of the pages end the run before anything is built.  Rows are kept
+    The pages are parsed once; their faults end the run before anything is built.  Rows are kept
     first by id in order of collection, brands detected over them, place rows
     made, and the table staged, guarded against the published one and swapped
     in.  Every step is written and recorded under ``run``: calling again with
@@ -63,7 +63,7 @@ def nightly_places(
     if told is not None:
         return Outcome(**json.loads(told))
     seq = F.struct(*ARRIVAL)
-    first_rows = lambda done: keep_first(place_pages(pages)[0], ["frCd"], ARRIVAL)
+    first_rows = lambda done: keep_first(place_pages(done["pages"])[0], ["frCd"], ARRIVAL)
 
     def bases(done: dict[str, DataFrame]) -> DataFrame:
         named = done["rows"].select(F.col("frCd").alias("id"), seq.alias("seq"), F.col("frcsNm").alias("name"), F.col("frcsAddr").alias("addr"))
@@ -72,10 +72,10 @@ def nightly_places(
     def places(done: dict[str, DataFrame]) -> DataFrame:
         return with_brand(place_rows(done["rows"]), brand_of(done["bases"], done["candidates"])).select(*PLACE_COLUMNS)
 
-    faults = run_steps(spark, root, run, [("faults", lambda done: place_page_faults(pages))])["faults"]
-    reasons, counts = _reasons(faults, ["query_sido", "query_addr"]), {}
+    first = [("pages", lambda done: open_place_pages(pages)), ("faults", lambda done: place_page_faults(done["pages"]))]
+    reasons, counts = _reasons(run_steps(spark, root, run, first)["faults"], ["query_sido", "query_addr"]), {}
     if not reasons:
-        done = run_steps(spark, root, run, [("rows", first_rows), ("bases", bases), ("candidates", lambda d: candidates(d["bases"])), ("places", places)])
+        done = run_steps(spark, root, run, [*first, ("rows", first_rows), ("bases", bases), ("candidates", lambda d: candidates(d["bases"])), ("places", places)])
         reasons = publish(done["places"], f"{root}/places", collected_on, "region", min_total, tolerance)
         n = done["places"].agg(F.count(F.lit(1)), F.count("brand"), F.count_if(F.col("dong").isNull())).first()
         counts = dict(zip(("places", "branded", "without_dong"), n))

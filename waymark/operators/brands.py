@@ -9,15 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.functions.text import (
-    base_before_branch, has_branch_mark, name_key, or_empty, standard_name, strip, without_parentheses,
-)
+from waymark.functions.text import lookup, name_key, or_empty, strip, without_parentheses
 from waymark.operators.prefixes import longest_prefix
-from waymark.session import cut_lineage
+from waymark.session import cut_lineage, stored
 
 
 def vocabulary(
@@ -44,35 +42,42 @@ def assign_bases(
     blocked: Sequence[str] = fixed.BLOCKED_BASES,
     vocabulary_min: int = fixed.VOCABULARY_MIN_COUNT,
 ) -> DataFrame:
-    """(id, seq, addr, base, raw, is_branch) per place: words before the branch, else prefix, else whole name."""
-
-    def allowed(c: Column) -> Column:
-        return ~name_key(c).isin(list(blocked))
-
-    staged = places.select(
-        "id", "seq", strip(or_empty(F.col("name"))).alias("name"), strip(or_empty(F.col("addr"))).alias("addr")
-    ).select(
-        "id", "seq", "addr",
-        without_parentheses(F.col("name")).alias("cn"),
-        base_before_branch(F.col("name"), mark).alias("spaced"),
-        has_branch_mark(F.col("name"), mark).alias("is_branch"),
-    ).select(
-        "*", name_key(F.col("cn")).alias("nk"), standard_name(F.col("spaced"), variants).alias("std")
-    ).withColumn("spaced_ok", F.col("spaced").isNotNull() & allowed(F.col("std")))
+    """(id, seq, addr, base, raw, is_branch) per place: words before the branch, else prefix, else whole name.
 
+    The forms of a name are computed once and written: four steps read them, and
+    a filter on them would compute them again.
+    """
+    staged = stored(name_forms(places, mark, variants, blocked), "names")
     vocab = vocabulary(staged.filter("spaced_ok").select("std", "seq"), variants, vocabulary_min)
     open_names = staged.filter(~F.col("spaced_ok"))
     prefixes = longest_prefix(open_names, vocab)
 
-    whole = F.when((F.col("cn") != "") & allowed(F.col("cn")), standard_name(F.col("cn"), variants))
     by_spaced = staged.filter("spaced_ok").select("id", "seq", "addr", "is_branch", F.col("std").alias("base"), F.col("spaced").alias("raw"))
     by_rest = open_names.join(prefixes, "nk", "left").select(
         "id", "seq", "addr", "is_branch",
-        F.coalesce("standard", whole).alias("base"), F.coalesce("key", "cn").alias("raw"),
+        F.coalesce("standard", "whole").alias("base"), F.coalesce("key", "cn").alias("raw"),
     )
     return by_spaced.unionByName(by_rest.filter(F.col("base").isNotNull()))
 
 
+def name_forms(places: DataFrame, mark: str, variants: Mapping[str, str], blocked: Sequence[str]) -> DataFrame:
+    """(id, seq, addr, cn, nk, spaced, is_branch, std, spaced_ok, whole) per place; every pattern runs over a name once."""
+    allowed = lambda key: ~F.col(key).isin(list(blocked))
+    standard = lambda key, text: F.coalesce(lookup(F.col(key), variants), strip(F.col(text)))
+    return places.select(
+        "id", "seq", strip(or_empty(F.col("addr"))).alias("addr"), without_parentheses(strip(or_empty(F.col("name")))).alias("cn"),
+    ).select(
+        "*", F.split("cn", r"(?U)\s+").alias("_words"), name_key(F.col("cn")).alias("nk"), F.col("cn").endswith(mark).alias("is_branch"),
+    ).select(
+        "id", "seq", "addr", "cn", "nk", "is_branch",
+        F.when((F.size("_words") >= 2) & F.element_at("_words", -1).endswith(mark), F.array_join(F.slice("_words", F.lit(1), F.size("_words") - 1), " ")).alias("spaced"),
+    ).select("*", name_key(F.col("spaced")).alias("_key")).select(
+        "*", standard("_key", "spaced").alias("std"), F.when((F.col("cn") != "") & allowed("nk"), standard("nk", "cn")).alias("whole"),
+    ).select("*", name_key(F.col("std")).alias("_std_key")).select(
+        "*", (F.col("spaced").isNotNull() & allowed("_std_key")).alias("spaced_ok"),
+    ).drop("_key", "_std_key")
+
+
 def candidates(
     assigned: DataFrame, min_count: int = fixed.BRAND_MIN_COUNT, min_ratio: float = fixed.BRAND_MIN_BRANCH_RATIO
 ) -> DataFrame:

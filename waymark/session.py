@@ -62,6 +62,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once below the shared root and read back, so that each reader takes only the columns it needs."""
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     """The rows of ``df`` when there are at most ``max_rows`` of them, else None.
 

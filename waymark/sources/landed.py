@@ -26,21 +26,41 @@ def parse_pages(pages: DataFrame, row: T.StructType, good: bool, value: str = "v
     chosen inside an array, so that each text is parsed once.
     """
     keep = [c for c in pages.columns if c != value]
-    empty = F.lit(None).cast(envelope(row))
-    page = F.coalesce(F.from_json(F.col(value), envelope(row)), F.struct(*[empty[f].alias(f) for f in envelope(row).fieldNames()]))
-    ok = lambda p: F.coalesce(p["resCode"] == fixed.OK_CODE, F.lit(False))
-    chosen = F.filter(F.array(page), lambda p: ok(p) if good else ~ok(p))
+    chosen = F.filter(F.array(_opened(F.col(value), row)), lambda p: _succeeded(p) if good else ~_succeeded(p))
     return spread(pages, keep, chosen, "page")
 
 
+def _opened(value: Column, row: T.StructType) -> Column:
+    empty = F.lit(None).cast(envelope(row))
+    return F.coalesce(F.from_json(value, envelope(row)), F.struct(*[empty[f].alias(f) for f in envelope(row).fieldNames()]))
+
+
+def _succeeded(page: Column) -> Column:
+    return F.coalesce(page["resCode"] == fixed.OK_CODE, F.lit(False))
+
+
+def open_place_pages(pages: DataFrame) -> DataFrame:
+    """Landed pages with their envelope as ``page`` in place of the text; written, they are parsed once for faults and rows."""
+    return pages.select("query_sido", "query_addr", "page_no", _opened(F.col("value"), API_PLACE).alias("page"))
+
+
+def _chosen(pages: DataFrame, good: bool) -> DataFrame:
+    """The good place pages, or the others, of landed or of opened pages."""
+    if "value" in pages.columns:
+        return parse_pages(pages, API_PLACE, good)
+    ok = _succeeded(F.col("page"))
+    return pages.filter(ok if good else ~ok)
+
+
 def place_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(API rows with the page's context, rejected pages).
 
-    ``pages`` holds (value, query_sido, query_addr, page_no) per landed page.
+    ``pages`` holds (value, query_sido, query_addr, page_no) per landed page, or
+    comes from ``open_place_pages``.
     """
     where = ["query_sido", "query_addr", "page_no"]
-    rows = spread(parse_pages(pages, API_PLACE, True), where, F.col("page.data.list"), "r", "pos").select(*where, "pos", "r.*")
-    rejects = parse_pages(pages, API_PLACE, False).select(
+    rows = spread(_chosen(pages, True), where, F.col("page.data.list"), "r", "pos").select(*where, "pos", "r.*")
+    rejects = _chosen(pages, False).select(
         *where, F.col("page.resCode").alias("code"), F.col("page.resMsg").alias("message")
     )
     return rows, rejects
@@ -53,8 +73,8 @@ def place_page_faults(pages: DataFrame) -> DataFrame:
     largest that a district's good pages name) that did not arrive.
     """
     where = ["query_sido", "query_addr"]
-    bad = parse_pages(pages, API_PLACE, False).select(*where, "page_no", F.concat(F.lit("resCode="), F.coalesce("page.resCode", F.lit("?"))).alias("reason"))
-    last = parse_pages(pages, API_PLACE, True).groupBy(*where).agg(F.max(F.coalesce("page.data.totalPage", F.lit(1))).alias("last"))
+    bad = _chosen(pages, False).select(*where, "page_no", F.concat(F.lit("resCode="), F.coalesce("page.resCode", F.lit("?"))).alias("reason"))
+    last = _chosen(pages, True).groupBy(*where).agg(F.max(F.coalesce("page.data.totalPage", F.lit(1))).alias("last"))
     number = pages.schema["page_no"].dataType
     wanted = last.select(*where, F.explode(F.sequence(F.lit(1).cast(number), F.greatest("last", F.lit(1)).cast(number))).alias("page_no"))
     missing = wanted.join(pages.select(*where, "page_no").distinct(), [*where, "page_no"], "left_anti")
