@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -250,6 +251,24 @@ def learned_from(r):
     return r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2
 
 
+def test_hashes_of_tokens_are_those_of_their_words():
+    texts = [None, "", " ", "A  b\x0bB a\n", "ab ba", "é É \x1c 1\x852", "x" * 33 + " " + "X" * 33 + " " + "x" * 32, "ab" * 400 + " " + "ba" * 400]
+    h, ends = suffix_lm.Tokens().of(pa.array(texts, pa.string()))
+    token, seen, begin = suffix_lm.Tokens(), {}, 0
+    for t, end in zip(texts, ends):
+        ws = common.words_of(t)
+        assert end - begin == len(ws) + 2 and (h[begin], h[end - 1]) == (token.start, token.end)
+        assert all(seen.setdefault(w, x) == x for w, x in zip(ws, h[begin + 1 : end - 1].tolist()))
+        begin = end
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_pairs_are_shuffled_without_their_key(spark):
+    words = spark.createDataFrame([(1,)], "key bigint")
+    grams = suffix_lm._gram_counts(spark.createDataFrame([("a b",)], "text string"), 1, suffix_lm.Bloom(words), suffix_lm.Bloom(words))
+    assert grams.columns == ["ctx", "w", "c"] and grams.count() == 0
+
+
 def test_scores_are_those_of_a_plain_suffix_tree(spark):
     rng = np.random.default_rng(4)
     rows = [(i, f"{PATTERN if i % 3 else ''} {prose(rng, int(rng.integers(0, 90)))} {PATTERN}", "en", "s") for i in range(400)] + ODD + [(5007, "the The THE", "en", "s")] * 3

@@ -38,11 +38,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import WordHashes, bucket, count_bound, mix, small_batches, words_of, written
+from waymark.llm.common import bucket, count_bound, mix, small_batches, written
 
 DEPTH, LEAST_CONTEXT, LEAST_NEXT, DIVERGENCE, DISCOUNT = 3, 100, 20, 0.01, 0.5
 TABLE = 1 << 20
@@ -54,6 +55,27 @@ _END, _START = b"\n", b"\t"
 _ODD, _REST = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
+#: White space of the contract; a number for every byte, the same for both cases of a letter; a base and its inverse modulo 2^64.
+_IS_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([i]).lower()) for i in range(256)], np.uint64)
+_BASE, _LONG = 0x9E3779B97F4A7C13, 32
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0 to n - 1 or more, and those of its inverse; kept for batches of the usual size."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if n <= 1 << 22:
+        _POWERS[:] = made
+    return made[0], made[1]
+
+
 def followed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Code of a context with one more token: the n-gram's, and that of the longer context."""
     return mix(context * _ODD + token)
@@ -67,19 +89,36 @@ class Tokens:
     """Hashes of many texts' tokens in a row, each text between its start and its end."""
 
     def __init__(self):
-        self.hashes = WordHashes()
-        self.start, self.end = self.hashes[_START], self.hashes[_END]
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, place behind each text)."""
-        words: list[bytes] = []
-        ends = []
-        for t in texts:
-            words.append(_START)
-            words += words_of(t)
-            words.append(_END)
-            ends.append(len(words))
-        return self.hashes.of(words), np.array(ends, np.int64)
+        self.start, self.end = (xxhash.xxh3_64_intdigest(x) for x in (_START, _END))
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, place behind each text).
+
+        A word's hash is a polynomial in its bytes' random numbers, modulo 2^64,
+        taken for all words at once from running sums; a word of more than
+        ``_LONG`` bytes, where such polynomials may meet, has its own hash.
+        """
+        parts = [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
+        # A blank before and behind each text cuts its words off and keeps an even number of borders.
+        raw = np.frombuffer(b"".join(x for t in parts for x in (b" ", t, b" ")), np.uint8)
+        sizes = np.array([len(t) + 2 for t in parts], np.int64)
+        blank = _IS_BLANK[raw]
+        cut = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        first, behind = cut[::2], cut[1::2]
+        powers, inverse = _powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * powers[: len(raw)], out=sums[1:])
+        h = mix((sums[behind] - sums[first]) * inverse[first] + (behind - first).astype(np.uint64) * _ODD)
+        for i in np.flatnonzero(behind - first > _LONG):
+            h[i] = xxhash.xxh3_64_intdigest(raw[first[i] : behind[i]].tobytes().lower())
+        upto = np.searchsorted(first, np.cumsum(sizes), "left")
+        ends = upto + 2 * np.arange(1, len(parts) + 1)
+        out = np.empty(len(h) + 2 * len(parts), np.uint64)
+        is_word = np.ones(len(out), bool)
+        begins = np.append(0, ends[:-1]).astype(np.int64)[: len(parts)]
+        is_word[begins], is_word[ends - 1] = False, False
+        out[is_word], out[begins], out[ends - 1] = h, self.start, self.end
+        return out, ends.astype(np.int64)
 
     def contexts(self, h: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per length 1 to ``depth``: (places of tokens that have such a context, its codes)."""
@@ -117,8 +156,9 @@ class Bloom:
 class _Sums:
     """Distinct keys with columns that belong to them, and how often each came; gives them out when they are many."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.held, self.size = names, [], 0
+    def __init__(self, names: list[str], by: str | None = None):
+        """``by``: a column by which rows come out, without their key."""
+        self.names, self.by, self.held, self.size = names, by, [], 0
 
     def add(self, *columns: np.ndarray) -> None:
         """``columns`` begins with the key; equal keys have equal columns."""
@@ -139,15 +179,20 @@ class _Sums:
             self._merge()
             if all_of_it or self.size > _HELD_ROWS // 2:
                 columns, self.held, self.size = self.held[0], [], 0
+                names = [*self.names, "c"]
+                if self.by:
+                    # Neighbours that share a column take less room in the shuffle.
+                    order = np.argsort(columns[names.index(self.by)], kind="stable")
+                    names, columns = names[1:], [c[order] for c in columns[1:]]
                 for i in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].view(np.int64)) for c in columns], [*self.names, "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].view(np.int64)) for c in columns], names)
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         sums, tokens = _Sums(["key"]), Tokens()
         for b in small_batches(batches, "text"):
-            h, _ = tokens.of(b.column(0).to_pylist())
+            h, _ = tokens.of(b.column(0))
             sums.add(h[h != np.uint64(tokens.start)])
             yield from sums.out(False)
         yield from sums.out(True)
@@ -156,15 +201,15 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _gram_counts(texts: DataFrame, depth: int, contexts: Bloom, shorter: Bloom) -> DataFrame:
-    """(key, ctx, w, c) of contexts of ``depth`` tokens with their next token; ``shorter`` holds what the same places give one token shorter."""
+    """(ctx, w, c) of contexts of ``depth`` tokens with their next token; ``shorter`` holds what the same places give one token shorter."""
     context = texts.sparkSession.sparkContext
     shared = context.broadcast((contexts, shorter))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        sums, tokens = _Sums(["key", "ctx", "w"]), Tokens()
+        sums, tokens = _Sums(["key", "ctx", "w"], by="ctx"), Tokens()
         known, below = shared.value
         for b in small_batches(batches, "text"):
-            h, _ = tokens.of(b.column(0).to_pylist())
+            h, _ = tokens.of(b.column(0))
             *_, before, (at, code) = [(None, None), *tokens.contexts(h, depth)]
             use = known.holds(code)
             at, code = at[use], code[use]
@@ -179,7 +224,8 @@ def _gram_counts(texts: DataFrame, depth: int, contexts: Bloom, shorter: Bloom)
             yield from sums.out(False)
         yield from sums.out(True)
 
-    return texts.mapInArrow(run, "key bigint, ctx bigint, w bigint, c bigint").groupBy("key", "ctx", "w").agg(F.sum("c").alias("c"))
+    # The pair tells the key: it is computed for what stays, not shuffled.
+    return texts.mapInArrow(run, "ctx bigint, w bigint, c bigint").groupBy("ctx", "w").agg(F.sum("c").alias("c"))
 
 
 def _with_code(df: DataFrame, name: str, a: str, b: str | None = None) -> DataFrame:
@@ -230,7 +276,7 @@ def learn(
     for d in range(1, depth + 1):
         contexts = written(contexts, f"contexts{d}")
         grams = _gram_counts(texts, d, Bloom(contexts.select(F.col("ctx").alias("key"))), Bloom(shorter)).filter(F.col("c") >= least_next)
-        grams = grams.join(contexts, "ctx")
+        grams = _with_code(grams, "key", "ctx", "w").join(contexts, "ctx")
         grams = grams.withColumn("below", F.col("w")) if d == 1 else _with_code(grams, "below", "suffix", "w")
         grams = written(grams.withColumn("own", (F.col("c") - DISCOUNT) / F.col("total")), f"grams{d}")
         rests = grams.groupBy("ctx").agg((1.0 - F.sum("own")).alias("rest"))
@@ -320,7 +366,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         of_words, of_tree, held = shared.value
         tokens = Tokens()
         for b in small_batches(batches, "text"):
-            h, ends = tokens.of(b.column(1).to_pylist())
+            h, ends = tokens.of(b.column(1))
             n = np.diff(ends, prepend=0) - 1
             begins = ends - n - 1
             real = h != np.uint64(tokens.start)
