@@ -269,6 +269,53 @@ def test_pairs_are_shuffled_without_their_key(spark):
     assert grams.columns == ["ctx", "w", "c"] and grams.count() == 0
 
 
+def test_ngrams_are_counted_from_packed_slices(spark):
+    rng = np.random.default_rng(14)
+    texts = [prose(rng, 200, 40) for _ in range(60)] + [None, "", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    h, ends = suffix_lm.Tokens().of(pa.array(texts, pa.string()))
+    code, tokens = suffix_lm.followed, suffix_lm.Tokens()
+    words = spark.createDataFrame([(int(x),) for x in set(h.view(np.int64).tolist())], "key bigint")
+    everything = suffix_lm.Bloom(words)
+    everything.words[:] = np.uint64(2**64 - 1)
+    frequent = [np.uint64(x) for x, _ in collections.Counter(h.tolist()).most_common()]
+    for depth in (1, 3):
+        want = collections.Counter()
+        for at, context in tokens.contexts(h, depth):
+            grams = list(zip(context.tolist(), h[at].tolist()))
+        want.update(grams)
+        for listed, slices, least in ((0, 1, 1), (7, 5, 1), (len(frequent), 900, 3)):
+            numbers = suffix_lm.Numbers(np.array(frequent[:listed], np.uint64))
+            got = suffix_lm._gram_counts(df, depth, everything, everything, numbers, least, slices).collect()
+            assert {(r["ctx"] % 2**64, r["w"] % 2**64): r["c"] for r in got} == {k: c for k, c in want.items() if c >= least}
+            assert len(got) == sum(c >= least for c in want.values())
+    more = suffix_lm._gram_counts(df, 3, everything, everything, codes=("key", "below")).collect()
+    shorter = {(c, w) for at, context in tokens.contexts(h, 2) for c, w in zip(context.tolist(), h[at].tolist())}
+    shorter = set(code(*(np.array(x, np.uint64) for x in zip(*shorter))).view(np.int64).tolist())
+    pairs = [np.array([r[x] for r in more], np.int64).view(np.uint64) for x in ("ctx", "w", "key")]
+    assert more and np.array_equal(code(pairs[0], pairs[1]), pairs[2]) and {r["below"] for r in more} <= shorter
+
+
+def test_packed_ngrams_take_few_bytes():
+    rng = np.random.default_rng(15)
+    n = 5_000
+    rows = np.stack([np.sort(rng.zipf(1.2, n) % 2**17), rng.zipf(1.2, n) % 2**20, rng.geometric(0.8, n)]).astype(np.uint64)
+    assert len(suffix_lm.packed(rows)) < 5 * n
+    odd = np.array([[0, 3, 2**64 - 1], [2**64 - 1, 0, 2**63], [1, 2**40, 1]], np.uint64)
+    for x in (rows, odd, odd[:, :1]):
+        assert np.array_equal(suffix_lm.unpacked(suffix_lm.packed(x), *x.shape), x)
+
+
+def test_numbers_of_tokens_are_no_hashes_of_others(spark):
+    words = spark.createDataFrame([(3, 1), (-5, 90), (2**62, 80), (2**61, 70), (2**60, 2)], "key bigint, c bigint")
+    numbers = suffix_lm.Numbers.most_frequent(words, 20, table=2)
+    start = suffix_lm.Tokens().start
+    tokens = np.array([2**64 - 5, 2**62, 2**61, 2**60, 3, start], np.uint64)
+    assert numbers.listed.tolist() == [start, 2**64 - 5, 2**62, 3]
+    assert numbers.of(tokens).tolist() == [1, 2, 2**61, 2**60, 3, 0]
+    assert np.array_equal(numbers.tokens(numbers.of(tokens)), tokens)
+
+
 def test_scores_are_those_of_a_plain_suffix_tree(spark):
     rng = np.random.default_rng(4)
     rows = [(i, f"{PATTERN if i % 3 else ''} {prose(rng, int(rng.integers(0, 90)))} {PATTERN}", "en", "s") for i in range(400)] + ODD + [(5007, "the The THE", "en", "s")] * 3

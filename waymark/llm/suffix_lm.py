@@ -25,6 +25,10 @@ number each.  The numbers live in written tables; the ``table`` most frequent
 words and as many other entries are broadcast, and what is left of a text's keys
 meets the tables in a join, so every number enters every score.
 
+N-grams are counted in slices by their hash.  A task sends a slice its n-grams as
+one packed value: columns of tokens, each by its place among the ``table`` most
+frequent ones (any other as its hash), and counts.
+
 Tokens and n-grams are told apart by 64-bit hashes.  Nulls and odd rows: a null
 text is empty and has its end token; a null id counts as remainder 0; rows that
 repeat an id are scored, and learned, each for itself.  Without training texts
@@ -35,6 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +48,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import bucket, count_bound, mix, small_batches, written
+from waymark.llm.common import bucket, count_bound, mix, small_batches, trim, written
 
 DEPTH, LEAST_CONTEXT, LEAST_NEXT, DIVERGENCE, DISCOUNT = 3, 100, 20, 0.01, 0.5
 TABLE = 1 << 20
 #: The filters grow with what they hold up to this many bits (16 MB).
 BLOOM_BITS = 1 << 27
 _HELD_ROWS = 1_000_000
+#: Slices in which n-grams are counted: one per so many tokens of a small corpus, up to a number; one per so many of a large one.
+_SMALL_SLICE, _SLICES, _LARGE_SLICE = 10_000, 1024, 2_000_000
 #: The text's end and start; no word holds white space.
 _END, _START = b"\n", b"\t"
 _ODD, _REST = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -156,9 +163,8 @@ class Bloom:
 class _Sums:
     """Distinct keys with columns that belong to them, and how often each came; gives them out when they are many."""
 
-    def __init__(self, names: list[str], by: str | None = None):
-        """``by``: a column by which rows come out, without their key."""
-        self.names, self.by, self.held, self.size = names, by, [], 0
+    def __init__(self):
+        self.held, self.size = [], 0
 
     def add(self, *columns: np.ndarray) -> None:
         """``columns`` begins with the key; equal keys have equal columns."""
@@ -174,40 +180,112 @@ class _Sums:
         self.held = [[*(c[first] for c in columns), np.bincount(at, weights=often).astype(np.int64)]]
         self.size = len(first)
 
-    def out(self, all_of_it: bool) -> Iterator[pa.RecordBatch]:
+    def out(self, all_of_it: bool) -> Iterator[list[np.ndarray]]:
+        """The columns, in order of keys, and the counts."""
         if self.held and (all_of_it or self.size > _HELD_ROWS // 2):
             self._merge()
             if all_of_it or self.size > _HELD_ROWS // 2:
                 columns, self.held, self.size = self.held[0], [], 0
-                names = [*self.names, "c"]
-                if self.by:
-                    # Neighbours that share a column take less room in the shuffle.
-                    order = np.argsort(columns[names.index(self.by)], kind="stable")
-                    names, columns = names[1:], [c[order] for c in columns[1:]]
-                for i in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].view(np.int64)) for c in columns], names)
+                yield columns
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
+    def rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].view(np.int64)) for c in columns], ["key", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        sums, tokens = _Sums(["key"]), Tokens()
+        sums, tokens = _Sums(), Tokens()
         for b in small_batches(batches, "text"):
             h, _ = tokens.of(b.column(0))
             sums.add(h[h != np.uint64(tokens.start)])
-            yield from sums.out(False)
-        yield from sums.out(True)
+            for columns in sums.out(False):
+                yield from rows(columns)
+        for columns in sums.out(True):
+            yield from rows(columns)
 
     return texts.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _gram_counts(texts: DataFrame, depth: int, contexts: Bloom, shorter: Bloom) -> DataFrame:
-    """(ctx, w, c) of contexts of ``depth`` tokens with their next token; ``shorter`` holds what the same places give one token shorter."""
+class Numbers:
+    """Frequent tokens by their place in a list; every other token stays its hash, which is no place in the list."""
+
+    def __init__(self, listed: np.ndarray):
+        self.listed = listed
+        self.places = np.argsort(listed).astype(np.uint32)
+        self.ordered = listed[self.places]
+
+    @classmethod
+    def most_frequent(cls, words: DataFrame, least: int, table: int = TABLE) -> Numbers:
+        """At most about ``table`` words seen ``least`` times or more, the most frequent first, and the start."""
+        low = max(least, count_bound(words.filter(F.col("c") >= least), table))
+        # A hash that could be taken for a place in the list is in the list itself.
+        rows = words.filter((F.col("c") >= low) | F.col("key").between(0, 2 * table)).toArrow()
+        keys = np.asarray(rows.column("key"), dtype=np.int64).view(np.uint64)
+        order = np.argsort(-np.asarray(rows.column("c"), dtype=np.int64), kind="stable")
+        return cls(np.append(np.uint64(Tokens().start), keys[order]))
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.listed):
+            return tokens
+        at = np.minimum(np.searchsorted(self.ordered, tokens), len(self.ordered) - 1)
+        return np.where(self.ordered[at] == tokens, self.places[at].astype(np.uint64), tokens)
+
+    def tokens(self, numbers: np.ndarray) -> np.ndarray:
+        out, small = numbers.copy(), numbers < np.uint64(len(self.listed))
+        out[small] = self.listed[numbers[small].astype(np.intp)]
+        return out
+
+
+def packed(columns: np.ndarray) -> bytes:
+    """Rows of unsigned numbers, the first of them rising, as differences and bytes of equal weight side by side."""
+    steps = columns.copy()
+    steps[0, 1:] = columns[0, 1:] - columns[0, :-1]
+    planes = steps.view(np.uint8).reshape(*steps.shape, 8).transpose(0, 2, 1)
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, columns: int, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, columns * n * 8, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    steps = planes.transpose(0, 2, 1).copy().view(np.uint64)[:, :, 0]
+    np.cumsum(steps[0], out=steps[0])
+    return steps
+
+
+def _slices(tokens: int) -> int:
+    return max(min(_SLICES, tokens // _SMALL_SLICE + 1), tokens // _LARGE_SLICE)
+
+
+def _gram_counts(
+    texts: DataFrame, depth: int, contexts: Bloom, shorter: Bloom, numbers: Numbers | None = None, least: int = 1, slices: int = 1, codes: tuple[str, ...] = (),
+) -> DataFrame:
+    """(ctx, w, c) of contexts of ``depth`` tokens with their next token, seen ``least`` times; ``shorter`` holds what the same places give one token shorter.
+
+    ``codes`` adds the n-gram's own code (key) and that of the n-gram one token shorter (below).
+    """
     context = texts.sparkSession.sparkContext
-    shared = context.broadcast((contexts, shorter))
+    shared = context.broadcast((contexts, shorter, numbers or Numbers(np.empty(0, np.uint64))))
+    last = np.uint64((1 << 22) - 1)
+
+    def pack(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Blocks of n-grams, a few slices at a time; a slice's keys are neighbours."""
+        where = (columns[0] >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+        begins = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        ends = np.append(begins[1:], len(where))
+        few = max(1, 50_000 * len(begins) // len(where))
+        for i in range(0, len(begins), few):
+            a, b = begins[i : i + few], ends[i : i + few]
+            rows = slice(a[0], b[-1])
+            parts = [*(shared.value[2].of(x[rows]) for x in columns[1:-1]), columns[-1][rows].view(np.uint64)]
+            # Neighbours that share their first token take less room.
+            order = np.argsort(where[rows] - where[a[0]] << np.uint64(44) | np.minimum(parts[0], last) << np.uint64(22) | np.minimum(parts[-2], last))
+            table = np.stack(parts)[:, order]
+            blocks = [packed(table[:, x:y]) for x, y in zip(a - a[0], b - a[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(where[a].astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(blocks, pa.binary())], ["slice", "n", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        sums, tokens = _Sums(["key", "ctx", "w"], by="ctx"), Tokens()
-        known, below = shared.value
+        sums, tokens = _Sums(), Tokens()
+        known, below, _ = shared.value
         for b in small_batches(batches, "text"):
             h, _ = tokens.of(b.column(0))
             *_, before, (at, code) = [(None, None), *tokens.contexts(h, depth)]
@@ -220,24 +298,41 @@ def _gram_counts(texts: DataFrame, depth: int, contexts: Bloom, shorter: Bloom)
                 use = below.holds(followed(tail, h[at]))
             at, code = at[use], code[use]
             if len(at):
-                sums.add(followed(code, h[at]), code, h[at])
-            yield from sums.out(False)
-        yield from sums.out(True)
-
-    # The pair tells the key: it is computed for what stays, not shuffled.
-    return texts.mapInArrow(run, "ctx bigint, w bigint, c bigint").groupBy("ctx", "w").agg(F.sum("c").alias("c"))
-
-
-def _with_code(df: DataFrame, name: str, a: str, b: str | None = None) -> DataFrame:
-    """``df`` with the code of ``a`` followed by ``b``, or the key of what context ``a`` leaves."""
+                sums.add(followed(code, h[at]), *(h[at - back] for back in range(depth, -1, -1)))
+            for columns in sums.out(False):
+                yield from pack(columns)
+        for columns in sums.out(True):
+            yield from pack(columns)
+        columns = None
+        trim()
+
+    def count(blocks: pa.Table) -> pa.Table:
+        of = shared.value[2]
+        *parts, often = np.concatenate([unpacked(g, depth + 2, n) for g, n in zip(blocks.column("grams").to_pylist(), blocks.column("n").to_pylist())], axis=1)
+        tokens = [of.tokens(x) for x in parts]
+        ctx, w = reduce(followed, tokens[:-1]), tokens[-1]
+        key, first, at = np.unique(followed(ctx, w), return_index=True, return_inverse=True)
+        c = np.bincount(at, weights=often).astype(np.int64)
+        enough = c >= least
+        first = first[enough]
+        of_key = {"key": key[enough], "below": reduce(followed, [x[first] for x in tokens[1:]])}
+        columns = {"ctx": ctx[first], "w": w[first], "c": c[enough]} | {name: of_key[name] for name in codes}
+        return pa.table({name: x.view(np.int64) for name, x in columns.items()})
+
+    # The tokens tell all codes: they are computed for what stays, not shuffled.
+    schema = ", ".join(f"{name} bigint" for name in ("ctx", "w", "c", *codes))
+    return texts.mapInArrow(run, "slice int, n int, grams binary").groupBy("slice").applyInArrow(count, schema)
+
+
+def _with_rest_key(df: DataFrame) -> DataFrame:
+    """``df`` with the key of what its context ``ctx`` leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            one = np.asarray(batch.column(a)).view(np.uint64)
-            code = rest_key(one) if b is None else followed(one, np.asarray(batch.column(b)).view(np.uint64))
-            yield batch.append_column(name, pa.array(code.view(np.int64)))
+            key = rest_key(np.asarray(batch.column("ctx")).view(np.uint64))
+            yield batch.append_column("key", pa.array(key.view(np.int64)))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("key", T.LongType())]))
 
 
 # ---- learning ---------------------------------------------------------------------
@@ -270,14 +365,15 @@ def learn(
     begins = words.filter(F.col("key") == end).select(F.lit(start).cast("bigint").alias("key"), "c")
     contexts = words.filter(F.col("key") != end).unionByName(begins).filter(F.col("c") >= least_context)
     contexts = contexts.select(F.col("key").alias("ctx"), F.col("c").alias("total"), F.lit(None).cast("bigint").alias("suffix"))
-    below = words.select("key", ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("p"))
-    shorter = words.filter(F.col("c") >= least_next).select("key")
-    levels = []
+    # No word of an n-gram that is stored occurs less often than it.
+    frequent = words.filter(F.col("c") >= least_next)
+    below = frequent.select("key", ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("p"))
+    shorter = frequent.select("key")
+    numbers, slices, levels = Numbers.most_frequent(words, least_next), _slices(n), []
     for d in range(1, depth + 1):
         contexts = written(contexts, f"contexts{d}")
-        grams = _gram_counts(texts, d, Bloom(contexts.select(F.col("ctx").alias("key"))), Bloom(shorter)).filter(F.col("c") >= least_next)
-        grams = _with_code(grams, "key", "ctx", "w").join(contexts, "ctx")
-        grams = grams.withColumn("below", F.col("w")) if d == 1 else _with_code(grams, "below", "suffix", "w")
+        grams = _gram_counts(texts, d, Bloom(contexts.select(F.col("ctx").alias("key"))), Bloom(shorter), numbers, least_next, slices, codes=("key", "below"))
+        grams = grams.join(contexts, "ctx")
         grams = written(grams.withColumn("own", (F.col("c") - DISCOUNT) / F.col("total")), f"grams{d}")
         rests = grams.groupBy("ctx").agg((1.0 - F.sum("own")).alias("rest"))
         known = grams.join(below.select(F.col("key").alias("below"), F.col("p").alias("q")), "below").join(rests, "ctx")
@@ -296,7 +392,7 @@ def learn(
             stays = tested.join(needed.withColumn("needed", F.lit(True)), "ctx", "left").filter("diverges or needed").drop("needed")
         stays = written(stays.drop("diverges"), f"stays{d}")
         needed = stays.select(F.col("suffix").alias("ctx")).distinct()
-        rests = _with_code(stays.select("ctx", F.col("total").alias("c"), F.log10("rest").alias("value")), "key", "ctx").select("key", "c", "value")
+        rests = _with_rest_key(stays.select("ctx", F.col("total").alias("c"), F.log10("rest").alias("value"))).select("key", "c", "value")
         adds = known.join(stays.select("ctx"), "ctx", "left_semi").select("key", "c", (F.log10("p") - F.log10("q") - F.log10("rest")).alias("value"))
         both = rests.unionByName(adds)
         entries = both if entries is None else entries.unionByName(both)
